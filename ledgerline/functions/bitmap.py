@@ -22,5 +22,5 @@ def maybe_in(left: DataFrame, left_key: str, keys: DataFrame, key: str, bits: in
     maps = at.groupBy((F.col("_b") / width).cast("int").alias("_bucket")).agg(F.bitmap_construct_agg(F.col("_b") % width).alias("_map"))
     rows = left.withColumn("_l", _bit(F.col(left_key), bits)).withColumn("_lb", (F.col("_l") / width).cast("int"))
     byte = F.conv(F.hex(F.substring("_map", (F.col("_l") % width / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.expr("shiftright(1, 0)").bitwiseAND(F.call_function("shiftright", byte, (F.col("_l") % 8).cast("int")))
+    bit = F.call_function("shiftright", byte, (F.col("_l") % 8).cast("int")).bitwiseAND(F.lit(1))
     return rows.join(F.broadcast(maps), F.col("_lb") == F.col("_bucket")).where(bit == 1).select(*left.columns)
