@@ -7,10 +7,9 @@ sys.path[:0] = [os.path.dirname(os.path.abspath(__file__)), os.path.dirname(os.p
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from compare import session
 
     s = session("4")
-    s.conf.set("spark.checkpoint.dir", "file://" + str(tmp_path_factory.mktemp("shared")))
     s.conf.set("spark.sql.shuffle.partitions", "4")
     return s
