@@ -122,10 +122,11 @@ class LeakAutomaton:
             if number >= 0:
                 seen.add(number)
             else:
+                last = line.count(" ", 0, end)
                 for k in self.owners[-1 - number]:
-                    if k not in found:
-                        last = line.count(" ", 0, end)
-                        found[k] = (last - self.run, last)
+                    first, reached = found.setdefault(k, (last - self.run, last))
+                    if reached == last - 1:  # the passage goes on
+                        found[k] = (first, last)
         if len(seen) < self.least:
             return found
         counts = self.has[list(seen)].sum(axis=0)
