@@ -10,12 +10,28 @@ from ledgerline.functions.ids import as_col
 MAX_EXAMPLES = 3
 
 
+def _can_match(text: Column, pattern: str) -> Column | None:
+    """A cheap test that every text with a match passes, or None."""
+    tests = [F.contains(text, F.lit(n)) for n in P.NEEDS.get(pattern, [])] + [text.rlike(p) for p in [P.NEEDS_PATTERN.get(pattern)] if p]
+    return tests[0] if tests else None
+
+
 def has(text: str | Column, pattern: str, ignore_case: bool = False) -> Column:
-    return as_col(text).rlike(P.java(pattern, ignore_case))
+    can, found = _can_match(as_col(text), pattern), as_col(text).rlike(P.java(pattern, ignore_case))
+    return found if can is None else can & found
 
 
 def matches(text: str | Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(as_col(text), F.lit(P.java(pattern)), F.lit(group))
+    can, found = _can_match(as_col(text), pattern), F.regexp_extract_all(as_col(text), F.lit(P.java(pattern)), F.lit(group))
+    return found if can is None else F.when(can, found).otherwise(F.array().cast("array<string>"))
+
+
+def replaced(text: Column, pattern: str, by: str) -> Column:
+    out = lambda t: F.regexp_replace(t, P.java(pattern), by)
+    if _can_match(text, pattern) is None:
+        return out(text)
+    # bound by a lambda, so that a chain of replacements evaluates each text once
+    return F.get(F.transform(F.array(text), lambda t: F.when(_can_match(t, pattern), out(t)).otherwise(t)), F.lit(0))
 
 
 def clean_text(value: str | Column, limit: int = 256) -> Column:
@@ -59,13 +75,13 @@ def redact(text: str | Column, canaries: list[str] = ()) -> Column:
     out = as_col(text)
     for canary in canaries:
         out = F.replace(out, F.lit(canary), F.lit("[REDACTED_CANARY]"))
-    out = F.regexp_replace(out, P.java(P.PRIVATE_KEY_BLOCK), "[REDACTED_PRIVATE_KEY]")
+    out = replaced(out, P.PRIVATE_KEY_BLOCK, "[REDACTED_PRIVATE_KEY]")
     for code, pattern in P.SECRETS.items():
-        out = F.regexp_replace(out, P.java(pattern), f"[REDACTED_{code}]")
-    out = F.regexp_replace(out, P.java(P.ASSIGNMENT), "$1=[REDACTED]")
-    out = F.regexp_replace(out, P.java(P.QUERY_SECRET), "$1[REDACTED]")
+        out = replaced(out, pattern, f"[REDACTED_{code}]")
+    out = replaced(out, P.ASSIGNMENT, "$1=[REDACTED]")
+    out = replaced(out, P.QUERY_SECRET, "$1[REDACTED]")
     for label, pattern in (("EMAIL", P.EMAIL), ("PHONE", P.PHONE), ("RESIDENT", P.RESIDENT), ("BUSINESS_NUMBER", P.BUSINESS), ("VEHICLE_PLATE", P.PLATE)):
-        out = F.regexp_replace(out, P.java(pattern), f"[REDACTED_{label}]")
+        out = replaced(out, pattern, f"[REDACTED_{label}]")
     return out
 
 

@@ -10,30 +10,33 @@ from ledgerline.functions.ids import heavy_keys, norm_id, skew_join
 from ledgerline.operators.references import latest_jobs
 from ledgerline.sources.shared import discard, materialize
 
-STATE = "node string, pointer string, depth bigint, path string"
-
-
-def _double(active: DataFrame, known: DataFrame, paths: bool) -> DataFrame:
+def _double(active: DataFrame, n_active: int, known: DataFrame, paths: bool) -> DataFrame:
     """One round: each active node jumps over what its pointer has jumped over so far."""
-    heavy = heavy_keys(active, ["pointer"], active.count())
+    heavy = heavy_keys(active, ["pointer"], n_active)
     right = known.select(F.col("node").alias("k_node"), F.col("pointer").alias("k_pointer"), F.col("depth").alias("k_depth"), F.col("path").alias("k_path"))
     both = skew_join(active, right, "pointer", "k_node", heavy, "inner")
     path = F.concat_ws("/", "k_path", "path") if paths else F.col("path")
     return both.select("node", F.col("k_pointer").alias("pointer"), (F.col("depth") + F.col("k_depth")).alias("depth"), path.alias("path"))
 
 
+def _progress(state: DataFrame) -> tuple[int, int]:
+    """Finished and active nodes of a round's table, in one job over one column."""
+    return tuple(state.agg(F.count_if(F.col("pointer").isNull()), F.count("pointer")).first())
+
+
 def _resolve(state: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
-    """Pointer doubling until every node of a tree has its path; returns the finished tables and what never ends."""
-    state = materialize(state)
-    done, active = [state.where("pointer is null")], state.where("pointer is not null")
-    tables = [state]
-    while not active.isEmpty():
-        state = materialize(_double(active, reduce(DataFrame.unionByName, [*done, active]), True))
-        tables.append(state)
+    """Pointer doubling until every node of a tree has its path; returns the finished tables and what never ends.
+
+    state: a materialized table. Each round is one join that is written, and one count of what it wrote.
+    """
+    (_, n), done, active = _progress(state), [state.where("pointer is null")], state.where("pointer is not null")
+    while n:
+        state = materialize(_double(active, n, reduce(DataFrame.unionByName, [*done, active]), True))
+        finished, n = _progress(state)
+        if not finished:
+            return done, active
         done.append(state.where("pointer is null"))
         active = state.where("pointer is not null")
-        if done[-1].isEmpty():
-            return done[:-1], active
     return done, None
 
 
@@ -62,10 +65,10 @@ def hierarchy(edges: DataFrame) -> DataFrame:
         return out
 
     hops = materialize(endless.select("node", "pointer", F.lit(0).cast("bigint").alias("depth"), F.lit("").alias("path")))
-    size, before = hops.select("pointer").distinct().count(), None
+    n_hops, size, before = hops.count(), hops.select("pointer").distinct().count(), None
     while size != before:
         old, before = hops, size
-        hops = materialize(_double(hops, hops, False))
+        hops = materialize(_double(hops, n_hops, hops, False))
         discard(old)
         size = hops.select("pointer").distinct().count()
     loops = materialize(hops.select(F.col("pointer").alias("loop_node")).distinct())
@@ -74,7 +77,7 @@ def hierarchy(edges: DataFrame) -> DataFrame:
 
     left = start.join(endless.select("node"), "node", "left_semi").join(loops, F.col("node") == F.col("loop_node"), "left")
     cut = left.select("node", F.when(F.col("loop_node").isNull(), F.col("pointer")).alias("pointer"), F.when(F.col("loop_node").isNull(), 1).otherwise(0).cast("bigint").alias("depth"), "path")
-    behind, _ = _resolve(cut)
+    behind, _ = _resolve(materialize(cut))
     return out.unionByName(finish(behind, "below").where("node_depth > 0"))
 
 
