@@ -83,21 +83,21 @@ def k3(s, d):
 
 # Parsers
 
-_PAGES = "SELECT doc_id AS id, text AS body FROM documents WHERE doc_kind = 'page-capture' UNION ALL SELECT -p_partkey AS id, concat('<html><body><p>Part ', p_name, '</p><div hidden><p>', p_brand, '</p></div><a href=\"/p/', CAST(p_partkey AS STRING), '\">x</a><input type=\"password\" value=\"v\"><script>var rows = [{\"a\": ', CAST(p_size AS STRING), '}]; fetch(\"/api\")</script><table><tr><th>commission rate</th></tr><tr><td>', CAST(p_size AS STRING), '%</td></tr></table></body></html>') AS body FROM part"
+_PAGES = "SELECT doc_id AS id, text AS body FROM documents WHERE doc_kind = 'page-capture' UNION ALL SELECT -1 - p_partkey AS id, concat('<html><body><p>Part ', p_name, '</p><div hidden><p>', p_brand, '</p></div><a href=\"/p/', CAST(p_partkey AS STRING), '\">x</a><input type=\"password\" value=\"v\"><script>var rows = [{\"a\": ', CAST(p_size AS STRING), '}]; fetch(\"/api\")</script><table><tr><th>commission rate</th></tr><tr><td>', CAST(p_size AS STRING), '%</td></tr></table></body></html>') AS body FROM part"
 
 
-@query("ref_U1_html_counters", "SELECT -p_partkey AS id, 1 AS hidden_elements, 1 AS password_inputs, 1 AS script_elements, 1 AS n_links, p_brand AS hidden FROM part UNION ALL SELECT doc_id, 0, 0, 0, 0, '' FROM documents WHERE doc_kind = 'page-capture' AND text IS NOT NULL")
+@query("ref_U1_html_counters", "SELECT -1 - p_partkey AS id, 1 AS hidden_elements, 1 AS password_inputs, 1 AS script_elements, 1 AS n_links, p_brand AS hidden FROM part UNION ALL SELECT doc_id, 0, 0, 0, 0, '' FROM documents WHERE doc_kind = 'page-capture' AND text IS NOT NULL")
 def u1(s, d):
     r = R.html_regions(sql(s, d, _PAGES))
     return r.select("id", *[F.col(c).cast("int").alias(c) for c in ("hidden_elements", "password_inputs", "script_elements")], F.size("links").alias("n_links"), "hidden")
 
 
-@query("ref_C21_resolved_links", "SELECT -p_partkey AS id, 'a' AS kind, 'https://app.example.test/p/' || CAST(p_partkey AS STRING) AS url FROM part")
+@query("ref_C21_resolved_links", "SELECT -1 - p_partkey AS id, 'a' AS kind, 'https://app.example.test/p/' || CAST(p_partkey AS STRING) AS url FROM part")
 def c21(s, d):
     return R.resolved_links(R.html_regions(sql(s, d, _PAGES)), "https://app.example.test/x/")
 
 
-@query("ref_C33_A13_tables", "SELECT -p_partkey AS id, 2 AS n_rows, 1 AS filled FROM part")
+@query("ref_C33_A13_tables", "SELECT -1 - p_partkey AS id, 2 AS n_rows, 1 AS filled FROM part")
 def c33(s, d):
     """Tables of pages whose head row speaks of commission, with the number of cells that hold an amount."""
     t = R.html_regions(sql(s, d, _PAGES)).select("id", F.explode("tables").alias("t")).where(F.array_join(F.flatten(F.slice("t", 1, 2)), " ").rlike(P.java("수수료|커미션|commission|incentive", True)))
@@ -105,7 +105,7 @@ def c33(s, d):
     return t.select("id", F.size("t").alias("n_rows"), F.size(F.filter(cells, lambda c: c.rlike(P.java(P.AMOUNT, True)))).alias("filled"))
 
 
-@query("ref_U3_js_literals", "SELECT -p_partkey AS id, 'rows' AS name, '[{\"a\": ' || CAST(p_size AS STRING) || '}]' AS value_json FROM part")
+@query("ref_U3_js_literals", "SELECT -1 - p_partkey AS id, 'rows' AS name, '[{\"a\": ' || CAST(p_size AS STRING) || '}]' AS value_json FROM part")
 def u3(s, d):
     scripts = R.html_regions(sql(s, d, _PAGES)).select("id", F.explode("scripts").alias("body"))
     return R.js_literals(scripts).where("reason is null").select("id", "name", "value_json")
@@ -187,6 +187,9 @@ def u13(s, d):
     return words.select(first.alias("first")).where("first <> ''").groupBy("first").agg(F.count("*").alias("words"))
 
 
+_PATHS_JSON = "SELECT p_partkey AS id, concat(CASE CAST(p_partkey % 5 AS INT) WHEN 0 THEN '/abs/' WHEN 1 THEN 'a/../' WHEN 2 THEN 'a//' ELSE 'src/' END, 'f', CAST(p_partkey AS STRING), CASE CAST(p_size % 6 AS INT) WHEN 0 THEN '.CSV' WHEN 1 THEN '.pdf' WHEN 2 THEN '.vue' WHEN 3 THEN '.env' WHEN 4 THEN '' ELSE '.bin' END) AS path FROM part"
+
+
 # Graphs
 
 _GRAPH = """SELECT event_id AS ordinal, concat('s', CAST(user_id % 7 AS STRING)) AS scope_id, CASE WHEN event_id % 3 = 0 THEN 'owner_inventory' ELSE 'public_discovery' END AS source_kind, concat('src', CAST(event_id % 5 AS STRING)) AS source_id,
