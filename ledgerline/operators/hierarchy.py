@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from ledgerline.functions.bitmap import maybe_in
 from ledgerline.functions.ids import heavy_keys, norm_id, skew_join
 from ledgerline.operators.references import latest_jobs
 from ledgerline.sources.shared import discard, materialize
@@ -14,7 +15,7 @@ def _double(active: DataFrame, n_active: int, known: DataFrame, paths: bool) ->
     """One round: each active node jumps over what its pointer has jumped over so far."""
     heavy = heavy_keys(active, ["pointer"], n_active)
     right = known.select(F.col("node").alias("k_node"), F.col("pointer").alias("k_pointer"), F.col("depth").alias("k_depth"), F.col("path").alias("k_path"))
-    both = skew_join(active, right, "pointer", "k_node", heavy, "inner")
+    both = skew_join(active, maybe_in(right, "k_node", active, "pointer"), "pointer", "k_node", heavy, "inner")
     path = F.concat_ws("/", "k_path", "path") if paths else F.col("path")
     return both.select("node", F.col("k_pointer").alias("pointer"), (F.col("depth") + F.col("k_depth")).alias("depth"), path.alias("path"))
 
