@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -15,6 +16,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Spark send this package to the Python workers of every executor, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        there = tempfile.mkdtemp(prefix="ledgerline-code-")  # the driver serves it as long as it runs
+        atexit.register(shutil.rmtree, there, True)
+        spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(there, "ledgerline"), "zip", os.path.dirname(root), os.path.basename(root)))
+        _shipped.add(app)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where that is unset (tests, one machine), a temporary one."""
     return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()

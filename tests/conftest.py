@@ -11,5 +11,8 @@ def spark():
     from compare import session
 
     s = session("4")
+    from ledgerline.sources.shared import ship_package
+
+    ship_package(s)
     s.conf.set("spark.sql.shuffle.partitions", "4")
     return s
