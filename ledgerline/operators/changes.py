@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerline.functions.ids import norm_id
+from ledgerline.functions.ids import heavy_keys, norm_id, skew_join
 from ledgerline.sources.shared import materialize
 
 CREATES = ["ASSET_REGISTERED", "FINDING_OPENED", "JOB_ENQUEUED"]
@@ -60,7 +60,9 @@ def current_fields(folded: DataFrame) -> DataFrame:
     seq = F.col("change.sequence")
     gone = folded.where("fact = 'remove'").select("entity_id", seq.alias("gone_at"))
     made = folded.where("fact = 'create'").select("entity_id", seq.alias("made_at"))
-    since = made.join(gone, "entity_id", "left").where("gone_at is null or made_at > gone_at").groupBy("entity_id").agg(F.min("made_at").alias("since"))
+    heavy = heavy_keys(made, ["entity_id"], made.count())
+    both = skew_join(made, gone.withColumnRenamed("entity_id", "g_id"), "entity_id", "g_id", heavy, "left")
+    since = both.where("gone_at is null or made_at > gone_at").groupBy("entity_id").agg(F.min("made_at").alias("since"))
     fields = folded.where("fact = 'field'").select("entity_id", F.col("item").alias("field_name"), seq.alias("sequence"), F.col("change.value").alias("value"))
     return fields.join(since, "entity_id").where("sequence >= since").select("entity_id", "field_name", "sequence", "value")
 

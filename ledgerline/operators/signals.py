@@ -9,7 +9,7 @@ from ledgerline.functions.text import has, masked_examples, matches, tax_number_
 
 VALUES = [("EMAIL_VALUE_CANDIDATE", "email", P.EMAIL), ("KR_PHONE_VALUE_CANDIDATE", "phone", P.PHONE), ("KR_RESIDENT_VALUE_CANDIDATE", "resident", P.RESIDENT), ("KR_VEHICLE_PLATE_CANDIDATE", "plate", P.PLATE)]
 MAX_SIGNALS = 32
-CANARY = "SU_DETECT_SYNTHETIC_"  # Fixed value
+CANARY = "SYNTHETIC_CANARY_"  #: prefix of planted markers; a parameter of marker_signals()
 
 
 def value_signals(captures: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def value_signals(captures: DataFrame) -> DataFrame:
     return rows.select("id", "code", F.size("found").cast("bigint").alias("occurrences"), F.size(F.array_distinct("found")).cast("bigint").alias("unique_values"), examples.alias("masked_examples"))
 
 
-def marker_signals(captures: DataFrame) -> DataFrame:
+def marker_signals(captures: DataFrame, canary: str = CANARY) -> DataFrame:
     """id, codes (in order of emission, at most 32), content verdict and pending reviews of plain captures.
 
     Codes that end in _CANDIDATE make the content a SENSITIVE_CANDIDATE, except the mere endpoint; a canary overrides.
@@ -38,7 +38,7 @@ def marker_signals(captures: DataFrame) -> DataFrame:
     value = lambda p: has("body", p) & ~script
     rules = [(code, has("body", pattern)) for code, pattern in P.SECRETS.items()]
     rules += [("PUBLISHABLE_KEY_PRESENT", F.contains("body", F.lit("sb_publishable_"))), ("UNTRUSTED_INSTRUCTION_TEXT", has("body", P.UNTRUSTED, True)), ("CLIENT_ENCRYPTION_INDICATOR", has("body", P.ENCRYPTION, True))]
-    rules += [("SYNTHETIC_CANARY_PRESENT", F.contains("body", F.lit(CANARY)))]
+    rules += [("SYNTHETIC_CANARY_PRESENT", F.contains("body", F.lit(canary)))]
     looks_json = F.contains(F.lower("content_type"), F.lit("json")) | F.ltrim("body").rlike(r"^[{\[]")
     rules += [("JSON_PARSE_INCOMPLETE", looks_json & F.try_parse_json("body").isNull())]
     rules += [(code, value(pattern)) for code, _, pattern in VALUES] + [("KR_BUSINESS_NUMBER_CANDIDATE", tax & ~script)]

@@ -203,7 +203,7 @@ def _m(p: str, ic: bool = False) -> str:
 _JS = "contains(content_type, 'javascript')"
 _TAXOK = f"len(list_filter(list_transform(regexp_extract_all(body, '{_re2(P.BUSINESS)}', 1), lambda m: {_DIG}), lambda g: len(list_distinct(g)) > 1 AND (10 - ({_W} + g[9] * 5 // 10) % 10) % 10 = g[10])) > 0"
 _CODES = [(c, _m(p)) for c, p in P.SECRETS.items()]
-_CODES += [("PUBLISHABLE_KEY_PRESENT", "contains(body, 'sb_publishable_')"), ("UNTRUSTED_INSTRUCTION_TEXT", _m(P.UNTRUSTED, True)), ("CLIENT_ENCRYPTION_INDICATOR", _m(P.ENCRYPTION, True)), ("SYNTHETIC_CANARY_PRESENT", "contains(body, 'SU_DETECT_SYNTHETIC_')")]
+_CODES += [("PUBLISHABLE_KEY_PRESENT", "contains(body, 'sb_publishable_')"), ("UNTRUSTED_INSTRUCTION_TEXT", _m(P.UNTRUSTED, True)), ("CLIENT_ENCRYPTION_INDICATOR", _m(P.ENCRYPTION, True)), ("SYNTHETIC_CANARY_PRESENT", "contains(body, 'SYNTHETIC_CANARY_')")]
 _CODES += [("JSON_PARSE_INCOMPLETE", "regexp_matches(ltrim(body), '^[{\\[]') AND NOT json_valid(body)")]
 _CODES += [("EMAIL_VALUE_CANDIDATE", f"{_m(P.EMAIL)} AND NOT {_JS}"), ("KR_PHONE_VALUE_CANDIDATE", f"{_m(_re2(P.PHONE))} AND NOT {_JS}"), ("KR_RESIDENT_VALUE_CANDIDATE", f"{_m(_re2(P.RESIDENT))} AND NOT {_JS}")]
 _CODES += [("KR_VEHICLE_PLATE_CANDIDATE", f"regexp_matches(body, '(?:^|[^0-9A-Za-z_가-힣])[0-9]{{2,3}}[가-힣]\\s?[0-9]{{4}}(?:[^0-9]|$)') AND NOT {_JS}"), ("KR_BUSINESS_NUMBER_CANDIDATE", f"{_TAXOK} AND NOT {_JS}"), ("CONFIDENTIAL_MARKER_CANDIDATE", _m(P.CONFIDENTIAL, True))]
@@ -243,7 +243,7 @@ _RED = f"regexp_replace({_RED}, '(^|[^0-9A-Za-z_가-힣])((?:서울|부산)?\\s?
 @query("ref_P12_redact")
 def redact(s, d):
     """All captures with known values replaced; look-around and back references have no counterpart in the SQL."""
-    return sql(s, d, CAPTURES).where("body is not null").select("id", X.redact("body", ["SU_DETECT_SYNTHETIC_7"]).alias("redacted"))
+    return sql(s, d, CAPTURES).where("body is not null").select("id", X.redact("body", ["SYNTHETIC_CANARY_7"]).alias("redacted"))
 
 
 _VALS = "SELECT * FROM (VALUES ('phone', '010-1234-5678', '010-****-5678'), ('phone', '01012345678', '010-****-5678'), ('plate', '12가3456', '12가34**'), ('business', '109-86-31667', '109-86-316**'), ('resident', '900101-1234567', '900101-1******'), ('email', 'fixture@example.test', 'fi*****@example.test'), ('other', 'abcd', '****')) AS v(kind, value, masked)"

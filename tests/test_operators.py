@@ -39,7 +39,7 @@ def test_look_around(spark):
 
 
 def test_verdicts(spark):
-    texts = ["fetch('/api/x')", "SU_DETECT_SYNTHETIC_1 a@b.test", "a@b.test just a moment", "nothing", "{broken", '{"a": 1}', "<img src=x>"]
+    texts = ["fetch('/api/x')", "SYNTHETIC_CANARY_1 a@b.test", "a@b.test just a moment", "nothing", "{broken", '{"a": 1}', "<img src=x>"]
     rows = {r.id: (list(r.codes), r.content, list(r.pending_reviews)) for r in S.marker_signals(bodies(spark, *texts, None)).collect()}
     assert rows == {
         0: (["RUNTIME_ENDPOINT_CANDIDATE"], "NOT_INSPECTED", []),
