@@ -35,6 +35,7 @@ DOM_DECLARATION = r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]{0,100})\s*=\s*[\[{]"
 DOM_EVENT = r"\b(?:addEventListener|on(?:click|change|input|submit)\s*=)\b"
 DOM_RENDER = r"\b(?:render|filter|calculate|compute|update|display|show)[A-Za-z0-9_$]*\s*\("
 AMOUNT = r"(?:\d+(?:\.\d+)?\s*%|(?:₩|\$)?\s*\d[\d,]*(?:\.\d+)?\s*(?:원|만원|달러|USD|KRW))"
+SENSITIVE_KEY = r"password|passwd|secret|token|api.?key|authorization|cookie|email|phone|mobile|resident|business.?number|vehicle.?plate|customer.?name|employee.?name|address|account.?number|raw.?body|html|screenshot"
 
 SENSITIVE_FIELDS = [
     "email", "phone", "telephone", "mobile", "address", "birthdate", "dob", "ssn", "passport", "license_number", "account_number", "resident_number",

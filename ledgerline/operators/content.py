@@ -105,7 +105,7 @@ def redacted_json(captures: DataFrame) -> DataFrame:
 
     The fields' names decide first, then texts are redacted by the pattern rules of the whole body.
     """
-    sensitive = re.compile(r"password|passwd|secret|token|api.?key|authorization|cookie|email|phone|mobile|resident|business.?number|vehicle.?plate|customer.?name|employee.?name|address|account.?number|raw.?body|html|screenshot", re.I)
+    sensitive = re.compile(P.SENSITIVE_KEY, re.I)
 
     def clean(value, depth=0):
         if depth > 128:
