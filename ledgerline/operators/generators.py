@@ -65,7 +65,7 @@ def combine(stem_rows: DataFrame, words: DataFrame, cap: int) -> DataFrame:
     made = made.select("name", F.concat("stem", "joiner", "word").alias("candidate"), "weight", (F.col("word_no") + 1).alias("round"), "joiner_no")
     bare = stem_rows.select("name", F.col("stem").alias("candidate"), "weight", F.lit(0).alias("round"), F.lit(0).alias("joiner_no"))
     best = bare.unionByName(made).where("length(candidate) between 2 and 39").groupBy("name", "candidate").agg(F.min(F.struct("weight", "round", "joiner_no")).alias("r"))
-    place = F.row_number().over(W.partitionBy("name").orderBy("r", F.length("candidate"), "candidate"))
+    place = F.row_number().over(W.partitionBy("name").orderBy("r", F.length("candidate"), "candidate")).cast("bigint")
     return best.withColumn("position", place).where(F.col("position") <= cap).select("name", "candidate", "position")
 
 

@@ -16,7 +16,7 @@ def round_robin(rows: DataFrame, group: list[str], family: str, rank: Column, or
     """Families dealt in turn: position by (index within the family, rank of the family)."""
     index = F.row_number().over(W.partitionBy(*group, family).orderBy(*order))
     dealt = rows.withColumn("_i", index)
-    return dealt.withColumn("position", F.row_number().over(W.partitionBy(*group).orderBy("_i", rank, *order))).drop("_i")
+    return dealt.withColumn("position", F.row_number().over(W.partitionBy(*group).orderBy("_i", rank, *order)).cast("bigint")).drop("_i")
 
 
 def first_kept(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -151,7 +151,7 @@ def c32(s, d):
 _RATES = "SELECT c_custkey AS id, concat('const rates = [{price: ', CAST(c_nationkey AS STRING), ', customerEmail: \"n/a\", cost: \"=A1\", other: 1}]; let x = [f()]') AS body FROM customer"
 
 
-@query("ref_U4_static_categories", "SELECT c_custkey AS id, category, 1 AS candidates, filled, templates, calculations FROM customer, (VALUES ('pricing', 1, 0, 0), ('customer_contact', 0, 1, 0), ('margin', 0, 0, 1)) v(category, filled, templates, calculations)")
+@query("ref_U4_static_categories", "SELECT c_custkey AS id, category, 1::BIGINT AS candidates, filled::BIGINT AS filled, templates::BIGINT AS templates, calculations::BIGINT AS calculations FROM customer, (VALUES ('pricing', 1, 0, 0), ('customer_contact', 0, 1, 0), ('margin', 0, 0, 1)) v(category, filled, templates, calculations)")
 def u4(s, d):
     return C.static_categories(sql(s, d, _RATES))
 
@@ -264,11 +264,11 @@ def t7(s, d):
     return n.select("user_id", F.least("n", F.lit(32).cast("bigint")).alias("kept"), (F.col("n") > 32).alias("truncated"))
 
 
-@query("ref_FDT_timestamps", "SELECT id, CASE WHEN id % 4 IN (0, 1) THEN TIMESTAMPTZ '2024-05-01 10:00:00+00' END AS at FROM (SELECT o_orderkey AS id FROM orders)")
+@query("ref_FDT_timestamps", "SELECT id, CASE WHEN id % 4 IN (0, 1) THEN epoch_us(TIMESTAMPTZ '2024-05-01 10:00:00+00') END AS at_us FROM (SELECT o_orderkey AS id FROM orders)")
 def fdt(s, d):
     """Time texts need a zone; naive, date-only and wrong ones are null, zones are normalised to UTC."""
     text = F.when(F.col("o_orderkey") % 4 == 0, "2024-05-01T10:00:00Z").when(F.col("o_orderkey") % 4 == 1, "2024-05-01T19:00:00+09:00").when(F.col("o_orderkey") % 4 == 2, "2024-05-01T10:00:00").otherwise("2024-13-01T10:00:00Z")
-    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(text.rlike(r"^\d{4}-\d\d-\d\dT.*(?:Z|[+-]\d\d:\d\d)$"), F.try_to_timestamp(text)).alias("at"))
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(text.rlike(r"^\d{4}-\d\d-\d\dT.*(?:Z|[+-]\d\d:\d\d)$"), F.unix_micros(F.try_to_timestamp(text))).alias("at_us"))
 
 
 @query("ref_FBACKOFF", "SELECT o_orderkey AS id, greatest(least(900, 30 * CAST(pow(2, least(o_orderkey % 8, 5)) AS BIGINT)), o_orderkey % 400) AS seconds FROM orders")

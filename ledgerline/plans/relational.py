@@ -173,9 +173,9 @@ def a2(s, d):
     return table(s, d, "audit_runs").select("run_id", "case_id", *cols).distinct().groupBy(norm_id("case_id").alias("case_id")).agg(*[F.sum(c).alias(c) for c in cols])
 
 
-@query("ref_A3_earliest_retry", f"SELECT {I('case_id')} AS case_id, min(CASE WHEN state = 'retry_wait' THEN next_eligible_at END) AS earliest FROM audit_jobs GROUP BY 1")
+@query("ref_A3_earliest_retry", f"SELECT {I('case_id')} AS case_id, min(CASE WHEN state = 'retry_wait' THEN epoch_us(next_eligible_at) END) AS earliest_us FROM audit_jobs GROUP BY 1")
 def a3(s, d):
-    return table(s, d, "audit_jobs").groupBy(norm_id("case_id").alias("case_id")).agg(F.min(F.when(F.col("state") == "retry_wait", F.col("next_eligible_at"))).alias("earliest"))
+    return table(s, d, "audit_jobs").groupBy(norm_id("case_id").alias("case_id")).agg(F.min(F.when(F.col("state") == "retry_wait", F.unix_micros("next_eligible_at"))).alias("earliest_us"))
 
 
 @query("ref_A4_unresolved_reasons", f"SELECT reason, count(*) AS n FROM (SELECT DISTINCT job_id, coalesce(last_error_code, state) AS reason FROM {_JO} WHERE state <> 'succeeded') GROUP BY 1")
@@ -224,10 +224,10 @@ def a22(s, d):
     return table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 2).alias("total"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
 
 
-@query("ref_A23_cooldown", "SELECT user_id % 20 AS origin, max(ts + INTERVAL 30 SECOND * least(30, event_id % 7 + 1)) AS due_at FROM events WHERE event_type = 'error' GROUP BY 1")
+@query("ref_A23_cooldown", "SELECT user_id % 20 AS origin, max(epoch_us(ts) + 30000000 * least(30, event_id % 7 + 1)) AS due_us FROM events WHERE event_type = 'error' GROUP BY 1")
 def a23(s, d):
-    due = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + 30_000_000 * F.least(F.lit(30), F.col("event_id") % 7 + 1))
-    return table(s, d, "events").where("event_type = 'error'").groupBy((F.col("user_id") % 20).alias("origin")).agg(F.max(due).alias("due_at"))
+    due = F.unix_micros(F.col("ts").cast("timestamp")) + 30_000_000 * F.least(F.lit(30), F.col("event_id") % 7 + 1)
+    return table(s, d, "events").where("event_type = 'error'").groupBy((F.col("user_id") % 20).alias("origin")).agg(F.max(due).alias("due_us"))
 
 
 @query("ref_A27_last_batch_wins", "SELECT user_id, arg_max(event_type, event_id) AS last_type, arg_max(value, event_id) AS last_value, array_to_string(list(DISTINCT event_type ORDER BY event_type), ',') AS types FROM events GROUP BY 1")
@@ -238,14 +238,14 @@ def a27(s, d):
 _LT = f"(SELECT *, rank() OVER (PARTITION BY asset_id, alias_id ORDER BY observed_at DESC) AS r FROM {_OB} WHERE asset_id IS NOT NULL)"
 
 
-@query("ref_W1_latest_with_ties", f"SELECT observation_id, asset_id, alias_id, observed_at FROM {_LT} WHERE r = 1")
+@query("ref_W1_latest_with_ties", f"SELECT observation_id, asset_id, alias_id, epoch_us(observed_at) AS observed_us FROM {_LT} WHERE r = 1")
 def w1(s, d):
-    return J.latest_with_ties(observations(s, d).where("asset_id is not null"), ["asset_id", "alias_id"], "observed_at").select("observation_id", "asset_id", "alias_id", "observed_at")
+    return J.latest_with_ties(observations(s, d).where("asset_id is not null"), ["asset_id", "alias_id"], "observed_at").select("observation_id", "asset_id", "alias_id", F.unix_micros("observed_at").alias("observed_us"))
 
 
-@query("ref_W2_tie_conflicts", "SELECT u, day, n, pairs > 1 AS conflict FROM (SELECT user_id % 10 AS u, CAST(ts AS DATE) AS day, count(*) AS n, count(DISTINCT event_type || '|' || CAST(user_id AS STRING)) AS pairs FROM events GROUP BY 1, 2)")
+@query("ref_W2_tie_conflicts", "SELECT u, day, n, pairs > 1 AS conflict FROM (SELECT user_id % 10 AS u, CAST(CAST(ts AS DATE) AS STRING) AS day, count(*) AS n, count(DISTINCT event_type || '|' || CAST(user_id AS STRING)) AS pairs FROM events GROUP BY 1, 2)")
 def w2(s, d):
-    rows = table(s, d, "events").groupBy((F.col("user_id") % 10).alias("u"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.count_distinct("event_type", "user_id").alias("pairs"))
+    rows = table(s, d, "events").groupBy((F.col("user_id") % 10).alias("u"), F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("n"), F.count_distinct("event_type", "user_id").alias("pairs"))
     return rows.select("u", "day", "n", (F.col("pairs") > 1).alias("conflict"))
 
 
@@ -267,7 +267,7 @@ def w4(s, d):
 def w5(s, d):
     hours = F.floor((F.lit(946684800000000) - F.unix_micros(F.col("o_orderdate").cast("timestamp"))) / 3600000000)
     aged = F.substring("o_orderpriority", 1, 1).cast("int") + hours
-    return table(s, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(W.partitionBy("o_custkey").orderBy(aged.desc(), "o_orderdate", "o_orderkey")).alias("position"))
+    return table(s, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(W.partitionBy("o_custkey").orderBy(aged.desc(), "o_orderdate", "o_orderkey")).cast("bigint").alias("position"))
 
 
 @query("ref_W7_hash_chain", "SELECT user_id, count(*) AS links, list_reduce(list_prepend(repeat('0', 64), list(sha256(event_type || coalesce(props, '')) ORDER BY ts, event_id)), lambda acc, x: sha256(acc || x)) AS head FROM events GROUP BY 1")
@@ -331,9 +331,9 @@ def t2(s, d):
     return table(s, d, "part").select("p_partkey", "p_size").orderBy(rank, "p_partkey").limit(100)
 
 
-@query("ref_T4_due_jobs", f"SELECT job_id, state, updated_at FROM {_JO} WHERE state IN ('ready', 'retry_wait') AND updated_at <= TIMESTAMPTZ '2026-01-01 00:00:00+00'")
+@query("ref_T4_due_jobs", f"SELECT job_id, state, epoch_us(updated_at) AS updated_us FROM {_JO} WHERE state IN ('ready', 'retry_wait') AND updated_at <= TIMESTAMPTZ '2026-01-01 00:00:00+00'")
 def t4(s, d):
-    return jobs(s, d).where(F.col("state").isin("ready", "retry_wait") & (F.col("updated_at") <= F.timestamp_micros(F.lit(1767225600000000)))).select("job_id", "state", "updated_at").orderBy("updated_at", "job_id")
+    return jobs(s, d).where(F.col("state").isin("ready", "retry_wait") & (F.col("updated_at") <= F.timestamp_micros(F.lit(1767225600000000)))).orderBy("updated_at", "job_id").select("job_id", "state", F.unix_micros("updated_at").alias("updated_us"))
 
 
 @query("ref_T6_next_work", "SELECT o_custkey, arg_min(o_orderkey, struct_pack(a := CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, b := o_orderkey)) AS next_work FROM orders GROUP BY 1")

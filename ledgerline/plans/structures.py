@@ -114,7 +114,7 @@ def u3(s, d):
 _JS = "SELECT c_custkey AS id, concat('{\"customer_name\": ', CASE WHEN c_custkey % 4 = 0 THEN 'null' WHEN c_custkey % 4 = 1 THEN '\"sample\"' ELSE concat('\"', c_name, '\"') END, ', \"salary\": 0, \"list\": [{\"email\": \"x@y.test\"}, {\"phone\": \"\"}], \"note\": false}') AS body FROM customer"
 
 
-@query("ref_U2_A12_field_counters", "SELECT c_custkey AS id, 6 AS fields, 4 AS known_sensitive, CASE WHEN c_custkey % 4 IN (0, 1) THEN 2 ELSE 3 END AS filled_sensitive, 1 AS contacts FROM customer")
+@query("ref_U2_A12_field_counters", "SELECT c_custkey AS id, 6::BIGINT AS fields, 4::BIGINT AS known_sensitive, CASE WHEN c_custkey % 4 IN (0, 1) THEN 2::BIGINT ELSE 3::BIGINT END AS filled_sensitive, 1::BIGINT AS contacts FROM customer")
 def u2(s, d):
     return R.field_counters(R.json_nodes(sql(s, d, _JS))).drop("truncated")
 

@@ -128,7 +128,7 @@ _SC = "SELECT l_orderkey AS id, l_linenumber AS n, CAST(l_quantity AS DOUBLE) /
 _CL = lambda x, dflt: f"least(1.0, greatest(0.0, coalesce({x}, {dflt})))"
 
 
-@query("ref_P26_priority_score", f"SELECT id, n, floor(s * 10000) AS score FROM (SELECT id, n, {_CL('o', 0.1)} * {_CL('i', 0.5)} * {_CL('w', 0.5)} * {_CL('g', 0.5)} / (1 + {_CL('c1', 0.5)} + {_CL('c2', 0.5)} + {_CL('c3', 0.5)}) + 0.0000001 AS s FROM ({_SC}))")
+@query("ref_P26_priority_score", f"SELECT id, n, CAST(floor(s * 10000) AS BIGINT) AS score FROM (SELECT id, n, {_CL('o', 0.1)} * {_CL('i', 0.5)} * {_CL('w', 0.5)} * {_CL('g', 0.5)} / (1 + {_CL('c1', 0.5)} + {_CL('c2', 0.5)} + {_CL('c3', 0.5)}) + 0.0000001 AS s FROM ({_SC}))")
 def score(s, d):
     """Product of the clamped benefits over one plus the clamped costs; missing inputs have defaults."""
     clamp = lambda c, default: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col(c).cast("double"), F.lit(default))))
