@@ -134,7 +134,22 @@ since AS (SELECT e.entity_id, min(sequence) AS s FROM ev e LEFT JOIN gone USING
 fields AS (SELECT entity_id, sequence, unnest(json_keys(payload_json)) AS field_name FROM ev WHERE event_type NOT LIKE '%\\_WITHDRAWN' ESCAPE '\\' AND json_type(payload_json) = 'OBJECT'),
 found AS (SELECT entity_id, field_name, max(sequence) AS sequence FROM fields JOIN since USING (entity_id) WHERE sequence >= s GROUP BY 1, 2)
 """
+_OPEN = "CASE WHEN json_type({0}) = 'VARCHAR' AND regexp_matches(ltrim({0} ->> '$'), '^[\\[{{]') AND json_valid({0} ->> '$') THEN CAST({0} ->> '$' AS JSON) ELSE {0} END"
+_FIELDS = "(" + ", ".join(f"'{x}'" for x in nested.LIST_FIELDS) + ")"
+_P1 = f"""WITH RECURSIVE raw AS (SELECT {_ID.format('record_ref')} AS ref, received_at AS t, body_json AS body FROM import_records UNION ALL SELECT {_ID.format('result_ref')}, ingested_at, report_json FROM audit_results),
+b AS (SELECT ref, CAST(body AS JSON) AS j FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY t DESC, body DESC) AS rn FROM raw WHERE ref IS NOT NULL AND json_valid(body)) WHERE rn = 1),
+w AS (SELECT ref, {_OPEN.format('j')} AS v, '' AS path, '' AS parent, NULL::VARCHAR AS kind FROM b
+  UNION ALL SELECT ref, child, CASE WHEN isobj THEN path || CASE WHEN path = '' THEN '' ELSE '.' END || k || CASE WHEN k IN {_FIELDS} AND json_type(child) = 'OBJECT' THEN '[0]' ELSE '' END ELSE path || '[' || k || ']' END, p,
+    CASE WHEN isobj AND k IN {_FIELDS} THEN k WHEN NOT isobj AND json_type(child) = 'OBJECT' THEN kind END
+  FROM (SELECT ref, path, kind, p, isobj, k, {_OPEN.format('c')} AS child FROM (SELECT *, CASE WHEN isobj THEN json_extract(v, '$."' || k || '"') ELSE json_extract(v, '$[' || k || ']') END AS c
+    FROM (SELECT ref, v, path, kind, json_type(v) = 'OBJECT' AS isobj, CASE WHEN json_type(v) = 'OBJECT' AND kind IS NOT NULL THEN path ELSE parent END AS p,
+      unnest(CASE WHEN json_type(v) = 'OBJECT' THEN json_keys(v) WHEN json_type(v) = 'ARRAY' THEN list_transform(range(CAST(json_array_length(v) AS BIGINT)), lambda i: CAST(i AS VARCHAR)) ELSE [] END) AS k FROM w)))
+  WHERE json_type(child) IN ('OBJECT', 'ARRAY')),
+found AS (SELECT ref AS record_ref, kind AS node_kind, parent AS parent_path, path AS node_path, v FROM w WHERE kind IS NOT NULL AND json_type(v) = 'OBJECT')
+"""
 ORACLE = {
+    "p1_found": _P1 + "SELECT record_ref, node_kind, parent_path, node_path FROM found",
+    "p5_state": _P5.replace("found AS (", "unused AS (") + "SELECT entity_id, field_name, max(sequence) AS sequence, arg_max(struct_pack(v := json_extract_string(payload_json, '$.\"' || field_name || '\"')), sequence).v AS value FROM (SELECT f.*, e.payload_json FROM fields f JOIN ev e USING (entity_id, sequence)) JOIN since USING (entity_id) WHERE sequence >= s GROUP BY 1, 2",
     "p2_found": _P2 + "SELECT * FROM found WHERE reason IS NOT NULL",
     "p2_counts": _P2 + "SELECT ref_table, ref_field, ref_month, reason, count(*) AS n_references, count(DISTINCT missing_id) AS n_missing FROM found WHERE reason IS NOT NULL GROUP BY 1, 2, 3, 4",
     "p3_found": _P3 + "SELECT * FROM found",
