@@ -152,6 +152,64 @@ def n4(s, d):
     return names.select("name", F.explode(F.array("name", *[F.concat(first, F.lit(f" {f}")) for f in ("sales", "admin")])).alias("q")).distinct()
 
 
+#: Reason codes by class of a recorded failure. Fixed values.
+REASONS = {"timeout": "timeout", "refused": "connection_refused", "reset": "connection_reset", "dns": "dns_failure", "tls": "tls_error"}
+_FAIL = "SELECT l_orderkey AS id, CASE CAST(l_partkey % 7 AS INT) WHEN 0 THEN 'timeout' WHEN 1 THEN 'refused' WHEN 2 THEN 'reset' WHEN 3 THEN 'dns' WHEN 4 THEN 'tls' WHEN 5 THEN NULL ELSE 'odd' END AS failure FROM lineitem"
+
+
+@query("ref_P25_reason_codes", f"SELECT CASE {' '.join(f'WHEN failure = {k!r} THEN {v!r}' for k, v in REASONS.items())} ELSE 'transport_error' END AS reason, count(*) AS n FROM ({_FAIL}) GROUP BY 1")
+def p25(s, d):
+    """A fixed lookup as a map literal: no join."""
+    codes = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])
+    return sql(s, d, _FAIL).groupBy(F.coalesce(F.try_element_at(codes, F.col("failure")), F.lit("transport_error")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+_MAGIC = "SELECT p_partkey AS id, concat('f', CASE CAST(p_size % 4 AS INT) WHEN 0 THEN '.svg' WHEN 1 THEN '.txt' WHEN 2 THEN '.bin' ELSE '' END) AS name, CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN '89504e470d0a1a0a00' WHEN 1 THEN '47494638396100' ELSE '68656c6c6f' END AS head FROM part"
+
+
+@query("ref_C36_file_routing", f"SELECT route, count(*) AS n FROM (SELECT CASE WHEN starts_with(head, '89504e470d0a1a0a') OR starts_with(head, '474946383961') THEN 'image' WHEN ends_with(name, '.svg') THEN 'svg' WHEN ends_with(name, '.bin') THEN 'unsupported_binary' ELSE 'text' END AS route FROM ({_MAGIC})) GROUP BY 1")
+def c36(s, d):
+    """Route of a file by its first bytes, then by its suffix."""
+    head = lambda x: F.startswith("head", F.lit(x))
+    route = F.when(head("89504e470d0a1a0a") | head("474946383961"), "image").when(F.endswith("name", F.lit(".svg")), "svg").when(F.endswith("name", F.lit(".bin")), "unsupported_binary").otherwise("text")
+    return sql(s, d, _MAGIC).groupBy(route.alias("route")).agg(F.count("*").alias("n"))
+
+
+@query("ref_K5_evidence_manifest", "SELECT doc_id, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents WHERE text IS NOT NULL")
+def k5(s, d):
+    return table(s, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("bytes"))
+
+
+@query("ref_N6_reconcile", "SELECT o_custkey % 3000 AS work_id, count(*) AS n FROM orders WHERE o_custkey % 3000 NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY 1")
+def n6(s, d):
+    """Generated work that no earlier plan has: an anti join of the distinct work ids."""
+    made = table(s, d, "orders").groupBy((F.col("o_custkey") % 3000).alias("work_id")).agg(F.count("*").alias("n"))
+    return made.join(table(s, d, "customer").where("c_custkey % 2 = 0"), F.col("work_id") == F.col("c_custkey"), "left_anti")
+
+
+@query("ref_ST8_deferral", "SELECT e.event_id, greatest(epoch_us(e.ts), coalesce(c.due, 0)) AS eligible_us FROM events e LEFT JOIN (SELECT user_id % 20 AS o, max(epoch_us(ts)) AS due FROM events WHERE event_type = 'error' GROUP BY 1) c ON e.user_id % 20 = c.o WHERE e.event_type = 'view'")
+def st8(s, d):
+    """Times pushed forward to their origin's cooldown, never back; the cooldowns are aggregated before the join."""
+    e = table(s, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    due = e.where("event_type = 'error'").groupBy((F.col("user_id") % 20).alias("o")).agg(F.max("us").alias("due"))
+    return e.where("event_type = 'view'").join(due, F.col("user_id") % 20 == F.col("o"), "left").select("event_id", F.greatest("us", F.coalesce("due", F.lit(0))).alias("eligible_us"))
+
+
+@query("ref_ST13_once_per_digest", "SELECT sha256(props) AS digest, count(*) AS uses, CAST(json_extract(any_value(props), '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props) GROUP BY 1")
+def st13(s, d):
+    """Costly work once per distinct content: values are made distinct by digest before they are parsed."""
+    once = table(s, d, "events").where("props is not null").groupBy(F.sha2("props", 256).alias("digest")).agg(F.count("*").alias("uses"), F.min("props").alias("props"))
+    return once.where(F.try_parse_json("props").isNotNull()).select("digest", "uses", N.at_pointer("props", "/k", "bigint").alias("k"))
+
+
+@query("ref_F29_material_hold", f"SELECT id, len(list_filter(codes, lambda c: c NOT IN ('EMAIL_VALUE_CANDIDATE', 'RUNTIME_ENDPOINT_CANDIDATE'))) > 0 OR len(codes) = 0 AS hold FROM (SELECT id, list_filter([CASE WHEN contains(body, '@') THEN 'EMAIL_VALUE_CANDIDATE' END, CASE WHEN contains(body, '%') THEN 'AMOUNT' END], lambda x: x IS NOT NULL) AS codes FROM ({PLAIN}))")
+def f29(s, d):
+    """Whether a set of codes holds any that matters; an empty set counts as holding."""
+    codes = F.array_compact(F.array(F.when(F.contains("body", F.lit("@")), "EMAIL_VALUE_CANDIDATE"), F.when(F.contains("body", F.lit("%")), "AMOUNT")))
+    rest = F.array_except(codes, F.array(F.lit("EMAIL_VALUE_CANDIDATE"), F.lit("RUNTIME_ENDPOINT_CANDIDATE")))
+    return sql(s, d, PLAIN).select("id", ((F.size(rest) > 0) | (F.size(codes) == 0)).alias("hold"))
+
+
 # SQL for queries of other modules
 _FIT = "acc.r + x.r <= 500 AND acc.b + x.b <= 100000"
 ORACLE["ref_ST6_reservations"] = f"""SELECT user_id, v.r AS requests, v.b AS bytes, v.a AS accepted, v.j AS rejected FROM (SELECT user_id, list_reduce(list_prepend(struct_pack(r := 0::BIGINT, b := 0::BIGINT, a := 0::BIGINT, j := 0::BIGINT), list(struct_pack(r := (event_id % 50)::BIGINT, b := event_id::BIGINT, a := 0::BIGINT, j := 0::BIGINT) ORDER BY ts, event_id)),
