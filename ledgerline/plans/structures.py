@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ledgerline.functions import patterns as P, text as X
@@ -11,7 +9,7 @@ from ledgerline.operators import changes, generators as N, graph as G, parsers a
 from ledgerline.plans import problems
 from ledgerline.plans.common import sql
 from ledgerline.sources import files
-from ledgerline.sources.shared import materialize, shared_folder, table
+from ledgerline.sources.shared import materialize, new_path, table
 from ledgerline.streaming import ledger
 
 QUERIES, ORACLE = {}, {}
@@ -75,7 +73,7 @@ def k2(s, d):
 def k3(s, d):
     e = table(s, d, "ledger_events").select("event_id", "payload_hash")
     sound = e.join(e.groupBy("event_id").agg(F.countDistinct("payload_hash").alias("k")).where("k = 1"), "event_id", "left_semi")
-    target = f"{shared_folder(s)}/ledgerline/{uuid.uuid4().hex}"
+    target = new_path(s)
     files.append_events(sound, target)
     files.append_events(sound, target)
     return s.read.parquet(target).agg(F.count("*").alias("rows_kept"))
@@ -303,7 +301,7 @@ def n8(s, d):
 @query("ref_ST1_ST3_stream_state")
 def st1(s, d):
     """The present state from a stream of events, folded in micro-batches: equal to p5_found's."""
-    folder = f"{shared_folder(s)}/ledgerline/{uuid.uuid4().hex}"
+    folder = new_path(s)
     ledger.fold_stream(ledger.read_events(s, f"{d}/ledger_events.parquet"), f"{folder}/state", f"{folder}/offsets")
     return changes.current_fields(ledger.newest_state(s, f"{folder}/state")).select("entity_id", "field_name", "sequence")
 

@@ -42,9 +42,27 @@ def _own_folder() -> str:
     return "file://" + folder
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/ledgerline/{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession) -> str:
+    return f"{_application_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that were not written before can't be read after."""
+    _delete(spark, _application_folder(spark))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/ledgerline/{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._ledgerline_path = path
@@ -55,6 +73,4 @@ def discard(df: DataFrame) -> None:
     """Delete a table that materialize() wrote and that nothing reads any more."""
     path = getattr(df, "_ledgerline_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        _delete(df.sparkSession, path)

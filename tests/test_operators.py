@@ -243,3 +243,16 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("uniq").count() == 7
+
+
+def test_tables_of_the_run_are_cleaned_up(spark):
+    from ledgerline.sources import shared
+
+    one, two = shared.materialize(spark.range(5)), shared.materialize(spark.range(7))
+    shared.discard(one)
+    assert two.count() == 7
+    with pytest.raises(Exception):  # noqa: B017
+        one.count()
+    shared.clean_up(spark)
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(two._ledgerline_path).count()
