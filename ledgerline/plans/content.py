@@ -133,6 +133,12 @@ def c9(s, d):
     return C.page_signals(sql(s, d, _PAGES)).where("id < 0").select("id", F.array_join("codes", " ").alias("codes"))
 
 
+@query("ref_C9_C20_page_signals_all")
+def c9_all(s, d):
+    """All pages, the documents' captures too; ref_C9_C20_page_signals holds the made pages against SQL."""
+    return C.page_signals(sql(s, d, _PAGES)).select("id", F.array_join("codes", " ").alias("codes"), "marker_region")
+
+
 @query("ref_C29_chunk_findings")
 def c29(s, d):
     return C.chunk_findings(sql(s, d, CAPTURES), 2_000, 200).select("id", F.array_join("codes", " ").alias("codes"), "chunks")
@@ -148,6 +154,12 @@ def c32(s, d):
     return C.gate_flags(sql(s, d, _PAGES)).where("id < 0").withColumn("business_words", F.array_join("business_words", ","))
 
 
+@query("ref_C32_gate_flags_all")
+def c32_all(s, d):
+    """All pages, the documents' captures too; ref_C32_gate_flags holds the made pages against SQL."""
+    return C.gate_flags(sql(s, d, _PAGES)).withColumn("business_words", F.array_join("business_words", ","))
+
+
 _RATES = "SELECT c_custkey AS id, concat('const rates = [{price: ', CAST(c_nationkey AS STRING), ', customerEmail: \"n/a\", cost: \"=A1\", other: 1}]; let x = [f()]') AS body FROM customer"
 
 
@@ -168,6 +180,12 @@ def u6(s, d):
     return C.references(sql(s, d, _PAGES)).where("id < 0")
 
 
+@query("ref_U6_references_all")
+def u6_all(s, d):
+    """All pages, the documents' captures too; ref_U6_references holds the made pages against SQL."""
+    return C.references(sql(s, d, _PAGES))
+
+
 _COMMIT = "SELECT l_orderkey AS id, concat('{\"sha\":\"', md5(CAST(l_orderkey AS STRING)), '\",\"parents\":', CASE WHEN l_orderkey % 3 = 0 THEN '[]' ELSE '[{\"sha\":\"p\"}]' END, ',\"files\":[') AS head, l_linenumber AS n, concat('{\"filename\":\"f', CAST(l_linenumber AS STRING), '.py\",\"status\":\"', CASE l_returnflag WHEN 'A' THEN 'added' WHEN 'R' THEN 'removed' ELSE 'modified' END, '\"}') AS file FROM lineitem"
 
 
