@@ -12,16 +12,34 @@ IGNORED = ["OBSERVATION_ADDED"]
 FACTS = ["entity_id", "fact", "item"]
 
 
-def sound_events(events: DataFrame) -> DataFrame:
-    """Events whose payload matches its hash, one per event_id: that with the lowest sequence.
+SETTLED = ["event_id", "sequence", "event_type", "entity_id", "payload_json"]
+
+
+def settled_events(events: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Events whose payload matches its hash, one per event_id: that with the lowest sequence; with those of a base.
 
+    The result is the base of a later batch: the minimum is commutative, associative and idempotent, so an event_id that
+    is sent again with another sequence is settled in whatever batch it comes. All winners are kept, not only what they
+    leave in the state: when one gives way to a lower sequence, what it had overwritten counts again.
     The minimum of a struct is combined on the map side, so an event sent very often is no hot key. Rows without an
-    event_id, entity_id or sequence can't be ordered or named and don't count.
+    event_id or sequence can't be ordered and don't count.
     """
     good = events.where(F.sha2(F.col("payload_json"), 256) == F.col("payload_hash"))
     good = good.select(norm_id("event_id").alias("event_id"), "sequence", F.col("event_type").alias("event_type"), norm_id("entity_id").alias("entity_id"), F.when(F.col("event_type").isin(IGNORED) | F.col("event_type").like("%\\_WITHDRAWN"), None).otherwise(F.col("payload_json")).alias("payload_json"))
     good = good.where("event_id is not null and sequence is not null")
-    return good.groupBy("event_id").agg(F.min(F.struct("sequence", "event_type", "entity_id", "payload_json")).alias("e")).select("event_id", "e.*").where("entity_id is not null and event_type is not null")
+    if base is not None:
+        good = good.unionByName(base.select(*SETTLED))
+    return good.groupBy("event_id").agg(F.min(F.struct(*SETTLED[1:])).alias("e")).select("event_id", "e.*")
+
+
+def named_events(settled: DataFrame) -> DataFrame:
+    """Settled events that have an entity and a type; the others win over repeats of theirs, but say nothing."""
+    return settled.where("entity_id is not null and event_type is not null")
+
+
+def sound_events(events: DataFrame) -> DataFrame:
+    """The settled events of one table that have an entity and a type."""
+    return named_events(settled_events(events))
 
 
 def change_facts(events: DataFrame) -> DataFrame:
@@ -45,6 +63,7 @@ def fold_changes(facts: DataFrame, base: DataFrame | None = None) -> DataFrame:
 
     The fold is commutative, associative and idempotent: order, repetition and batching don't matter. Tombstones
     (`remove`) and creations stay in the result, so its output is the base of a later batch, however late that comes.
+    It keeps no event_ids: where one may be sent again with another sequence, batches are merged by settled_events().
     """
     rows = facts.select(*FACTS, "change")
     if base is not None:
@@ -68,5 +87,8 @@ def current_fields(folded: DataFrame) -> DataFrame:
 
 
 def ledger_state(events: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    """Present fields of the ledger's entities; a field set to null is set. Empty inputs give no rows."""
-    return current_fields(materialize(fold_changes(change_facts(sound_events(events)), base)))
+    """Present fields of the ledger's entities; a field set to null is set. Empty inputs give no rows.
+
+    base: settled_events() of the batches before.
+    """
+    return current_fields(materialize(fold_changes(change_facts(named_events(settled_events(events, base))))))

@@ -78,11 +78,10 @@ def p5_found(s: SparkSession, d: str) -> DataFrame:
 
 
 def p5_batches(s: SparkSession, d: str) -> DataFrame:
-    """The same state from two batches, the later half of the sequence applied first: the fold commutes."""
-    facts = changes.change_facts(changes.sound_events(table(s, d, "ledger_events")))
-    odd = F.col("change.sequence") % 2 == 1
-    base = changes.fold_changes(facts.where(odd))
-    return changes.current_fields(materialize(changes.fold_changes(facts.where(~odd), base))).select("entity_id", "field_name", "sequence")
+    """The same state from two batches of events as sent, odd sequences first: repeats are settled across them."""
+    events, odd = table(s, d, "ledger_events"), F.col("sequence") % 2 == 1
+    base = materialize(changes.settled_events(events.where(odd)))
+    return changes.ledger_state(events.where(~odd), base).select("entity_id", "field_name", "sequence")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_variants, p2_found, p2_counts, p3_found, p3_activity, p4_found, p4_descendants, p4_subtrees, p5_found, p5_state, p5_batches)}

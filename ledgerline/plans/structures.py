@@ -300,9 +300,14 @@ def n8(s, d):
 
 @query("ref_ST1_ST3_stream_state")
 def st1(s, d):
-    """The present state from a stream of events, folded in micro-batches: equal to p5_found's."""
+    """The present state from a stream of events in four micro-batches: equal to p5_found's.
+
+    Rows are dealt to files by sequence, so an event_id sent again with another one comes in other batches as well.
+    """
     folder = new_path(s)
-    ledger.fold_stream(ledger.read_events(s, f"{d}/ledger_events.parquet"), f"{folder}/state", f"{folder}/offsets")
+    files = max(4, int(s.conf.get("spark.sql.shuffle.partitions")))
+    table(s, d, "ledger_events").repartition(files, "sequence").write.parquet(f"{folder}/in")
+    ledger.fold_stream(ledger.read_events(s, f"{folder}/in", -(-files // 4)), f"{folder}/state", f"{folder}/offsets")
     return changes.current_fields(ledger.newest_state(s, f"{folder}/state")).select("entity_id", "field_name", "sequence")
 
 

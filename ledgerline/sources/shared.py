@@ -50,14 +50,14 @@ def new_path(spark: SparkSession) -> str:
     return f"{_application_folder(spark)}/{uuid.uuid4().hex}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def clean_up(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; results that were not written before can't be read after."""
-    _delete(spark, _application_folder(spark))
+    delete(spark, _application_folder(spark))
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -73,4 +73,4 @@ def discard(df: DataFrame) -> None:
     """Delete a table that materialize() wrote and that nothing reads any more."""
     path = getattr(df, "_ledgerline_path", None)
     if path:
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)

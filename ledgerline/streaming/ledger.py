@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerline.functions.ids import norm_id
-from ledgerline.operators.changes import change_facts, fold_changes, sound_events
+from ledgerline.operators.changes import change_facts, fold_changes, named_events, settled_events
+from ledgerline.sources.shared import delete, materialize
 
 
 def read_events(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -23,24 +24,27 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int | None = No
 
 
 def fold_stream(events: DataFrame, state: str, checkpoint: str, partitions: int = 16) -> None:
-    """Fold a stream of events into versioned state tables until the input ends; the newest version is the state.
+    """Settle a stream of events into versioned tables, one row per event_id, until the input ends.
 
-    Each micro-batch merges its own facts with the version before and writes the next one, so a batch that is replayed
-    after a failure overwrites its own version with the same rows: the fold is idempotent. An event_id that was sent
-    again in a later batch changes nothing if its sequence is the same.
+    Each micro-batch merges its own events with the version before and writes the next one, so a batch that is replayed
+    after a failure overwrites its own version with the same rows: the merge is idempotent. An event_id that is sent
+    again in a later batch counts once, with its lowest sequence. Only the last two versions are kept.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         base = batch.sparkSession.read.parquet(f"{state}/version={number - 1}") if number else None
-        fold_changes(change_facts(sound_events(batch)), base).repartition(partitions, "entity_id").write.mode("overwrite").parquet(f"{state}/version={number}")
+        settled_events(batch, base).repartition(partitions, "event_id").write.mode("overwrite").parquet(f"{state}/version={number}")
+        delete(batch.sparkSession, f"{state}/version={number - 2}")
 
     events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def newest_state(spark: SparkSession, state: str) -> DataFrame:
+    """The folded facts of the newest version, for current_fields()."""
     path = spark._jvm.org.apache.hadoop.fs.Path(state)
     found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(path)
-    return spark.read.parquet(f"{state}/version={max(int(f.getPath().getName().split('=')[1]) for f in found)}")
+    settled = spark.read.parquet(f"{state}/version={max(int(f.getPath().getName().split('=')[1]) for f in found)}")
+    return materialize(fold_changes(change_facts(named_events(settled))))
 
 
 def unique_events(events: DataFrame, delay: str = "30 days") -> DataFrame:
