@@ -179,13 +179,54 @@ def subtype_table(nodes: DataFrame, node_kind: str, columns: dict[str, str]) ->
     a key are called f_<name>.
     """
     keys = ["record_ref", "node_path", "parent_kind", "parent_path", "variant"]
-    typed = [F.expr(f"try_cast(fields['{c}'] as {t})").alias(f"f_{c}" if c in keys else c) for c, t in columns.items()]
+    typed = [F.col("fields")[F.lit(c)].try_cast(t).alias(f"f_{c}" if c in keys else c) for c, t in columns.items()]
     return nodes.where(F.col("node_kind") == node_kind).select(*keys, *typed)
 
 
+def shape_columns(shape: str) -> dict[str, str]:
+    """The fields of an object's automaton state, and their states; fields that are tables of their own are left out."""
+    out, at, decoder = {}, 1, json.JSONDecoder()
+    while at < len(shape) - 1:
+        key, at = decoder.raw_decode(shape, at)
+        start, depth, at = at + 1, 0, at + 1
+        while at < len(shape) - 1 and (depth or shape[at] != ","):
+            if shape[at] == '"':
+                at = decoder.raw_decode(shape, at)[1]
+                continue
+            depth += (shape[at] in "[{") - (shape[at] in "]}")
+            at += 1
+        if shape[start:at] != "table":
+            out[key] = shape[start:at]
+        at += 1
+    return out
+
+
+def column_type(states: set[str]) -> str:
+    """The Spark type that holds every value of these states; nested values and mixtures stay JSON text."""
+    states = states - {"null"}
+    return {frozenset({"bool"}): "boolean", frozenset({"int"}): "bigint", frozenset({"float"}): "double", frozenset({"int", "float"}): "double"}.get(frozenset(states), "string")
+
+
+def kind_columns(nodes: DataFrame) -> dict[str, dict[str, str]]:
+    """Typed columns of every kind's table, from the states of all its variants; only field names reach the driver."""
+
+    def fields(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([(k, f, s if s[0] not in "[{" else "text") for k, shape in zip(frame["node_kind"], frame["shape"]) for f, s in (shape_columns(shape) or {"": "text"}).items()], columns=["node_kind", "field", "state"])
+
+    rows = nodes.select("node_kind", "shape").distinct().mapInPandas(fields, "node_kind string, field string, state string").distinct().collect()
+    states: dict[str, dict[str, set]] = {}
+    for r in rows:
+        own = states.setdefault(r.node_kind, {})
+        if r.field:
+            own.setdefault(r.field, set()).add(r.state)
+    return {kind: {f: column_type(own[f]) for f in sorted(own)} for kind, own in states.items()}
+
+
 def write_variants(nodes: DataFrame, folder: str) -> None:
-    """Route every variant to a table of its own: one folder per kind and variant."""
-    nodes.repartition("node_kind", "variant").write.partitionBy("node_kind", "variant").mode("overwrite").parquet(folder)
+    """Route every variant to a typed table of its own: one folder per kind and variant, typed columns of the kind."""
+    for kind, columns in kind_columns(nodes).items():
+        subtype_table(nodes, kind, columns).repartition("variant").write.partitionBy("variant").mode("overwrite").parquet(f"{folder}/node_kind={kind}")
 
 
 def audit_records(imports: DataFrame, results: DataFrame) -> DataFrame:

@@ -34,6 +34,12 @@ def p1_subtype(s: SparkSession, d: str, kind: str) -> DataFrame:
     return nested.subtype_table(_nodes(s, d), kind, SUBTYPES[kind])
 
 
+def p1_typed(s: SparkSession, d: str, kind: str) -> DataFrame:
+    """A kind's table with columns typed by the states of its variants; a kind without elements has only the keys."""
+    nodes = materialize(_nodes(s, d).where(F.col("node_kind") == kind))
+    return nested.subtype_table(nodes, kind, nested.kind_columns(nodes).get(kind, {}))
+
+
 def p2_found(s: SparkSession, d: str) -> DataFrame:
     return references.orphan_references(*references.audit_references(*(table(s, d, t) for t in ("assets", "observations", "findings", "audit_jobs", "audit_results"))))
 
@@ -86,6 +92,7 @@ def p5_batches(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_variants, p2_found, p2_counts, p3_found, p3_activity, p4_found, p4_descendants, p4_subtrees, p5_found, p5_state, p5_batches)}
 QUERIES |= {f"p1_{k}": partial(p1_subtype, kind=k) for k in SUBTYPES}
+QUERIES |= {f"p1_{k}": partial(p1_typed, kind=k) for k in nested.LIST_FIELDS if k not in SUBTYPES}
 
 _ID = "nullif(lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')), '')"
 _JOBS = f"""jobs AS (SELECT job_id, case_id, parent_job_id, created_at, updated_at, purged_at, result_refs FROM (

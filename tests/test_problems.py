@@ -51,6 +51,23 @@ def test_shapes_route_to_variants(spark):
     assert [(r.n, r.parent_path, r.f_variant) for r in typed] == [(1, "pages[3]", None)]
 
 
+def test_every_kind_and_variant_is_typed(spark, tmp_path):
+    from ledgerline.plans import problems
+
+    assert nested.shape_columns('{"a,\\"]":[{"x":int}|text],"b":table,"c":null,"d":{"e":bool,"f":int},"g":int}') == {'a,"]': '[{"x":int}|text]', "c": "null", "d": '{"e":bool,"f":int}', "g": "int"}
+    assert nested.shape_columns("{}") == {}
+    body = {k: [{"n": 1, "odd'name": True}, {"n": 1.5, "pages": []}, {"n": None, "s": [1], "z": 1 if i % 2 else "t"}, {"z": 2}, {}] for i, k in enumerate(nested.LIST_FIELDS)}
+    nodes = nested.flatten(spark.createDataFrame([("r", t(2025, 1, 1), json.dumps(body))], "record_ref string, received_at timestamp, body string"))
+    for i, columns in enumerate(map(nested.kind_columns(nodes).get, nested.LIST_FIELDS)):
+        assert columns == {"n": "double", "odd'name": "boolean", "s": "string", "z": "bigint" if i % 2 else "string"}
+    nested.write_variants(nodes, str(tmp_path / "v"))
+    for kind in nested.LIST_FIELDS:
+        got = spark.read.parquet(str(tmp_path / "v" / f"node_kind={kind}"))
+        assert {(r.n, r["odd'name"], r.s) for r in got.collect()} == {(1.0, True, None), (1.5, None, None), (None, None, "[1]"), (None, None, None)}
+        assert got.count() == 5 and got.select("variant").distinct().count() == 5
+    assert {f"p1_{k}" for k in nested.LIST_FIELDS} <= set(problems.QUERIES)
+
+
 # 2
 
 REFS = "ref_table string, ref_field string, target string, row_id string, key string, ref_time timestamp, created_at string"
