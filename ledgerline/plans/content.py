@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from ledgerline.functions import namespaces as N
 from ledgerline.operators import content as C, joins as J, parsers as R
@@ -276,6 +276,13 @@ def t3(s, d):
     return table(s, d, "customer").where("c_acctbal < -900").groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_list("c_custkey")), ",").alias("customers"))
 
 
+@query("ref_T3_sorted_lists_all", "SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS position, c_custkey FROM customer")
+def t3_all(s, d):
+    """All customers; the order is a position per key instead of an array, whose size has no bound."""
+    at = F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey"))
+    return table(s, d, "customer").select("c_nationkey", at.alias("position"), "c_custkey")
+
+
 @query("ref_T7_capped_with_flag", "SELECT user_id, least(n, 32) AS kept, n > 32 AS truncated FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)")
 def t7(s, d):
     n = table(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))

@@ -119,6 +119,16 @@ def j11(s, d):
     return J.interval_join(observations(s, d).where("access = 'BODY_SERVED'"), "observed_at", r, "started_at", "ended_at").select("observation_id", "run_id")
 
 
+@query(
+    "ref_J11_runs_at_observation_all",
+    f"WITH r AS (SELECT DISTINCT {I('run_id')} AS run_id, started_at, ended_at FROM audit_runs WHERE ended_at > started_at) SELECT o.observation_id, r.run_id FROM {_OB} o JOIN r ON o.observed_at >= r.started_at AND o.observed_at < r.ended_at",
+)
+def j11_all(s, d):
+    """All observations, whatever their access."""
+    r = table(s, d, "audit_runs").where("ended_at > started_at").select(norm_id("run_id").alias("run_id"), "started_at", "ended_at").distinct()
+    return J.interval_join(observations(s, d), "observed_at", r, "started_at", "ended_at").select("observation_id", "run_id")
+
+
 @query("ref_J12_owned_or_excluded", "SELECT CASE WHEN c.c_custkey IS NOT NULL AND c.c_acctbal > 5000 THEN 'owned' WHEN s.s_suppkey IS NOT NULL THEN 'excluded' ELSE 'review_required' END AS status, count(*) AS n FROM part p LEFT JOIN customer c ON p.p_partkey = c.c_custkey LEFT JOIN supplier s ON p.p_partkey = s.s_suppkey GROUP BY 1")
 def j12(s, d):
     """Two lookups with precedence; Spark chooses the strategy by the sides' sizes."""
