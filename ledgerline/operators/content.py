@@ -125,9 +125,15 @@ def redacted_json(captures: DataFrame) -> DataFrame:
 
 
 def references(captures: DataFrame, limit: int = 256) -> DataFrame:
-    """Literal references of html and script bodies: id, relation, url; each once, at most `limit` per body."""
+    """Literal references of html and script bodies: id, relation, url; each once, at most `limit` per body.
+
+    The first in order of the page are kept, links before fetches. A body with more gets a row more that tells of the
+    cut: relation `reference_limit`, url null.
+    """
     page = html_regions(captures)
-    links = page.select("id", F.explode("links").alias("l")).select("id", F.col("l.kind").alias("relation"), F.col("l.url").alias("url"))
-    fetched = page.select("id", F.lit("fetch_literal").alias("relation"), F.explode(F.regexp_extract_all(F.array_join("scripts", "\n"), F.lit(P.FETCH_LITERAL), F.lit(1))).alias("url"))
-    both = links.unionByName(fetched).distinct()
-    return both.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("relation", "url"))).where(F.col("r") <= limit).drop("r")
+    links = page.select("id", F.posexplode("links").alias("at", "l")).select("id", F.lit(0).alias("part"), "at", F.col("l.kind").alias("relation"), F.col("l.url").alias("url"))
+    fetched = page.select("id", F.posexplode(F.regexp_extract_all(F.array_join("scripts", "\n"), F.lit(P.FETCH_LITERAL), F.lit(1))).alias("at", "url")).select("id", F.lit(1).alias("part"), "at", F.lit("fetch_literal").alias("relation"), "url")
+    both = links.unionByName(fetched).groupBy("id", "relation", "url").agg(F.min(F.struct("part", "at")).alias("first"))
+    kept = both.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("first"))).where(F.col("r") <= limit + 1)
+    over = F.col("r") > limit
+    return kept.select("id", F.when(over, "reference_limit").otherwise(F.col("relation")).alias("relation"), F.when(~over, F.col("url")).alias("url"))

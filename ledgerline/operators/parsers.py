@@ -55,7 +55,7 @@ class Regions(HTMLParser):
         elif tag in ("td", "th") and self.rows:
             self.cell = []
         target = a.get({"script": "src", "iframe": "src", "a": "href", "link": "href"}.get(tag, ""), "")
-        if target and len(self.links) < MAX_LINKS:
+        if target:
             self.links.append((tag, target))
 
     def handle_endtag(self, tag):

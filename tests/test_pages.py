@@ -55,3 +55,12 @@ def test_real_pages_against_brute_force(spark):
     rules = (("EMAIL_VALUE_CANDIDATE", P.EMAIL, 0), ("CONFIDENTIAL_MARKER_CANDIDATE", P.CONFIDENTIAL, re.I))
     assert {r.id: r.codes for r in codes.collect()} == {i: " ".join(c for c, p, f in rules if re.search(p, t, f)) for i, t in texts.items()}
     assert texts and any(words.values())
+
+
+def test_references_up_to_the_limit(spark):
+    many = lambda n: "<a href='/same'>x</a>" * 70 + "".join(f"<a href='/{i}'>x</a>" for i in range(n)) + "<script src='/end.js'></script>"
+    rows = C.references(spark.createDataFrame([(1, many(100)), (2, many(300)), (3, many(254))], "id bigint, body string")).collect()
+    found = {i: {(r.relation, r.url) for r in rows if r.id == i} for i in (1, 2, 3)}
+    links = lambda n: {("a", "/same")} | {("a", f"/{i}") for i in range(n)}
+    assert found == {1: links(100) | {("script", "/end.js")}, 2: links(255) | {("reference_limit", None)}, 3: links(254) | {("script", "/end.js")}}
+    assert len(rows) == 102 + 257 + 256
