@@ -79,6 +79,56 @@ def page_signals(captures: DataFrame) -> DataFrame:
     return r.select("id", F.array_compact(F.array(*rules)).alias("codes"), F.when(has("visible", P.CONFIDENTIAL, True), "visible_body").when(has("hidden", P.CONFIDENTIAL, True), "hidden_body").alias("marker_region"))
 
 
+def _is_page() -> Column:
+    return F.coalesce(F.lower("content_type").startswith("text/html"), F.lit(False))
+
+
+def region_captures(captures: DataFrame) -> DataFrame:
+    """Captures as texts without mark-up: id, region, body, content_type. Plain ones are one region, `body`.
+
+    A page has `visible`, and where they hold text `hidden`, `inputs`, `script` and each data script as `json<n>`.
+    """
+    plain = captures.where(~_is_page() & F.col("body").isNotNull()).select("id", F.lit("body").alias("region"), "body", "content_type")
+    one = lambda region, body, kind: F.struct(region.alias("region"), body.alias("body"), F.lit(kind).alias("content_type"))
+    texts = [one(F.lit(c), F.col(c), "text/plain") for c in ("visible", "hidden", "inputs")] + [one(F.lit("script"), F.array_join("scripts", "\n"), "text/javascript")]
+    data = F.transform("json_scripts", lambda x, n: one(F.concat(F.lit("json"), n.cast("string")), x, "application/json"))
+    pages = html_regions(captures.where(_is_page())).select("id", F.explode(F.concat(F.array(*texts), data)).alias("r")).select("id", "r.*")
+    return plain.unionByName(pages.where("body <> '' or region = 'visible'"))
+
+
+def text_captures(captures: DataFrame) -> DataFrame:
+    """Captures with the regions of each page as one body, for value_signals(); no match reaches over two regions."""
+    order = F.array_position(F.array(*map(F.lit, ("body", "visible", "hidden", "inputs", "script"))), F.col("region"))
+    parts = F.array_sort(F.collect_list(F.struct(F.when(order > 0, order).otherwise(9).alias("n"), "region", "body")))
+    pages = region_captures(captures.where(_is_page())).groupBy("id").agg(F.array_join(F.transform(parts, lambda x: x["body"]), "\n\u241e\n").alias("body"))
+    return captures.where(~_is_page()).select("id", "body").unionByName(pages)
+
+
+def page_verdicts(captures: DataFrame) -> DataFrame:
+    """Like marker_signals() for html captures, from all their regions: id, codes (sorted), content, pending_reviews.
+
+    Visible text is no JSON, so only data scripts are tested for that; images are mark-up, so the raw body tells of them.
+    """
+    from ledgerline.operators.signals import content_verdict, marker_signals
+
+    pages = captures.where(_is_page() & F.col("body").isNotNull())
+    regions = marker_signals(region_captures(pages).select(F.struct("id", "region").alias("id"), "body", "content_type"))
+    no_json = F.filter("codes", lambda c: c != "JSON_PARSE_INCOMPLETE")
+    found = regions.select("id.id", F.when(F.col("id.region").startswith("json"), F.col("codes")).otherwise(no_json).alias("codes"), "pending_reviews")
+    none = F.array().cast("array<string>")
+    found = found.unionByName(page_signals(pages).select("id", "codes", none.alias("pending_reviews")))
+    found = found.unionByName(pages.select("id", none.alias("codes"), F.when(has("body", P.IMAGE_PENDING, True), F.array(F.lit("image_or_base64_review"))).otherwise(none).alias("pending_reviews")))
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return found.groupBy("id").agg(every("codes"), every("pending_reviews")).select("id", "codes", content_verdict("codes").alias("content"), "pending_reviews")
+
+
+def region_secrets(captures: DataFrame) -> DataFrame:
+    """secret_offsets() in every region: id, region, code, offset in the region's text."""
+    from ledgerline.operators.signals import secret_offsets
+
+    return secret_offsets(region_captures(captures).select(F.struct("id", "region").alias("id"), "body")).select("id.id", "id.region", "code", "offset")
+
+
 def gate_flags(captures: DataFrame) -> DataFrame:
     """Static flags of gate pages: which business words and login or server calls occur."""
     r = html_regions(captures)

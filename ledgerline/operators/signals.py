@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline.functions import patterns as P
 from ledgerline.functions.text import has, masked_examples, matches, tax_number_valid
@@ -27,6 +27,12 @@ def value_signals(captures: DataFrame) -> DataFrame:
     return rows.select("id", "code", F.size("found").cast("bigint").alias("occurrences"), F.size(F.array_distinct("found")).cast("bigint").alias("unique_values"), examples.alias("masked_examples"))
 
 
+def content_verdict(codes: str) -> Column:
+    """Codes that end in _CANDIDATE make a SENSITIVE_CANDIDATE, except the mere endpoint; a canary overrides."""
+    sensitive = F.exists(codes, lambda c: c.endswith("_CANDIDATE") & (c != "RUNTIME_ENDPOINT_CANDIDATE"))
+    return F.when(F.array_contains(codes, "SYNTHETIC_CANARY_PRESENT"), "SYNTHETIC_CONTENT_CONFIRMED").when(sensitive, "SENSITIVE_CANDIDATE").otherwise("NOT_INSPECTED")
+
+
 def marker_signals(captures: DataFrame, canary: str = CANARY) -> DataFrame:
     """id, codes (in order of emission, at most 32), content verdict and pending reviews of plain captures.
 
@@ -46,9 +52,7 @@ def marker_signals(captures: DataFrame, canary: str = CANARY) -> DataFrame:
     rules += [("CLIENT_PASSWORD_CANDIDATE", script & (has("body", P.PASSWORD_ASSIGNMENT, True) | has("body", P.PASSWORD_COMPARISON, True)))]
     rules += [("RUNTIME_ENDPOINT_CANDIDATE", has("body", P.FETCH_LITERAL)), ("RUNTIME_ENDPOINT_UNRESOLVED", script & has("body", P.FETCH_DYNAMIC))]
     codes = F.array_compact(F.array(*[F.when(rule, F.lit(code)) for code, rule in rules]))
-    sensitive = F.exists("codes", lambda c: c.endswith("_CANDIDATE") & (c != "RUNTIME_ENDPOINT_CANDIDATE"))
-    content = F.when(F.array_contains("codes", "SYNTHETIC_CANARY_PRESENT"), "SYNTHETIC_CONTENT_CONFIRMED").when(sensitive, "SENSITIVE_CANDIDATE").otherwise("NOT_INSPECTED")
-    rows = captures.where("body is not null").select("id", "body", F.slice(codes, 1, MAX_SIGNALS).alias("codes")).withColumn("content", content)
+    rows = captures.where("body is not null").select("id", "body", F.slice(codes, 1, MAX_SIGNALS).alias("codes")).withColumn("content", content_verdict("codes"))
     late = F.when(has("body", P.CHALLENGE, True) & (F.size("codes") < MAX_SIGNALS), F.array(F.lit("CHALLENGE_PAGE_INDICATOR"))).otherwise(F.array())
     pending = F.when(has("body", P.IMAGE_PENDING, True), F.array(F.lit("image_or_base64_review"))).otherwise(F.array().cast("array<string>"))
     return rows.select("id", F.concat("codes", late.cast("array<string>")).alias("codes"), "content", pending.alias("pending_reviews"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ledgerline.functions import namespaces as N
-from ledgerline.operators import content as C, joins as J, parsers as R
+from ledgerline.operators import content as C, joins as J, parsers as R, signals as S
 from ledgerline.plans.common import CAPTURES, FIELDS, PLAIN, URLS, sql
 from ledgerline.plans.structures import _JS, _PAGES, _PATHS_JSON
 from ledgerline.sources.shared import table
@@ -139,6 +139,45 @@ def c9_all(s, d):
     return C.page_signals(sql(s, d, _PAGES)).select("id", F.array_join("codes", " ").alias("codes"), "marker_region")
 
 
+# The value, secret and verdict rules over all captures; the queries of these names without _all leave the pages out.
+
+
+@query("ref_C1_C25_verdicts_all")
+def verdicts_all(s, d):
+    captures = sql(s, d, CAPTURES)
+    rows = S.marker_signals(sql(s, d, PLAIN)).unionByName(C.page_verdicts(captures))
+    return rows.select("id", F.array_join("codes", " ").alias("codes"), "content", F.array_join("pending_reviews", " ").alias("pending"))
+
+
+def _values(s, d, *codes):
+    return S.value_signals(C.text_captures(sql(s, d, CAPTURES))).where(F.col("code").isin(*codes))
+
+
+@query("ref_F1_email_signals_all")
+def f1_all(s, d):
+    return _values(s, d, "EMAIL_VALUE_CANDIDATE").select("id", "occurrences", "unique_values", F.array_join("masked_examples", " ").alias("examples"))
+
+
+@query("ref_F2_F3_number_signals_all")
+def f2_all(s, d):
+    return _values(s, d, "KR_PHONE_VALUE_CANDIDATE", "KR_RESIDENT_VALUE_CANDIDATE").select("id", "code", "occurrences")
+
+
+@query("ref_F4_plates_all")
+def f4_all(s, d):
+    return _values(s, d, "KR_VEHICLE_PLATE_CANDIDATE").select("id", "occurrences")
+
+
+@query("ref_F5_business_numbers_all")
+def f5_all(s, d):
+    return _values(s, d, "KR_BUSINESS_NUMBER_CANDIDATE").select("id", "occurrences", "unique_values")
+
+
+@query("ref_F7_secret_offsets_all")
+def f7_all(s, d):
+    return C.region_secrets(sql(s, d, CAPTURES))
+
+
 @query("ref_C29_chunk_findings")
 def c29(s, d):
     return C.chunk_findings(sql(s, d, CAPTURES), 2_000, 200).select("id", F.array_join("codes", " ").alias("codes"), "chunks")

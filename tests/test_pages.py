@@ -57,6 +57,26 @@ def test_real_pages_against_brute_force(spark):
     assert texts and any(words.values())
 
 
+def test_values_and_verdicts_of_pages(spark, tmp_path):
+    page = "<p>mail a@b.test, [tel</p> 010-1234-5678<div hidden>a@b.test 12가3456</div><input value='109-86-31667'><img src=x><script>let k = 'sb_secret_abcdefghijkl0'; pw = 'abcd1234'</script><script type='application/json'>{broken</script>"
+    docs = [(1, page, "page-capture"), (2, "<b>900101-1234567</b>", "page-capture"), (3, "<p>[nothing</p>", "page-capture"), (4, "SYNTHETIC_CANARY_1 a@b.test", "page-capture"), (5, None, "page-capture"), (6, "a@b.test", "memo")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, doc_kind string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = lambda name: sorted(tuple(r) for r in content.QUERIES[name](spark, str(tmp_path)).where("id > 0").collect())
+    assert got("ref_F1_email_signals_all") == [(1, 2, 1, "a*@b.test"), (4, 1, 1, "a*@b.test"), (6, 1, 1, "a*@b.test")]
+    assert got("ref_F2_F3_number_signals_all") == [(1, "KR_PHONE_VALUE_CANDIDATE", 1), (2, "KR_RESIDENT_VALUE_CANDIDATE", 1)]
+    assert got("ref_F4_plates_all") == [(1, 1)]
+    assert got("ref_F5_business_numbers_all") == [(1, 1, 1)]
+    assert got("ref_F7_secret_offsets_all") == [(1, "script", "SERVER_SECRET_CANDIDATE", 9)]
+    codes = "CLIENT_PASSWORD_CANDIDATE EMAIL_VALUE_CANDIDATE HIDDEN_DOM_PRESENT JSON_PARSE_INCOMPLETE KR_BUSINESS_NUMBER_CANDIDATE KR_PHONE_VALUE_CANDIDATE KR_VEHICLE_PLATE_CANDIDATE SERVER_SECRET_CANDIDATE"
+    assert got("ref_C1_C25_verdicts_all") == [
+        (1, codes, "SENSITIVE_CANDIDATE", "image_or_base64_review"),
+        (2, "KR_RESIDENT_VALUE_CANDIDATE", "SENSITIVE_CANDIDATE", ""),
+        (3, "", "NOT_INSPECTED", ""),
+        (4, "EMAIL_VALUE_CANDIDATE SYNTHETIC_CANARY_PRESENT", "SYNTHETIC_CONTENT_CONFIRMED", ""),
+        (6, "EMAIL_VALUE_CANDIDATE", "SENSITIVE_CANDIDATE", ""),
+    ]
+
+
 def test_references_up_to_the_limit(spark):
     many = lambda n: "<a href='/same'>x</a>" * 70 + "".join(f"<a href='/{i}'>x</a>" for i in range(n)) + "<script src='/end.js'></script>"
     rows = C.references(spark.createDataFrame([(1, many(100)), (2, many(300)), (3, many(254))], "id bigint, body string")).collect()
