@@ -4,41 +4,144 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
+import re
 from collections.abc import Iterator
+from functools import lru_cache
+from json.decoder import scanstring
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ledgerline.functions.bitmap import maybe_in
 from ledgerline.functions.ids import norm_id
+from ledgerline.sources.shared import materialize, new_path
 
 #: List fields whose object elements become rows. Fixed values.
 LIST_FIELDS = ["channels", "attempts", "candidates", "repositories", "pages", "signals", "categories", "columns", "members"]
-MAX_DEPTH = 64  #: shapes nested deeper than this share one automaton state; elements are found at any depth
-
-NODES = T.StructType(
-    [
-        T.StructField("record_ref", T.StringType()),
-        T.StructField("node_kind", T.StringType()),
-        T.StructField("parent_kind", T.StringType()),
-        T.StructField("parent_path", T.StringType()),
-        T.StructField("node_path", T.StringType()),
-        T.StructField("variant", T.StringType()),
-        T.StructField("shape", T.StringType()),
-        T.StructField("fields", T.MapType(T.StringType(), T.StringType())),
-    ]
-)
+TABLES = 2000  #: the most frequent variants get typed columns; all others share one folder with their fields as a map
+FLUSH = 8 << 20  #: characters of rows that are held before they go on
+
+NODES = T.StructType([T.StructField(n, T.StringType()) for n in ("record_ref", "node_kind", "parent_kind", "parent_path", "node_path", "variant", "shape")] + [T.StructField("own", T.MapType(T.StringType(), T.StringType()))])
+_ARROW = pa.schema([(n, pa.string()) for n in NODES.names[:-1]] + [("own", pa.map_(pa.string(), pa.string()))])
+KEYS = ["record_ref", "node_kind", "variant", "parent_kind", "parent_path", "node_path"]
+#: First character of a value in `own`, by its automaton state, and the type of its column. Nested values stay JSON text.
+CODES = {"bool": ("b", "boolean"), "int": ("i", "bigint"), "float": ("f", "double"), "number": ("x", "string"), "text": ("t", "string")}
+
+
+class Number(str):
+    """The text of a number that neither bigint nor double holds."""
 
 
 def _reject(name: str):
     raise ValueError(name)
 
 
+def _float(text: str):
+    value = float(text)
+    return value if math.isfinite(value) else Number(text)
+
+
+_DECODER = json.JSONDecoder(parse_constant=_reject, parse_float=_float)
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([\[\]{},:])|(")|(-?(?:0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?)|(true|false|null))')
+_WORDS = {"true": True, "false": False, "null": None}
+
+
 def parse(text):
-    """The value of a JSON text, or raise ValueError; NaN and Infinity are not JSON."""
+    """The value of a JSON text of any depth, or raise ValueError; NaN and Infinity are not JSON."""
     try:
-        return json.loads(text, parse_constant=_reject)
-    except RecursionError as e:
-        raise ValueError("nested too deeply") from e
+        return _DECODER.decode(text)
+    except RecursionError:
+        return _parse_deep(text)
+    except json.JSONDecodeError:
+        raise
+    except ValueError as e:
+        if "digits" in str(e):  # Python's own limit for integers, not one of JSON
+            return _parse_deep(text)
+        raise
+
+
+def _parse_deep(text: str):
+    """parse() with a stack of its own: `expect` tells what may come next in the innermost open list or object."""
+    stack, keys, root, expect, at = [], [], None, "value", 0
+    while m := _TOKEN.match(text, at):
+        at, sign = m.end(), m[1]
+        if sign == ",":
+            if expect != "next":
+                raise ValueError("comma")
+            expect = "value" if isinstance(stack[-1], list) else "key"
+        elif sign == ":":
+            if expect != "colon":
+                raise ValueError("colon")
+            expect = "value"
+        elif sign in ("]", "}"):
+            if not stack or isinstance(stack[-1], list) != (sign == "]") or expect not in ("next", "open"):
+                raise ValueError("bracket")
+            stack.pop()
+            keys.pop()
+            expect = "next" if stack else "end"
+        else:
+            if m[2]:
+                value, at = scanstring(text, at)
+                if expect == "key" or expect == "open" and isinstance(stack[-1], dict):
+                    keys[-1], expect = value, "colon"
+                    continue
+            elif m[3]:
+                value = _float(m[3]) if m[4] or m[5] else int(m[3]) if len(m[3]) < 4000 else Number(m[3])
+            else:
+                value = _WORDS[m[6]] if m[6] else [] if sign == "[" else {}
+            if expect != "value" and not (expect == "open" and isinstance(stack[-1], list)):
+                raise ValueError("value")
+            if not stack:
+                root = value
+            elif isinstance(stack[-1], list):
+                stack[-1].append(value)
+            else:
+                stack[-1][keys[-1]] = value
+            if sign:
+                stack.append(value)
+                keys.append(None)
+                expect = "open"
+            else:
+                expect = "next" if stack else "end"
+    if expect != "end" or text[at:].strip(" \t\n\r"):
+        raise ValueError("not JSON")
+    return root
+
+
+@lru_cache(maxsize=100_000)
+def _quoted(text: str) -> str:
+    return json.dumps(text, ensure_ascii=False)
+
+
+def _scalar(value) -> str:
+    return str(value) if isinstance(value, Number) else json.dumps(value, ensure_ascii=False)
+
+
+def dumps(value) -> str:
+    """JSON text of a value of any depth, without blanks."""
+    out, todo = [], [(None, value)]
+    while todo:
+        text, value = todo.pop()
+        if text is not None:
+            out.append(text)
+        elif isinstance(value, dict):
+            todo.append(("}", None))
+            items = list(value.items())
+            for i in range(len(items) - 1, -1, -1):
+                todo.append((None, items[i][1]))
+                todo.append(("," * (i > 0) + _quoted(items[i][0]) + ":", None))
+            out.append("{")
+        elif isinstance(value, list):
+            todo.append(("]", None))
+            for i in range(len(value) - 1, -1, -1):
+                todo.append((None, value[i]))
+                if i:
+                    todo.append((",", None))
+            out.append("[")
+        else:
+            out.append(_scalar(value))
+    return "".join(out)
 
 
 def opened(value):
@@ -60,38 +163,87 @@ def opened(value):
 class ShapeAutomaton:
     """Bottom-up tree automaton over JSON values: the state of a node follows from its children's states.
 
-    Leaves have the states null, bool, int, float and text; a list has the set of its elements' states; an object
-    has the sorted (field, state) pairs. A list field that is routed to tables of its own contributes one state
-    `table`, whatever its elements, so the number of object states does not multiply along the nesting.
+    Leaves have the states null, bool, int, float, number (too large for a column type) and text; a list has the set of
+    its elements' states; an object has the sorted (field, state) pairs. A list field that is routed to tables of its
+    own contributes one state `table`, whatever its elements, so the number of object states does not multiply along
+    the nesting. An inner state of more than 500 characters goes by its digest. Values may be nested to any depth.
     """
 
     def __init__(self, list_fields):
         self.list_fields = frozenset(list_fields)
 
-    def state(self, value, depth: int = 0) -> str:
-        if depth > MAX_DEPTH:
-            return "deep"
+    @staticmethod
+    def leaf(value) -> str | None:
+        """State of a value that is no list or object; text must be opened before."""
         if value is None:
             return "null"
-        if isinstance(value, bool):
+        kind = type(value)
+        if kind is bool:
             return "bool"
-        if isinstance(value, int):
-            return "int"
-        if isinstance(value, float):
+        if kind is int:
+            return "int" if -(1 << 63) <= value < 1 << 63 else "number"
+        if kind is float:
             return "float"
+        if kind is Number:
+            return "number"
+        return "text" if kind is str else None
+
+    def field(self, key, value) -> str:
+        """State of an object's field; value: opened."""
+        if key in self.list_fields and isinstance(value, (list, dict)):
+            return "table"
+        return self.leaf(value) or self.state(value)
+
+    def state(self, value) -> str:
         value = opened(value)
-        if isinstance(value, str):
-            return "text"
+        if known := self.leaf(value):
+            return known
+        frames = [self._frame(value)]
+        while True:
+            keys, children, states = frames[-1]
+            for child in children:
+                at = len(states)
+                child = opened(child)
+                if keys is not None and keys[at] in self.list_fields and isinstance(child, (list, dict)):
+                    states.append("table")
+                elif known := self.leaf(child):
+                    states.append(known)
+                else:
+                    frames.append(self._frame(child))
+                    break
+            else:
+                frames.pop()
+                done = "[" + "|".join(sorted(set(states))) + "]" if keys is None else self.named(keys, states)
+                if not frames:
+                    return done
+                if len(done) > 500:
+                    done = f"{done[0]}#{hashlib.md5(done.encode('utf-8', 'replace')).hexdigest()}{done[-1]}"
+                frames[-1][2].append(done)
+
+    @staticmethod
+    def _frame(value):
         if isinstance(value, list):
-            return "[" + "|".join(sorted({self.state(v, depth + 1) for v in value})) + "]"
-        return "{" + ",".join(f"{json.dumps(k)}:{self.field(k, v, depth)}" for k, v in sorted(value.items())) + "}"
-
-    def field(self, key, value, depth: int) -> str:
-        if key in self.list_fields:
-            value = opened(value)
-            if isinstance(value, (list, dict)):
-                return "table"
-        return self.state(value, depth + 1)
+            return None, iter(value), []
+        keys = sorted(value)
+        return keys, iter([value[k] for k in keys]), []
+
+    @staticmethod
+    def named(keys, states) -> str:
+        return "{" + ",".join(f"{_quoted(k)}:{s}" for k, s in zip(keys, states)) + "}"
+
+    def describe(self, obj: dict) -> tuple[str, list[tuple[str, str | None]]]:
+        """State of an object, and its fields that are no tables of their own: (name, code and text; null for null)."""
+        keys, states, own = sorted(obj), [], []
+        for key in keys:
+            raw = obj[key]
+            value = opened(raw)
+            state = self.field(key, value)
+            states.append(state)
+            if state == "table":
+                continue
+            code = CODES.get(state, ("j",))[0]
+            own.append((key, None if state == "null" else code + (raw if isinstance(raw, str) else dumps(value))))
+        return self.named(keys, states), own
 
 
 def elements(root, list_fields) -> Iterator[tuple[str, str, str, str, dict]]:
@@ -115,72 +267,89 @@ def elements(root, list_fields) -> Iterator[tuple[str, str, str, str, dict]]:
             stack.extend((opened(x), f"{path}[{i}]", parent, parent_kind, None) for i, x in enumerate(value))
 
 
-def _valid(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        out = []
-        for text in texts:
-            try:
-                parse(text)
-                out.append(True)
-            except (ValueError, TypeError):
-                out.append(False)
-        yield pd.Series(out, dtype=bool)
+_HALF = re.compile("[\ud800-\udfff]")  # halves of surrogate pairs, which no UTF-8 text holds
 
 
-def latest_valid(records: DataFrame) -> DataFrame:
-    """Of the valid bodies of one record_ref the latest received: record_ref, body. Ties take the greater text.
-
-    Records with a null or blank record_ref, a null body or an invalid body yield nothing. The maximum is combined on
-    the map side, so a record received very often is no hot key.
-    """
-    valid = F.pandas_udf(_valid, "boolean")
-    rows = records.select(norm_id("record_ref").alias("record_ref"), "received_at", "body").where("record_ref is not null and body is not null")
-    return rows.where(valid("body")).groupBy("record_ref").agg(F.max(F.struct("received_at", "body")).alias("b")).select("record_ref", "b.body")
-
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(_ARROW)
+    try:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+    except (UnicodeEncodeError, pa.ArrowInvalid):
+        whole = lambda x: _HALF.sub("�", x) if isinstance(x, str) else x
+        columns = [[whole(x) for x in c] for c in columns[:-1]] + [[list({whole(k): whole(v) for k, v in own or ()}.items()) for own in columns[-1]]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
-def flatten(records: DataFrame, list_fields: list[str] = LIST_FIELDS) -> DataFrame:
-    """The supertype table: one row per object that is an element of one of the list fields, at any depth.
 
-    records: record_ref, received_at, body (JSON text). Every row keeps its parent link (parent_kind, parent_path),
-    its variant (digest of the automaton state) with the readable shape, and its own fields as JSON texts.
-    """
+def _walk(bodies: DataFrame, list_fields) -> DataFrame:
+    """The elements of each body; one row without a kind for a body that is not valid JSON. Each body is parsed once."""
     wanted = frozenset(list_fields)
 
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = ShapeAutomaton(wanted)
-        digests: dict[str, str] = {}
-        for frame in frames:
-            rows = []
-            for ref, body in zip(frame["record_ref"], frame["body"]):
-                for kind, parent_kind, parent, path, obj in elements(parse(body), wanted):
-                    shape = automaton.state(obj)
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, digests, rows, held = ShapeAutomaton(wanted), {}, [], 0
+        for batch in batches:
+            for ref, body in zip(batch.column("record_ref").to_pylist(), batch.column("body").to_pylist()):
+                try:
+                    root = parse(body)
+                except ValueError:
+                    rows.append((ref, *[None] * 7))
+                    continue
+                for kind, parent_kind, parent, path, obj in elements(root, wanted):
+                    shape, own = automaton.describe(obj)
                     if len(digests) > 10_000:
                         digests.clear()
-                    variant = digests.get(shape) or digests.setdefault(shape, hashlib.md5(shape.encode()).hexdigest()[:12])
-                    own = {k: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in obj.items() if v is not None and not (k in wanted and isinstance(opened(v), (list, dict)))}
+                    variant = digests.get(shape) or digests.setdefault(shape, "v" + hashlib.md5(shape.encode("utf-8", "replace")).hexdigest()[:16])
                     rows.append((ref, kind, parent_kind, parent, path, variant, shape, own))
-                if len(rows) >= 20_000:
-                    yield pd.DataFrame(rows, columns=NODES.names)
-                    rows = []
-            yield pd.DataFrame(rows, columns=NODES.names)
+                    held += 200 + len(parent) + len(path) + len(shape) + sum(len(v or "") for _, v in own)
+                    if held > FLUSH:
+                        yield _batch(rows)
+                        rows, held = [], 0
+        yield _batch(rows)
 
-    return latest_valid(records).mapInPandas(walk, NODES)
+    return bodies.mapInArrow(walk, NODES)
 
 
-def variants(nodes: DataFrame) -> DataFrame:
-    """Catalogue of the subtype tables: how many elements of each kind have each shape."""
-    return nodes.groupBy("node_kind", "variant").agg(F.first("shape").alias("shape"), F.count(F.lit(1)).alias("n_nodes"), F.countDistinct("record_ref").alias("n_records"))
+def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sound(body) -> bool:
+        try:
+            parse(body)
+        except ValueError:
+            return False
+        return True
+
+    for batch in batches:
+        yield batch.filter(pa.array([sound(b) for b in batch.column("body").to_pylist()], pa.bool_()))
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("record_ref").agg(F.max(F.struct("received_at", "body")).alias("b")).select("record_ref", "b.body")
+
 
+def flatten(records: DataFrame, list_fields: list[str] = LIST_FIELDS) -> DataFrame:
+    """One row per object that is an element of one of the list fields, at any depth, of each record's latest valid body.
 
-def subtype_table(nodes: DataFrame, node_kind: str, columns: dict[str, str]) -> DataFrame:
-    """Typed table of one kind: the supertype's keys and parent link, then `columns` (field name to Spark type).
+    records: record_ref, received_at, body (JSON text). Every row keeps its parent link (parent_kind, parent_path), its
+    variant (digest of its automaton state), the readable state (shape) and its own fields (`own`: name to code and
+    text, see CODES; a field set to null has a null value).
 
-    A value that doesn't fit its type is null; all values stay in the supertype table. Columns whose name clashes with
-    a key are called f_<name>.
+    Null or blank record_refs, null bodies and bodies that are not JSON yield nothing; equal times take the greater
+    text; repeated rows change nothing; empty input gives no rows; extra columns are ignored. The newest body is found
+    by a map-side combined maximum, so a record received very often is no hot key, and is parsed once, while it is
+    walked. Only records whose newest body is broken are looked at again, for their newest sound one.
     """
-    keys = ["record_ref", "node_path", "parent_kind", "parent_path", "variant"]
-    typed = [F.col("fields")[F.lit(c)].try_cast(t).alias(f"f_{c}" if c in keys else c) for c, t in columns.items()]
-    return nodes.where(F.col("node_kind") == node_kind).select(*keys, *typed)
+    rows = records.select(norm_id("record_ref").alias("record_ref"), "received_at", "body").where("record_ref is not null and body is not null")
+    first = materialize(_walk(_newest(rows), list_fields))
+    broken = first.where("node_kind is null").select("record_ref")
+    nodes = first.where("node_kind is not null")
+    if broken.isEmpty():
+        return nodes
+    again = maybe_in(rows, "record_ref", broken, "record_ref").join(broken, "record_ref", "left_semi")
+    sound = again.mapInArrow(_valid, again.schema)
+    return nodes.unionByName(_walk(_newest(sound), list_fields).where("node_kind is not null"))
+
+
+def variants(nodes: DataFrame) -> DataFrame:
+    """Catalogue of the variants: how many elements of each kind have each shape, in how many records."""
+    return nodes.groupBy("node_kind", "variant").agg(F.first("shape").alias("shape"), F.count(F.lit(1)).alias("n_nodes"), F.countDistinct("record_ref").alias("n_records"))
 
 
 def shape_columns(shape: str) -> dict[str, str]:
@@ -201,32 +370,99 @@ def shape_columns(shape: str) -> dict[str, str]:
     return out
 
 
-def column_type(states: set[str]) -> str:
-    """The Spark type that holds every value of these states; nested values and mixtures stay JSON text."""
-    states = states - {"null"}
-    return {frozenset({"bool"}): "boolean", frozenset({"int"}): "bigint", frozenset({"float"}): "double", frozenset({"int", "float"}): "double"}.get(frozenset(states), "string")
+def column_type(state: str) -> str | None:
+    """Spark type of a field's column; nested values and numbers out of range are text, null has no column."""
+    return None if state == "null" else CODES.get(state, ("j", "string"))[1]
 
 
-def kind_columns(nodes: DataFrame) -> dict[str, dict[str, str]]:
-    """Typed columns of every kind's table, from the states of all its variants; only field names reach the driver."""
+class SubtypeTables:
+    """Typed tables of all variants, in one folder by kind and variant, with the supertype's keys and parent link.
 
-    def fields(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame([(k, f, s if s[0] not in "[{" else "text") for k, shape in zip(frame["node_kind"], frame["shape"]) for f, s in (shape_columns(shape) or {"": "text"}).items()], columns=["node_kind", "field", "state"])
+    Each (field, type) that occurs among the variants has a column of its own, so no value is cast to a type that
+    isn't its own; in a variant's folder only the columns of its state hold values. The `tables` most frequent
+    variants are typed; what else there is lies in the folders of `rest` with its fields as a map.
+    """
 
-    rows = nodes.select("node_kind", "shape").distinct().mapInPandas(fields, "node_kind string, field string, state string").distinct().collect()
-    states: dict[str, dict[str, set]] = {}
-    for r in rows:
-        own = states.setdefault(r.node_kind, {})
-        if r.field:
-            own.setdefault(r.field, set()).add(r.state)
-    return {kind: {f: column_type(own[f]) for f in sorted(own)} for kind, own in states.items()}
+    def __init__(self, spark: SparkSession, folder: str, shapes: dict[tuple[str, str], str]):
+        self.spark, self.folder, self.shapes = spark, folder, shapes
+        self.fields: dict[tuple[str, str], str] = {}  # (field, type): column in the files
+        for shape in shapes.values():
+            for field, state in shape_columns(shape).items():
+                if kind := column_type(state):
+                    self.fields.setdefault((field, kind), f"c{len(self.fields)}")
+
+    def schema(self) -> T.StructType:
+        kinds = {"string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+        head = [T.StructField(k, T.StringType()) for k in ("record_ref", "variant_id", "parent_kind", "parent_path", "node_path")]
+        own = [T.StructField("own", T.MapType(T.StringType(), T.StringType()))]
+        return T.StructType(head + [T.StructField(c, kinds[k]) for (_, k), c in self.fields.items()] + own + [T.StructField("node_kind", T.StringType()), T.StructField("variant", T.StringType())])
+
+    def write(self, nodes: DataFrame) -> None:
+        """Route every row to its variant's folder; partitions of a frequent variant are split, small ones put together."""
+        typed = self.spark.createDataFrame([(k, v) for k, v in self.shapes] or [("", "")], "t_kind string, t_variant string")
+        rows = nodes.join(F.broadcast(typed), (F.col("node_kind") == F.col("t_kind")) & (F.col("variant") == F.col("t_variant")), "left")
+        known = F.col("t_variant").isNotNull()
+        value = lambda f: F.col("own")[F.lit(f)]
+        codes = {kind: [c for c, k in CODES.values() if k == kind] + ["j"] * (kind == "string") for kind in ("string", "bigint", "double", "boolean")}
+        columns = [F.when(known & F.substring(value(f), 1, 1).isin(codes[k]), F.substring(value(f), 2, 1 << 30)).cast(k).alias(c) for (f, k), c in self.fields.items()]
+        out = rows.select("record_ref", F.col("variant").alias("variant_id"), "parent_kind", "parent_path", "node_path", *columns, F.when(~known, F.col("own")).alias("own"), "node_kind", F.when(known, F.col("variant")).otherwise("rest").alias("variant"))
+        out.hint("rebalance", "node_kind", "variant").write.partitionBy("node_kind", "variant").parquet(self.folder)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema()).parquet(self.folder)
+
+    def supertype(self) -> DataFrame:
+        """The keys and parent links of all elements, from all subtype tables."""
+        return self.read().select("record_ref", "node_kind", F.col("variant_id").alias("variant"), "parent_kind", "parent_path", "node_path")
+
+    def columns(self, node_kind: str) -> dict[str, tuple[str, str]]:
+        """Output columns of a kind: name to (field, type). A field with several types has one column for each."""
+        kinds: dict[str, set] = {}
+        for (kind, _), shape in self.shapes.items():
+            if kind == node_kind:
+                for field, state in shape_columns(shape).items():
+                    kinds.setdefault(field, set()).update({t} if (t := column_type(state)) else set())
+        return named_columns({f: sorted(t) for f, t in sorted(kinds.items())})
+
+    def _select(self, rows: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+        def column(field: str, kind: str):
+            codes = [c for c, k in CODES.values() if k == kind] + ["j"] * (kind == "string")
+            raw = F.col("own")[F.lit(field)]
+            rest = F.when(F.substring(raw, 1, 1).isin(codes), F.substring(raw, 2, 1 << 30)).cast(kind)
+            return F.coalesce(F.col(c), rest) if (c := self.fields.get((field, kind))) else rest
+
+        keys = ["record_ref", "node_path", "parent_kind", "parent_path", F.col("variant_id").alias("variant")]
+        return rows.select(*keys, *[column(*w).alias(name) for name, w in wanted.items()])
+
+    def kind(self, node_kind: str, columns: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+        """All elements of a kind with typed columns: those that occur, or the given ones."""
+        return self._select(self.read().where(F.col("node_kind") == node_kind), self.columns(node_kind) if columns is None else columns)
+
+    def variant(self, node_kind: str, variant: str) -> DataFrame:
+        """The table of one typed variant, with exactly the fields of its state."""
+        fields = {f: [t] for f, s in sorted(shape_columns(self.shapes[node_kind, variant]).items()) if (t := column_type(s))}
+        return self._select(self.read().where((F.col("node_kind") == node_kind) & (F.col("variant") == variant)), named_columns(fields))
+
+
+def named_columns(fields: dict[str, list[str]]) -> dict[str, tuple[str, str]]:
+    """Column names of (field, type): the field, `field_type` where it has several types; what clashes gets a prefix."""
+    out, used = {}, {"record_ref", "node_path", "parent_kind", "parent_path", "variant"}
+    for field, kinds in fields.items():
+        for kind in kinds:
+            name = field if len(kinds) == 1 else f"{field}_{kind}"
+            while name.lower() in used or not name:
+                name = "f_" + name
+            used.add(name.lower())
+            out[name] = (field, kind)
+    return out
 
 
-def write_variants(nodes: DataFrame, folder: str) -> None:
-    """Route every variant to a typed table of its own: one folder per kind and variant, typed columns of the kind."""
-    for kind, columns in kind_columns(nodes).items():
-        subtype_table(nodes, kind, columns).repartition("variant").write.partitionBy("variant").mode("overwrite").parquet(f"{folder}/node_kind={kind}")
+def route(nodes: DataFrame, tables: int = TABLES) -> SubtypeTables:
+    """Write every variant to its typed table in the shared folder. The states of at most `tables` variants are collected."""
+    most = variants(nodes).orderBy(F.desc("n_nodes"), "node_kind", "variant").limit(tables).select("node_kind", "variant", "shape").collect()
+    out = SubtypeTables(nodes.sparkSession, new_path(nodes.sparkSession), {(r[0], r[1]): r[2] for r in most})
+    out.write(nodes)
+    return out
 
 
 def audit_records(imports: DataFrame, results: DataFrame) -> DataFrame:

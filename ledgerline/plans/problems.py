@@ -14,30 +14,37 @@ def _nodes(s: SparkSession, d: str) -> DataFrame:
     return nested.flatten(nested.audit_records(table(s, d, "import_records"), table(s, d, "audit_results")))
 
 
+def _tables(s: SparkSession, d: str) -> nested.SubtypeTables:
+    return nested.route(_nodes(s, d))
+
+
 def p1_found(s: SparkSession, d: str) -> DataFrame:
-    return _nodes(s, d).select("record_ref", "node_kind", "parent_path", "node_path")
+    """The supertype's keys and parent links, read from the typed tables of all variants."""
+    return _tables(s, d).supertype().select("record_ref", "node_kind", "parent_path", "node_path")
 
 
 def p1_variants(s: SparkSession, d: str) -> DataFrame:
     return nested.variants(_nodes(s, d))
 
 
-#: Typed columns of the subtype tables. Fixed values.
-SUBTYPES = {
-    "pages": {"page_url": "string", "evidence_ref": "string"},
-    "channels": {"channel_id": "string", "state": "string", "complete": "boolean", "observed_at": "timestamp", "pages": "bigint", "items": "bigint"},
-    "signals": {"code": "string", "occurrences": "bigint", "confidence": "string"},
+_COUNT = ["bigint", "double", "string"]
+#: Fields of the kinds with the types they come in. Fixed values.
+FIELDS = {
+    "channels": {"channel_id": ["string"], "state": ["string"], "complete": ["boolean"], "observed_at": ["string"], "pages": _COUNT, "items": _COUNT, "source_ref": ["string"]},
+    "attempts": {"attempted_at": ["string"], "state": ["string"], "pages": _COUNT, "result_count": _COUNT, "error_code": ["string"]},
+    "candidates": {"parent_candidate_id": ["string"], "url": ["string"], "kind": ["string"], "channel_id": ["string"], "observed_at": ["string"], "score_inputs": ["string"]},
+    "repositories": {"repository": ["string"], "branch": ["string"], "ownership_status": ["string"], "owner_ref": ["string"], "deployment_urls": ["string"]},
+    "pages": {"page_url": ["string"], "evidence_ref": ["string"]},
+    "signals": {"code": ["string"], "occurrences": _COUNT, "masked_examples": ["string"], "confidence": ["string"]},
+    "categories": {"category": ["string"], "candidate_count": _COUNT, "filled_field_count": _COUNT},
+    "columns": {"name_hash": ["string"], "filled": _COUNT},
+    "members": {"classifier_version": ["string"], "content": ["string"], "member_ref": ["string"]},
 }
 
 
-def p1_subtype(s: SparkSession, d: str, kind: str) -> DataFrame:
-    return nested.subtype_table(_nodes(s, d), kind, SUBTYPES[kind])
-
-
 def p1_typed(s: SparkSession, d: str, kind: str) -> DataFrame:
-    """A kind's table with columns typed by the states of its variants; a kind without elements has only the keys."""
-    nodes = materialize(_nodes(s, d).where(F.col("node_kind") == kind))
-    return nested.subtype_table(nodes, kind, nested.kind_columns(nodes).get(kind, {}))
+    """A kind's elements with typed columns, from the tables of its variants."""
+    return _tables(s, d).kind(kind, nested.named_columns(FIELDS[kind])).drop("variant")
 
 
 def p2_found(s: SparkSession, d: str) -> DataFrame:
@@ -91,8 +98,7 @@ def p5_batches(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_variants, p2_found, p2_counts, p3_found, p3_activity, p4_found, p4_descendants, p4_subtrees, p5_found, p5_state, p5_batches)}
-QUERIES |= {f"p1_{k}": partial(p1_subtype, kind=k) for k in SUBTYPES}
-QUERIES |= {f"p1_{k}": partial(p1_typed, kind=k) for k in nested.LIST_FIELDS if k not in SUBTYPES}
+QUERIES |= {f"p1_{k}": partial(p1_typed, kind=k) for k in nested.LIST_FIELDS}
 
 _ID = "nullif(lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')), '')"
 _JOBS = f"""jobs AS (SELECT job_id, case_id, parent_job_id, created_at, updated_at, purged_at, result_refs FROM (
@@ -151,9 +157,20 @@ w AS (SELECT ref, {_OPEN.format('j')} AS v, '' AS path, '' AS parent, NULL::VARC
     FROM (SELECT ref, v, path, kind, json_type(v) = 'OBJECT' AS isobj, CASE WHEN json_type(v) = 'OBJECT' AND kind IS NOT NULL THEN path ELSE parent END AS p,
       unnest(CASE WHEN json_type(v) = 'OBJECT' THEN json_keys(v) WHEN json_type(v) = 'ARRAY' THEN list_transform(range(CAST(json_array_length(v) AS BIGINT)), lambda i: CAST(i AS VARCHAR)) ELSE [] END) AS k FROM w)))
   WHERE json_type(child) IN ('OBJECT', 'ARRAY')),
-found AS (SELECT ref AS record_ref, kind AS node_kind, parent AS parent_path, path AS node_path, v FROM w WHERE kind IS NOT NULL AND json_type(v) = 'OBJECT')
+found AS (SELECT ref AS record_ref, kind AS node_kind, parent AS parent_path, regexp_extract(parent, '([a-z]+)\\[[0-9]+\\]$', 1) AS parent_kind, path AS node_path, v FROM w WHERE kind IS NOT NULL AND json_type(v) = 'OBJECT')
 """
+_CASES = {"boolean": "WHEN 'BOOLEAN' THEN CAST({0} AS BOOLEAN)", "bigint": "WHEN 'BIGINT' THEN CAST({0} AS BIGINT) WHEN 'UBIGINT' THEN CAST({0} AS BIGINT)", "double": "WHEN 'DOUBLE' THEN CAST({0} AS DOUBLE)", "string": "WHEN 'VARCHAR' THEN {0} ->> '$' WHEN 'ARRAY' THEN CAST({0} AS VARCHAR) WHEN 'OBJECT' THEN CAST({0} AS VARCHAR)"}
+
+
+def _typed_sql(kind: str) -> str:
+    """The typed columns of a kind from the type of each JSON value."""
+    x = lambda f: f"json_extract(v, '$.\"{f}\"')"
+    columns = [f"CASE json_type({x(f)}) {_CASES[t].format(x(f))} END AS {name}" for name, (f, t) in nested.named_columns(FIELDS[kind]).items()]
+    return _P1 + f"SELECT record_ref, node_path, parent_path, coalesce(parent_kind, '') AS parent_kind, {', '.join(columns)} FROM found WHERE node_kind = '{kind}'"
+
+
 ORACLE = {
+    **{f"p1_{k}": _typed_sql(k) for k in nested.LIST_FIELDS},
     "p1_found": _P1 + "SELECT record_ref, node_kind, parent_path, node_path FROM found",
     "p5_state": _P5.replace("found AS (", "unused AS (") + "SELECT entity_id, field_name, max(sequence) AS sequence, arg_max(struct_pack(v := json_extract_string(payload_json, '$.\"' || field_name || '\"')), sequence).v AS value FROM (SELECT f.*, e.payload_json FROM fields f JOIN ev e USING (entity_id, sequence)) JOIN since USING (entity_id) WHERE sequence >= s GROUP BY 1, 2",
     "p2_found": _P2 + "SELECT * FROM found WHERE reason IS NOT NULL",

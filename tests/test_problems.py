@@ -42,30 +42,72 @@ def test_nested_latest_valid_body_counts(spark):
     assert elements(spark, []) == set()
 
 
+def nodes_of(spark, *bodies):
+    rows = [(f"r{i}", t(2025, 1, 1), b if isinstance(b, str) else json.dumps(b), 1) for i, b in enumerate(bodies)]
+    return nested.flatten(spark.createDataFrame(rows, "record_ref string, received_at timestamp, body string, variant int"))
+
+
 def test_shapes_route_to_variants(spark):
-    bodies = [("a", t(2025, 1, 1), json.dumps({"pages": [{"u": "x"}, {"u": "y"}, {"u": None}, {"u": "z", "members": [{"n": 1}]}]}))]
-    nodes = nested.flatten(spark.createDataFrame(bodies, "record_ref string, received_at timestamp, body string"))
+    nodes = nodes_of(spark, {"pages": [{"u": "x"}, {"u": "y"}, {"u": None}, {"u": "z", "members": [{"n": 1, "variant": "q"}]}]})
     kinds = {r.shape: r.n_nodes for r in nested.variants(nodes.where("node_kind = 'pages'")).collect()}
     assert kinds == {'{"u":text}': 2, '{"u":null}': 1, '{"members":table,"u":text}': 1}
-    typed = nested.subtype_table(nodes, "members", {"n": "bigint", "variant": "string"}).collect()
-    assert [(r.n, r.parent_path, r.f_variant) for r in typed] == [(1, "pages[3]", None)]
+    tables = nested.route(nodes)
+    assert [(r.n, r.parent_path, r.f_variant) for r in tables.kind("members").collect()] == [(1, "pages[3]", "q")]
+    by_shape = {shape: tables.variant(*key) for key, shape in tables.shapes.items()}
+    assert by_shape['{"u":text}'].columns == ["record_ref", "node_path", "parent_kind", "parent_path", "variant", "u"] and by_shape['{"u":text}'].count() == 2
+    assert by_shape['{"u":null}'].columns == ["record_ref", "node_path", "parent_kind", "parent_path", "variant"]  # null has no type
 
 
-def test_every_kind_and_variant_is_typed(spark, tmp_path):
+def test_every_kind_and_variant_is_typed(spark):
+    """Mixed types, nulls, names that clash; with room for few typed tables, the rest is whole as well."""
     from ledgerline.plans import problems
 
-    assert nested.shape_columns('{"a,\\"]":[{"x":int}|text],"b":table,"c":null,"d":{"e":bool,"f":int},"g":int}') == {'a,"]': '[{"x":int}|text]', "c": "null", "d": '{"e":bool,"f":int}', "g": "int"}
+    assert nested.shape_columns('{"a,\\"]":[{"x":int}|text],"b":table,"c":null,"d":{"e":bool,"f":int},"g":int}') == {'a,"]': "[{\"x\":int}|text]", "c": "null", "d": '{"e":bool,"f":int}', "g": "int"}
     assert nested.shape_columns("{}") == {}
-    body = {k: [{"n": 1, "odd'name": True}, {"n": 1.5, "pages": []}, {"n": None, "s": [1], "z": 1 if i % 2 else "t"}, {"z": 2}, {}] for i, k in enumerate(nested.LIST_FIELDS)}
-    nodes = nested.flatten(spark.createDataFrame([("r", t(2025, 1, 1), json.dumps(body))], "record_ref string, received_at timestamp, body string"))
-    for i, columns in enumerate(map(nested.kind_columns(nodes).get, nested.LIST_FIELDS)):
-        assert columns == {"n": "double", "odd'name": "boolean", "s": "string", "z": "bigint" if i % 2 else "string"}
-    nested.write_variants(nodes, str(tmp_path / "v"))
-    for kind in nested.LIST_FIELDS:
-        got = spark.read.parquet(str(tmp_path / "v" / f"node_kind={kind}"))
-        assert {(r.n, r["odd'name"], r.s) for r in got.collect()} == {(1.0, True, None), (1.5, None, None), (None, None, "[1]"), (None, None, None)}
-        assert got.count() == 5 and got.select("variant").distinct().count() == 5
-    assert {f"p1_{k}" for k in nested.LIST_FIELDS} <= set(problems.QUERIES)
+    body = {k: [{"n": 1, "odd'name": True}, {"n": 1.5, "pages": []}, {"n": None, "s": [1], "N": "true"}, {"n": "true", "s": 10**30}, {}] for k in nested.LIST_FIELDS}
+    nodes = nodes_of(spark, body)
+    for limit in (nested.TABLES, 3, 0):
+        tables = nested.route(nodes, limit)
+        wanted = nested.named_columns({"N": ["string"], "n": ["bigint", "double", "string"], "odd'name": ["boolean"], "s": ["string"]})
+        for kind in nested.LIST_FIELDS:
+            got = tables.kind(kind, wanted)
+            rows = {(r["N"], r.n_bigint, r.n_double, r.n_string, r["odd'name"], r.s) for r in got.collect()}
+            assert rows == {(None, 1, None, None, True, None), (None, None, 1.5, None, None, None), ("true", None, None, None, None, "[1]"), (None, None, None, "true", None, str(10**30)), (None,) * 6}
+            assert got.count() == 5 and got.select("variant").distinct().count() == 5
+        assert tables.supertype().count() == 5 * len(nested.LIST_FIELDS)
+    assert tables.columns("none") == {} and {f"p1_{k}" for k in nested.LIST_FIELDS} <= set(problems.QUERIES)
+    assert nested.route(nodes.limit(0)).supertype().count() == 0
+
+
+@pytest.mark.parametrize("depth", [500, 100_000])
+def test_bodies_of_any_depth(spark, depth):
+    deep = "[" * depth + '{"pages": [{"u": "x", "inner": ' + '{"a":' * depth + "1" + "}" * depth + "}]}" + "]" * depth
+    assert elements(spark, [("r", 1, '{"pages": {}}'), ("r", 2, deep), ("s", 1, deep[:-1])]) == {("r", "pages", "", "[0]" * depth + ".pages[0]")}
+    assert nested.dumps(nested.parse(deep)) == deep.replace(" ", "")
+
+
+def test_parser_with_a_stack_agrees(spark):
+    """The parser for deep bodies against the plain one on sound and broken texts."""
+    import random
+
+    r = random.Random(3)
+    texts = ['{"a": [1, -2.5e3, true, null, "x\\u00e9"], "b": {}}', "[]", "{}", "1", '"x"', " [1 , 2] ", "[1,]", '{"a":1,}', '{"a" 1}', '{1:2}', "[1 2]", "", "nul", "[1]]", "01", "-", '{"a":1 "b":2}', "NaN", "[1e999]"]
+    for text in list(texts):
+        texts += [text[:i] + r.choice('[]{},:"1a ') + text[i + r.randint(0, 1) :] for i in range(len(text))]
+    for text in texts:
+        out = []
+        for f in (nested.parse, nested._parse_deep):
+            try:
+                out.append(f(text))
+            except ValueError:
+                out.append("broken")
+        assert out[0] == out[1], text
+    assert nested.parse("[" + "1" * 5000 + "]") == ["1" * 5000] and nested.parse("[1e999]") == ["1e999"]
+
+
+def test_half_surrogates_and_explicit_nulls(spark):
+    nodes = nodes_of(spark, '{"pages": [{"u": "\\ud800", "v": null}]}', '{"pages": [{"u": "{\\"a\\": 1}"}]}')
+    assert sorted(str(r.own) for r in nodes.collect()) == ["{'u': 'j{\"a\": 1}'}", "{'u': 't\ufffd', 'v': None}"]
 
 
 # 2
