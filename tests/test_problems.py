@@ -137,16 +137,18 @@ def test_orphans_empty(spark):
 # 3
 
 
-def spans(spark, runs, shard=10):
+def spans(spark, runs, shard=10, shards=4):
     df = spark.createDataFrame([(*r, "x") for r in runs], "entity string, start_us bigint, end_us bigint, unit string")
-    return sorted((r.entity, r.kind, r.start_us, r.end_us) for r in intervals.periods_and_gaps(df, shard).collect())
+    return sorted((r.entity, r.kind, r.start_us, r.end_us) for r in intervals.periods_and_gaps(df, shard, shards).collect())
 
 
-def test_periods_against_plain_bits(spark):
+@pytest.mark.parametrize("seed", [4, 5, 6, 7])
+def test_periods_against_plain_bits(spark, seed):
+    """Runs within a shard, over shards, over blocks of shards; whole shards and blocks; touching at their borders."""
     import random
 
-    r = random.Random(4)
-    runs = [(r.choice("abc"), a, a + r.choice([0, -3, 1, 2, 5, 30, 95])) for a in (r.randint(-100, 250) for _ in range(60))]
+    r = random.Random(seed)
+    runs = [(r.choice("abc"), a, a + r.choice([0, -3, 1, 2, 5, 10, 20, 30, 40, 80, 95])) for a in (r.choice([r.randint(-100, 250), 10 * r.randint(-10, 25), 40 * r.randint(-2, 6)]) for _ in range(30 + seed))]
     want = []
     for e in "abc":
         bits = {u for k, a, b in runs if k == e for u in range(a, b)}
@@ -160,9 +162,50 @@ def test_periods_edges(spark):
     assert spans(spark, []) == []
     assert spans(spark, [(None, 1, 2), ("a", None, 2), ("a", 5, 5), ("a", 7, 6), ("a", 1, None)]) == []
     assert spans(spark, [("a", 0, 10), ("a", 10, 20), ("a", 0, 10), ("a", 3, 4)]) == [("a", "period", 0, 20)]
+    huge = [("a", -(1 << 62), 5), ("a", 5, 1 << 62), ("b", 3, 4)]
+    assert spans(spark, huge, intervals.SHARD_US, intervals.SHARDS) == [("a", "period", -(1 << 62), 1 << 62), ("b", "period", 3, 4)]
     assert spans(spark, [("a", 0, 1), ("a", 10**15, 10**15 + 1)]) == [("a", "gap", 1, 10**15), ("a", "period", 0, 1), ("a", "period", 10**15, 10**15 + 1)]
 
 
+def test_bitmaps_are_united_bit_by_bit():
+    """encode, decode and union against sets of bits."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(1)
+    sets = [{u for a in (r.randint(0, 50) for _ in range(r.randint(0, 6))) for u in range(a, a + r.randint(1, 9))} for _ in range(12)]
+
+    def runs(bits):
+        edges = [u for u in range(0, 80) if (u in bits) != (u - 1 in bits)]
+        return np.array(edges[::2], dtype=np.int64), np.array(edges[1::2], dtype=np.int64)
+
+    maps = [intervals.encode(*runs(s)) for s in sets]
+    of, a, b = intervals.decode(maps)
+    assert [{u for k, x, y in zip(of, a, b) if k == i for u in range(x, y)} for i in range(12)] == sets
+    group, a, b = intervals.union(of // 3, a, b)
+    got = [{u for k, x, y in zip(group, a, b) if k == i for u in range(x, y)} for i in range(4)]
+    assert got == [sets[i] | sets[i + 1] | sets[i + 2] for i in range(0, 12, 3)] and len(a) == sum(len(runs(s)[0]) for s in got)
+
+
+def test_bitmaps_of_one_key_over_many_batches(spark):
+    """A hot entity whose bitmaps come in many batches, each united with the one before."""
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        runs = spark.range(600).selectExpr("if(id % 3 = 0, 'hot', concat('e', id % 5)) as entity", "id * 7 % 400 as start_us", "id * 7 % 400 + 1 + id % 2 as end_us").repartition(5)
+        bits = {}
+        for r in runs.collect():
+            bits.setdefault(r.entity, set()).update(range(r.start_us, r.end_us))
+        maps = intervals.unite(intervals.run_bitmaps(runs, 1000, 4, held=10))
+        rows = maps.collect()
+        assert sorted(r.entity for r in rows) == sorted(bits)
+        got = intervals.set_and_clear_runs(maps, 1000, 4).where("kind = 'period'").collect()
+        assert {e: {u for r in got if r.entity == e for u in range(r.start_us, r.end_us)} for e in bits} == bits
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 # 4
 
 
