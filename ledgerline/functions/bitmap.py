@@ -4,23 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-BITS = 1 << 23  #: 256 bitmaps of 4 KB each, 1 MB in all, whatever the number of keys
+WIDTH = 8 * 4096  # bits of one of Spark's bitmaps
+LEAST, MOST = 1 << 18, 1 << 27  #: bits of a filter: 32 KB to 16 MB
+
+
+def filter_bits(n_keys: int | None) -> int:
+    """Eight to sixteen bits for each key within the bounds, 1 MB for an unknown number of keys."""
+    return 1 << 23 if n_keys is None else min(MOST, max(LEAST, 1 << (8 * n_keys).bit_length()))
 
 
 def _bit(key: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(bits))
 
 
-def maybe_in(left: DataFrame, left_key: str, keys: DataFrame, key: str, bits: int = BITS) -> DataFrame:
+def maybe_in(left: DataFrame, left_key: str, keys: DataFrame, key: str, n_keys: int | None = None) -> DataFrame:
     """Rows of left whose key may be among `keys`: all that are, and few others unless keys outnumber the bits.
 
-    The bitmaps that are broadcast take bits/8 bytes at most. It only spares the shuffle rows that can't match; the
-    join that follows decides. With too many keys it lets everything through and costs little.
+    n_keys: about how many keys there are, if that is known. The bitmaps that are broadcast take 16 MB at most. The
+    filter only spares the shuffle rows that can't match; the join that follows decides. Beyond some 100 million keys
+    it lets more and more through; the join then does the work.
     """
-    width = 8 * 4096  # bits of one of Spark's bitmaps
+    bits = filter_bits(n_keys)
     at = keys.where(F.col(key).isNotNull()).select(_bit(F.col(key), bits).alias("_b"))
-    maps = at.groupBy((F.col("_b") / width).cast("int").alias("_bucket")).agg(F.bitmap_construct_agg(F.col("_b") % width).alias("_map"))
-    rows = left.withColumn("_l", _bit(F.col(left_key), bits)).withColumn("_lb", (F.col("_l") / width).cast("int"))
-    byte = F.conv(F.hex(F.substring("_map", (F.col("_l") % width / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maps = at.groupBy((F.col("_b") / WIDTH).cast("int").alias("_bucket")).agg(F.bitmap_construct_agg(F.col("_b") % WIDTH).alias("_map"))
+    rows = left.withColumn("_l", _bit(F.col(left_key), bits)).withColumn("_lb", (F.col("_l") / WIDTH).cast("int"))
+    byte = F.conv(F.hex(F.substring("_map", (F.col("_l") % WIDTH / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.call_function("shiftright", byte, (F.col("_l") % 8).cast("int")).bitwiseAND(F.lit(1))
     return rows.join(F.broadcast(maps), F.col("_lb") == F.col("_bucket")).where(bit == 1).select(*left.columns)

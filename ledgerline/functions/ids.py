@@ -20,9 +20,12 @@ def utc_month(c: str | Column) -> Column:
     return F.date_format(F.to_utc_timestamp(as_col(c), F.current_timezone()), "yyyy-MM")
 
 
-def heavy_keys(left: DataFrame, keys: list[str], total: int, share: int = 1000, floor: int = 50_000) -> list:
-    """Key values with at least total/share rows (and at least `floor`): never more than `share` of them."""
-    n = max(floor, -(-total // share))
+def heavy_keys(left: DataFrame, keys: list[str], total: int, most: int = 100_000, floor: int = 50_000) -> list:
+    """Key values with more rows than one task should take: at least `floor`, and never more than `most` keys.
+
+    Only where the table has over most * floor (5 billion) rows does the number of rows rise that makes a key hot.
+    """
+    n = max(floor, -(-total // most))
     if total < n:
         return []
     return left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") >= n).collect()
@@ -32,7 +35,7 @@ def skew_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     """Equi-join whose left side may have hot keys (`heavy`, rows of (key, n_rows) from heavy_keys).
 
     Rows of a hot key are spread over n_rows/block salts and the right rows of that key are repeated once per salt,
-    so no task gets more than about `block` rows of one key. The list of hot keys is bounded by heavy_keys().
+    so no task gets more than about `block` rows of a hot key. The list of hot keys is bounded by heavy_keys().
     """
     if not heavy:
         return left.join(right, left[left_key] == right[right_key], how)

@@ -71,7 +71,7 @@ def p4_found(s: SparkSession, d: str) -> DataFrame:
 
 
 def _tree(s: SparkSession, d: str) -> DataFrame:
-    return materialize(p4_found(s, d).withColumnsRenamed({"job_id": "node", "root_job_id": "root", "job_path": "path"}))
+    return hierarchy.climb(hierarchy.audit_links(table(s, d, "audit_jobs")))
 
 
 def p4_descendants(s: SparkSession, d: str) -> DataFrame:
@@ -128,16 +128,16 @@ found AS (SELECT case_id, 'period' AS kind, start_us, end_us FROM periods
 """
 _P4 = f"""WITH RECURSIVE {_JOBS},
 edges AS (SELECT j.job_id, p.job_id AS parent FROM jobs j LEFT JOIN jobs p ON j.parent_job_id = p.job_id AND j.case_id IS NOT DISTINCT FROM p.case_id),
-tree AS (SELECT job_id, job_id AS root, 0::BIGINT AS depth, job_id AS path FROM edges WHERE parent IS NULL
-  UNION ALL SELECT e.job_id, t.root, t.depth + 1, t.path || '/' || e.job_id FROM edges e JOIN tree t ON e.parent = t.job_id),
+tree AS (SELECT job_id, job_id AS root, 0::BIGINT AS depth, [job_id] AS path FROM edges WHERE parent IS NULL
+  UNION ALL SELECT e.job_id, t.root, t.depth + 1, list_append(t.path, e.job_id) FROM edges e JOIN tree t ON e.parent = t.job_id),
 up AS (SELECT job_id AS first_id, parent AS at_id FROM edges WHERE job_id NOT IN (SELECT job_id FROM tree)
   UNION SELECT u.first_id, e.parent FROM up u JOIN edges e ON u.at_id = e.job_id),
 loops AS (SELECT first_id AS job_id FROM up WHERE first_id = at_id),
-behind AS (SELECT job_id, job_id AS root, 0::BIGINT AS depth, job_id AS path FROM loops
-  UNION ALL SELECT e.job_id, b.root, b.depth + 1, b.path || '/' || e.job_id FROM edges e JOIN behind b ON e.parent = b.job_id WHERE e.job_id NOT IN (SELECT job_id FROM loops)),
-found AS (SELECT job_id, 'tree' AS node_kind, root AS root_job_id, depth AS node_depth, path AS job_path FROM tree
-  UNION ALL SELECT job_id, CASE WHEN depth = 0 THEN 'cycle' ELSE 'below' END, root, depth, path FROM behind),
-pairs AS (SELECT string_split(job_path, '/')[i::BIGINT] AS ancestor, job_id AS node, node_depth - i + 1 AS distance FROM (SELECT *, unnest(range(1, node_depth + 1)) AS i FROM found WHERE node_kind <> 'cycle'))
+behind AS (SELECT job_id, job_id AS root, 0::BIGINT AS depth, [job_id] AS path FROM loops
+  UNION ALL SELECT e.job_id, b.root, b.depth + 1, list_append(b.path, e.job_id) FROM edges e JOIN behind b ON e.parent = b.job_id WHERE e.job_id NOT IN (SELECT job_id FROM loops)),
+found AS (SELECT job_id, 'tree' AS node_kind, root AS root_job_id, depth AS node_depth, array_to_string(path, '/') AS job_path, path FROM tree
+  UNION ALL SELECT job_id, CASE WHEN depth = 0 THEN 'cycle' ELSE 'below' END, root, depth, array_to_string(path, '/'), path FROM behind),
+pairs AS (SELECT path[i::BIGINT] AS ancestor, job_id AS node, node_depth - i + 1 AS distance FROM (SELECT *, unnest(range(1, node_depth + 1)) AS i FROM found WHERE node_kind <> 'cycle'))
 """
 _P5 = f"""WITH good AS (SELECT {_ID.format('event_id')} AS event_id, sequence, event_type, {_ID.format('entity_id')} AS entity_id, payload_json FROM ledger_events WHERE sha256(payload_json) = payload_hash),
 ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY sequence) AS rn FROM good) WHERE rn = 1 AND event_type <> 'OBSERVATION_ADDED'),
@@ -177,7 +177,7 @@ ORACLE = {
     "p2_counts": _P2 + "SELECT ref_table, ref_field, ref_month, reason, count(*) AS n_references, count(DISTINCT missing_id) AS n_missing FROM found WHERE reason IS NOT NULL GROUP BY 1, 2, 3, 4",
     "p3_found": _P3 + "SELECT * FROM found",
     "p3_activity": _P3 + "SELECT case_id, count(*) FILTER (kind = 'period') AS n_periods, count(*) FILTER (kind = 'gap') AS n_gaps, CAST(sum(end_us - start_us) FILTER (kind = 'period') AS BIGINT) AS period_us, CAST(sum(end_us - start_us) FILTER (kind = 'gap') AS BIGINT) AS gap_us FROM found GROUP BY 1",
-    "p4_found": _P4 + "SELECT * FROM found",
+    "p4_found": _P4 + "SELECT job_id, node_kind, root_job_id, node_depth, job_path FROM found",
     "p4_descendants": _P4 + "SELECT ancestor, node, distance FROM pairs",
     "p4_subtrees": _P4 + "SELECT ancestor, count(*) AS n_descendants, max(distance) AS height FROM pairs GROUP BY 1",
     "p5_found": _P5 + "SELECT * FROM found",

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,8 +32,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests, one machine), a temporary one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The folder named by spark.checkpoint.dir; only local mode, where all is one machine, may do without."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder()
 
 
 @lru_cache(maxsize=1)
@@ -60,15 +66,23 @@ def clean_up(spark: SparkSession) -> None:
     delete(spark, _application_folder(spark))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession)
-    df.write.parquet(path)
+def materialize(df: DataFrame, **counts: str) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it again: cuts lineage, survives lost executors.
+
+    counts: SQL aggregates that are taken while it is written; counted() gives them.
+    """
+    path, seen = new_path(df.sparkSession), Observation() if counts else None
+    (df.observe(seen, *[F.expr(c).alias(n) for n, c in counts.items()]) if seen else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._ledgerline_path = path
+    out._ledgerline_path, out._ledgerline_counts = path, seen.get if seen else {}
     return out
 
 
+def counted(df: DataFrame) -> dict[str, int]:
+    """The aggregates of a table that materialize() wrote."""
+    return df._ledgerline_counts
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that materialize() wrote and that nothing reads any more."""
     path = getattr(df, "_ledgerline_path", None)

@@ -211,7 +211,7 @@ def test_bitmaps_of_one_key_over_many_batches(spark):
 
 def tree(spark, edges):
     df = spark.createDataFrame([(n, p, 0) for n, p in edges], "node string, parent string, depth int")
-    return {r.node: (r.node_kind, r.root, r.node_depth, r.path) for r in hierarchy.hierarchy(df).collect()}
+    return {r.node: (r.node_kind, r.root, r.node_depth, "/".join(r.path)) for r in hierarchy.hierarchy(df).collect()}
 
 
 def plain_tree(edges):
@@ -243,6 +243,7 @@ def plain_tree(edges):
         [("a", "b"), ("b", "c"), ("c", "a"), ("d", "c"), ("e", "d"), ("f", "e"), ("g", "f"), ("h", "g"), ("r", None)],
         [(f"n{i}", f"n{i - 1}" if i else None) for i in range(40)],
         [("x0", "x6"), *[(f"x{i}", f"x{i - 1}") for i in range(1, 7)], *[(f"y{i}", f"y{i - 1}" if i else "x3") for i in range(20)]],
+        [*[(f"n{i}", f"n{(i * 7919) % i}" if i else None) for i in range(120)], *[(f"c{i}", f"c{(i + 1) % 5}") for i in range(5)], *[(f"d{i}", f"d{i // 2}" if i > 1 else "c3") for i in range(1, 60)]],
         [("hub", None), *[(f"s{i}", "hub") for i in range(60)], *[(f"t{i}", f"s{i}") for i in range(60)]],
     ],
 )
@@ -253,6 +254,9 @@ def test_hierarchy(spark, edges):
 def test_descendants(spark):
     df = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "a")], "node string, parent string")
     out = hierarchy.hierarchy(df)
+    slash = hierarchy.hierarchy(spark.createDataFrame([("a/b", None), ("c", "a/b"), ("a", "c"), ("b", "b")], "node string, parent string"))
+    assert {(r.node, r.root, tuple(r.path)) for r in slash.collect()} == {("a/b", "a/b", ("a/b",)), ("c", "a/b", ("a/b", "c")), ("a", "a/b", ("a/b", "c", "a")), ("b", "b", ("b",))}
+    assert {(r.ancestor, r.node, r.distance) for r in hierarchy.descendants(slash).collect()} == {("a/b", "c", 1), ("c", "a", 1), ("a/b", "a", 2)}
     assert {(r.ancestor, r.node, r.distance) for r in hierarchy.descendants(out).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("a", "d", 1)}
     assert {(r.ancestor, r.n_descendants, r.height) for r in hierarchy.descendant_counts(out).collect()} == {("a", 3, 2), ("b", 1, 1)}
 
