@@ -4,34 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerline.functions.bitmap import maybe_in
 from ledgerline.functions.ids import norm_id, utc_month
-from ledgerline.sources.shared import materialize
+from ledgerline.sources.shared import counted, materialize
 
-HEAVY_SHARE = 1000  #: at most so many keys are checked by broadcast
-HEAVY_FLOOR = 20_000  #: a key with fewer references is never heavy
+HEAVY_KEYS = 100_000  #: at most so many keys are checked by broadcast
+HEAVY_FLOOR = 20_000  #: a key with so many references is heavy, unless there are too many of them
 
 
 def _reason(created: Column, gone: Column, known: Column, at: Column) -> Column:
     return F.when(known.isNull(), F.lit("absent")).when(gone <= at, F.lit("withdrawn")).when(created > at, F.lit("late"))
 
 
-def orphan_references(refs: DataFrame, targets: DataFrame, share: int = HEAVY_SHARE, floor: int = HEAVY_FLOOR) -> DataFrame:
+def orphan_references(refs: DataFrame, targets: DataFrame, most: int = HEAVY_KEYS, floor: int = HEAVY_FLOOR) -> DataFrame:
     """One row per distinct reference whose target is not there at the reference's time.
 
     refs: ref_table, ref_field, target (name of the target table), row_id, key, ref_time; targets: target, key,
     created_at, gone_at, one row per (target, key). Skew-aware split: references are counted per (target, key, month)
-    on the map side; keys with a share of all references (at most `share` of them) are checked against a broadcast of
-    their own target rows; the groups of all other keys are anti-joined by shuffle, and only groups that hold an orphan
-    are joined back to the references. Both results are united.
+    on the map side; keys with more references than one task should take (at least `floor`, and at most `most` keys)
+    are checked against a broadcast of their own target rows; the groups of all other keys are anti-joined by shuffle.
+    Only groups with an orphan are looked for among the references, behind a filter that spares the others the
+    shuffle; a group of a light key is no larger than a heavy key's least. Both results are united.
 
     Null or blank keys refer to nothing and are left out. A null ref_time can only be `absent`, with a null month.
     Repeated rows count once. Empty inputs give an empty result; extra columns are ignored.
     """
-    refs = refs.select("ref_table", "ref_field", "target", "row_id", "key", "ref_time", utc_month("ref_time").alias("ref_month")).where("key is not null")
-    targets = targets.select("target", F.col("key").alias("t_key"), "created_at", "gone_at").withColumnRenamed("target", "t_target")
+    refs = materialize(refs.select("ref_table", "ref_field", "target", "row_id", "key", "ref_time", utc_month("ref_time").alias("ref_month")).where("key is not null"), n="count(1)")
+    targets = targets.select(F.col("target").alias("t_target"), F.col("key").alias("t_key"), "created_at", "gone_at")
     groups = materialize(refs.groupBy("target", "key", "ref_month").agg(F.count(F.lit(1)).alias("n"), F.min("ref_time").alias("first_at"), F.max("ref_time").alias("last_at")))
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    least = max(floor, -(-total // share))
+    total = counted(refs)["n"]
+    least = max(floor, -(-total // most))
     hot = [(r[0], r[1]) for r in groups.groupBy("target", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()] if total >= least else []
 
     out = []
@@ -46,9 +48,12 @@ def orphan_references(refs: DataFrame, targets: DataFrame, share: int = HEAVY_SH
 
     seen = light_groups.join(targets, (F.col("target") == F.col("t_target")) & (F.col("key") == F.col("t_key")), "left")
     # a group is kept if its first or last reference can be an orphan, or if it has no time at all
-    doubtful = seen.where("t_key is null or gone_at <= last_at or created_at > first_at").select(F.col("target").alias("g_target"), F.col("key").alias("g_key"), F.col("ref_month").alias("g_month"), "t_key", "created_at", "gone_at")
-    same = (F.col("target") == F.col("g_target")) & (F.col("key") == F.col("g_key")) & F.col("ref_month").eqNullSafe(F.col("g_month"))
-    out.append(light_refs.join(doubtful, same).withColumn("reason", _reason(F.col("created_at"), F.col("gone_at"), F.col("t_key"), F.col("ref_time"))))
+    group_id = F.xxhash64("target", "key", F.coalesce("ref_month", F.lit("")))
+    doubtful = seen.where("t_key is null or gone_at <= last_at or created_at > first_at").select(F.col("target").alias("g_target"), F.col("key").alias("g_key"), F.col("ref_month").alias("g_month"), "t_key", "created_at", "gone_at", group_id.alias("g_id"))
+    doubtful = materialize(doubtful, n="count(1)")
+    maybe = maybe_in(light_refs.withColumn("r_id", group_id), "r_id", doubtful, "g_id", counted(doubtful)["n"])
+    same = (F.col("r_id") == F.col("g_id")) & (F.col("target") == F.col("g_target")) & (F.col("key") == F.col("g_key")) & F.col("ref_month").eqNullSafe(F.col("g_month"))
+    out.append(maybe.join(doubtful, same).withColumn("reason", _reason(F.col("created_at"), F.col("gone_at"), F.col("t_key"), F.col("ref_time"))))
 
     columns = ["ref_table", "ref_field", "row_id", F.col("key").alias("missing_id"), "reason", "ref_month"]
     parts = [o.where("reason is not null").select(*columns) for o in out]
@@ -69,7 +74,7 @@ def latest_jobs(jobs: DataFrame, *columns: str) -> DataFrame:
 
 def audit_references(assets: DataFrame, observations: DataFrame, findings: DataFrame, jobs: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The references of the audit tables and what they point at, in the form orphan_references() takes."""
-    current = latest_jobs(jobs, "created_at", "purged_at", "result_refs")
+    current = materialize(latest_jobs(jobs, "created_at", "purged_at", "result_refs"))
 
     def ref(df: DataFrame, name: str, field: str, target: str, row: str, key: Column, at: str) -> DataFrame:
         return df.select(F.lit(name).alias("ref_table"), F.lit(field).alias("ref_field"), F.lit(target).alias("target"), norm_id(row).alias("row_id"), norm_id(key).alias("key"), F.col(at).alias("ref_time"))

@@ -120,7 +120,7 @@ TARGETS = "target string, key string, created_at timestamp, gone_at timestamp, n
 def test_orphans_heavy_and_light_agree(spark, floor):
     refs = [("o", "f", "a", f"r{i}", "hot", t(2025, 1 + i % 12, 1), "x") for i in range(40)] + [("o", "f", "a", "s1", "none", t(2025, 3, 1), "x"), ("o", "f", "a", "s1", "none", t(2025, 3, 1), "x"), ("o", "f", "a", "s2", None, t(2025, 3, 1), "x"), ("o", "f", "b", "s3", "hot", t(2025, 3, 1), "x"), ("o", "f", "a", "s4", "none", None, "x"), ("o", "f", "a", "s5", "kept", None, "x"), ("o", "f", "a", "s6", "kept", t(2025, 1, 1), "x"), ("o", "f", "a", "s7", "kept", t(2025, 2, 1), "x")]
     targets = [("a", "hot", t(2025, 3, 1), t(2025, 6, 1), 1), ("a", "kept", t(2025, 1, 1), t(2025, 2, 1), 1)]
-    out = references.orphan_references(spark.createDataFrame(refs, REFS), spark.createDataFrame(targets, TARGETS), share=1000, floor=floor).collect()
+    out = references.orphan_references(spark.createDataFrame(refs, REFS), spark.createDataFrame(targets, TARGETS), most=1000, floor=floor).collect()
     got = {(r.row_id, r.missing_id, r.reason, r.ref_month) for r in out}
     want = {(f"r{i}", "hot", "late" if i % 12 < 2 else "withdrawn", f"2025-{1 + i % 12:02d}") for i in range(40) if not 2 <= i % 12 < 5}
     assert got == want | {("s1", "none", "absent", "2025-03"), ("s3", "hot", "absent", "2025-03"), ("s4", "none", "absent", None), ("s7", "kept", "withdrawn", "2025-02")}
