@@ -15,7 +15,7 @@ FACTS = ["entity_id", "fact", "item"]
 SETTLED = ["event_id", "sequence", "event_type", "entity_id", "payload_json"]
 
 
-def settled_events(events: DataFrame, base: DataFrame | None = None) -> DataFrame:
+def settled_events(events: DataFrame | None, base: DataFrame | None = None) -> DataFrame:
     """Events whose payload matches its hash, one per event_id: that with the lowest sequence; with those of a base.
 
     The result is the base of a later batch: the minimum is commutative, associative and idempotent, so an event_id that
@@ -24,11 +24,12 @@ def settled_events(events: DataFrame, base: DataFrame | None = None) -> DataFram
     The minimum of a struct is combined on the map side, so an event sent very often is no hot key. Rows without an
     event_id or sequence can't be ordered and don't count.
     """
-    good = events.where(F.sha2(F.col("payload_json"), 256) == F.col("payload_hash"))
-    good = good.select(norm_id("event_id").alias("event_id"), "sequence", F.col("event_type").alias("event_type"), norm_id("entity_id").alias("entity_id"), F.when(F.col("event_type").isin(IGNORED) | F.col("event_type").like("%\\_WITHDRAWN"), None).otherwise(F.col("payload_json")).alias("payload_json"))
-    good = good.where("event_id is not null and sequence is not null")
-    if base is not None:
-        good = good.unionByName(base.select(*SETTLED))
+    good = None if base is None else base.select(*SETTLED)
+    if events is not None:
+        payload = F.when(~F.col("event_type").isin(IGNORED) & ~F.col("event_type").like("%\\_WITHDRAWN"), F.col("payload_json"))
+        sound = events.where(F.sha2(F.col("payload_json"), 256) == F.col("payload_hash"))
+        sound = sound.select(norm_id("event_id").alias("event_id"), "sequence", F.col("event_type").alias("event_type"), norm_id("entity_id").alias("entity_id"), payload.alias("payload_json")).where("event_id is not null and sequence is not null")
+        good = sound if good is None else sound.unionByName(good)
     return good.groupBy("event_id").agg(F.min(F.struct(*SETTLED[1:])).alias("e")).select("event_id", "e.*")
 
 

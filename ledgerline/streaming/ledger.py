@@ -23,28 +23,49 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int | None = No
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
+FAN = 8  #: deltas of one level that are merged into one of the next
+
+
 def fold_stream(events: DataFrame, state: str, checkpoint: str, partitions: int = 16) -> None:
-    """Settle a stream of events into versioned tables, one row per event_id, until the input ends.
+    """Settle a stream of events into tables of winners by event_id, until the input ends.
 
-    Each micro-batch merges its own events with the version before and writes the next one, so a batch that is replayed
-    after a failure overwrites its own version with the same rows: the merge is idempotent. An event_id that is sent
-    again in a later batch counts once, with its lowest sequence. Only the last two versions are kept.
+    Each micro-batch writes only its own settled events, as `level=0/upto=<batch>`; of every FAN tables of a level one
+    of the next level is made, so a batch costs its own size and, over time, a logarithm of the whole. The merge is a
+    minimum, commutative and idempotent: an event_id that is sent again in a later batch counts once, with its lowest
+    sequence; a batch that is replayed after a failure writes the same rows; it does not matter whether tables that
+    were merged are still there. They are deleted when a later batch begins, as only then the merge is known to last.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        base = batch.sparkSession.read.parquet(f"{state}/version={number - 1}") if number else None
-        settled_events(batch, base).repartition(partitions, "event_id").write.mode("overwrite").parquet(f"{state}/version={number}")
-        delete(batch.sparkSession, f"{state}/version={number - 2}")
+        spark = batch.sparkSession
+        for level, upto in _merged(number):
+            delete(spark, f"{state}/level={level}/upto={upto}")
+        write = lambda df, level: df.repartition(partitions, "event_id").write.mode("overwrite").parquet(f"{state}/level={level}/upto={number}")
+        write(settled_events(batch), 0)
+        for level, parts in _due(number):
+            write(settled_events(None, spark.read.parquet(*[f"{state}/level={level - 1}/upto={u}" for u in parts])), level)
 
     events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _due(number: int) -> list[tuple[int, list[int]]]:
+    """The merges after a batch: (level, last batches of the tables of the level below that it takes)."""
+    out, width = [], FAN
+    while (number + 1) % width == 0:
+        out.append((len(out) + 1, [number - k * (width // FAN) for k in range(FAN)]))
+        width *= FAN
+    return out
+
+
+def _merged(number: int) -> list[tuple[int, int]]:
+    """(level, upto) of the tables that the batch before has merged into others."""
+    return [(level - 1, u) for level, parts in _due(number - 1) for u in parts] if number else []
+
+
 def newest_state(spark: SparkSession, state: str) -> DataFrame:
-    """The folded facts of the newest version, for current_fields()."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(state)
-    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(path)
-    settled = spark.read.parquet(f"{state}/version={max(int(f.getPath().getName().split('=')[1]) for f in found)}")
-    return materialize(fold_changes(change_facts(named_events(settled))))
+    """The folded facts of all that was settled, for current_fields()."""
+    settled = spark.read.option("recursiveFileLookup", "true").parquet(state)
+    return materialize(fold_changes(change_facts(named_events(settled_events(None, settled)))))
 
 
 def unique_events(events: DataFrame, delay: str = "30 days") -> DataFrame:

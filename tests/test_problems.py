@@ -349,6 +349,25 @@ def test_repeats_are_settled_across_batches(spark, tmp_path):
     for n in range(4):  # each event in a file of its own batch
         for e in (first + second)[n::4]:
             table([e]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    ledger.fold_stream(ledger.read_events(spark, str(tmp_path / "in"), 3), str(tmp_path / "state"), str(tmp_path / "ck"), 2)
+    ledger.fold_stream(ledger.read_events(spark, str(tmp_path / "in"), 1), str(tmp_path / "state"), str(tmp_path / "ck"), 2)
+    assert sorted(p.name for p in (tmp_path / "state").glob("level=*/upto=*")) == ["upto=7", "upto=8", "upto=9"]  # 10 batches, eight of them merged
     got = changes.current_fields(ledger.newest_state(spark, str(tmp_path / "state")))
     assert {(r.entity_id, r.field_name, r.sequence, r.value) for r in got.collect()} == want
+
+
+def test_any_split_order_and_repetition_gives_one_state(spark):
+    """Random feeds with event_ids sent again under other sequences, cut into batches in random order, some twice."""
+    import random
+
+    for seed in range(4):
+        r = random.Random(seed)
+        kinds = ["ASSET_REGISTERED", "ASSET_CHANGED", "ASSET_WITHDRAWN", "OBSERVATION_ADDED"]
+        feed = [event(i, r.choice(kinds), r.choice("abcd"), {f"f{r.randrange(3)}": i}, f"id{r.randrange(25)}") for i in range(40)]
+        want = state(spark, feed)
+        batches, base = [[] for _ in range(3)], None
+        for e in r.sample(feed, len(feed)) + r.sample(feed, 8):
+            r.choice(batches).append(e)
+        for b in [*batches, batches[0]]:
+            base = changes.settled_events(spark.createDataFrame(b, EVENTS), base)
+        got = changes.current_fields(changes.fold_changes(changes.change_facts(changes.named_events(base))))
+        assert {(x.entity_id, x.field_name, x.sequence, x.value) for x in got.collect()} == want
