@@ -1,15 +1,14 @@
-"""A filter of fixed size for joins: which keys can have a partner at all."""
+"""A bitmap of bounded size as a filter for joins: which keys can have a partner at all."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-WIDTH = 8 * 4096  # bits of one of Spark's bitmaps
-LEAST, MOST = 1 << 18, 1 << 27  #: bits of a filter: 32 KB to 16 MB
+LEAST, MOST = 1 << 18, 1 << 26  #: bits of a filter; its words of 64 bits are broadcast: 4,096 to a million rows
 
 
 def filter_bits(n_keys: int | None) -> int:
-    """Eight to sixteen bits for each key within the bounds, 1 MB for an unknown number of keys."""
+    """Eight to sixteen bits for each key within the bounds; a million keys are assumed where their number is unknown."""
     return 1 << 23 if n_keys is None else min(MOST, max(LEAST, 1 << (8 * n_keys).bit_length()))
 
 
@@ -20,14 +19,13 @@ def _bit(key: Column, bits: int) -> Column:
 def maybe_in(left: DataFrame, left_key: str, keys: DataFrame, key: str, n_keys: int | None = None) -> DataFrame:
     """Rows of left whose key may be among `keys`: all that are, and few others unless keys outnumber the bits.
 
-    n_keys: about how many keys there are, if that is known. The bitmaps that are broadcast take 16 MB at most. The
-    filter only spares the shuffle rows that can't match; the join that follows decides. Beyond some 100 million keys
+    n_keys: about how many keys there are, if that is known. The words that are broadcast are a million at most. The
+    filter only spares the shuffle rows that can't match; the join that follows decides. Beyond some 50 million keys
     it lets more and more through; the join then does the work.
     """
     bits = filter_bits(n_keys)
     at = keys.where(F.col(key).isNotNull()).select(_bit(F.col(key), bits).alias("_b"))
-    maps = at.groupBy((F.col("_b") / WIDTH).cast("int").alias("_bucket")).agg(F.bitmap_construct_agg(F.col("_b") % WIDTH).alias("_map"))
-    rows = left.withColumn("_l", _bit(F.col(left_key), bits)).withColumn("_lb", (F.col("_l") / WIDTH).cast("int"))
-    byte = F.conv(F.hex(F.substring("_map", (F.col("_l") % WIDTH / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.call_function("shiftright", byte, (F.col("_l") % 8).cast("int")).bitwiseAND(F.lit(1))
-    return rows.join(F.broadcast(maps), F.col("_lb") == F.col("_bucket")).where(bit == 1).select(*left.columns)
+    words = at.groupBy(F.expr("_b div 64").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_b % 64 as int)))").alias("_bits"))
+    rows = left.withColumn("_l", _bit(F.col(left_key), bits))
+    hit = F.expr("(shiftright(_bits, cast(_l % 64 as int)) & 1L) = 1L")
+    return rows.join(F.broadcast(words), F.expr("_l div 64") == F.col("_word")).where(hit).select(*left.columns)

@@ -9,9 +9,13 @@ def as_col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: All characters that Unicode counts as white space. Fixed values.
+BLANK = "".join(map(chr, [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def norm_id(c: str | Column) -> Column:
     """Ids compare without letter case and surrounding white space; a blank id is null."""
-    t = F.lower(F.regexp_replace(as_col(c).cast("string"), r"(?U)^\s+|\s+$", ""))
+    t = F.lower(F.btrim(as_col(c).cast("string"), F.lit(BLANK)))
     return F.when(t != "", t)
 
 

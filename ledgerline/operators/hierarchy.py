@@ -20,15 +20,16 @@ def _jump(active: DataFrame, known: DataFrame, n_active: int) -> DataFrame:
     return skew_join(active, known, "pointer", "k_node", heavy_keys(active, ["pointer"], n_active), "inner")
 
 
-def _round(state: DataFrame, n_active: int) -> DataFrame:
+def _round(state: DataFrame, n_active: int, n_first: int) -> DataFrame:
     """One doubling: active nodes take over the pointer, the depth and the path of the node they point at.
 
     state: node, pointer, depth, path, fresh. Nodes that are finished (no pointer) are kept, no longer fresh, as long
     as an active node points at them: only these can be pointed at in the next round, as a pointer is taken over from
-    an active node. The plan is the same in every round, and state shrinks with the nodes that go on.
+    an active node. State shrinks with the nodes that go on. n_first sizes the filter in every round, so the plan, and
+    with it the generated code, stays the same.
     """
     active = state.where("pointer is not null")
-    known = maybe_in(state, "node", active, "pointer", n_active).select(*[F.col(c).alias("k_" + c) for c in ("node", "pointer", "depth", "path")])
+    known = maybe_in(state, "node", active, "pointer", n_first).select(*[F.col(c).alias("k_" + c) for c in ("node", "pointer", "depth", "path")])
     moved = _jump(active, known, n_active).select("node", F.col("k_pointer").alias("pointer"), (F.col("depth") + F.col("k_depth")).alias("depth"), F.concat("k_path", "path").alias("path"), F.lit(True).alias("fresh"))
     kept = known.where("k_pointer is null").select(F.col("k_node").alias("node"), F.col("k_pointer").alias("pointer"), F.col("k_depth").alias("depth"), F.col("k_path").alias("path"), F.lit(False).alias("fresh"))
     return moved.unionByName(kept)
@@ -39,9 +40,9 @@ def _resolve(state: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
 
     state: a materialized table with COUNTS. A round is one join, written with its counts.
     """
-    rounds = [state]
+    rounds, n_first = [state], counted(state)["active"]
     while counted(state)["active"]:
-        new = materialize(_round(state, counted(state)["active"]), **COUNTS)
+        new = materialize(_round(state, counted(state)["active"], n_first), **COUNTS)
         if not counted(new)["finished"]:
             discard(new)
             return rounds, state
@@ -71,17 +72,15 @@ def hierarchy(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.select("node", "parent").where("node is not null"), n="count(1)")
     nodes = edges.select(F.col("node").alias("p_node"))
     heavy = heavy_keys(edges.where("parent is not null"), ["parent"], counted(edges)["n"])
-    out = climb(skew_join(edges, nodes, "parent", "p_node", heavy, "left").select("node", F.col("p_node").alias("parent")))
-    discard(edges)
-    return out
+    return climb(skew_join(edges, nodes, "parent", "p_node", heavy, "left").select("node", F.col("p_node").alias("parent")))
 
 
 def climb(links: DataFrame) -> DataFrame:
-    """hierarchy() of links whose parents are all nodes; written, and the tables of its rounds deleted."""
+    """hierarchy() of links whose parents are all nodes; it reads the tables of its rounds, which clean_up() deletes."""
     depth = F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint")
     start = materialize(links.select("node", F.col("parent").alias("pointer"), depth.alias("depth"), F.array("node").alias("path"), F.lit(True).alias("fresh")), **COUNTS)
     rounds, stuck = _resolve(start)
-    out, used = _finished(rounds, "tree"), rounds
+    out = _finished(rounds, "tree")
     if stuck is not None:
         n, endless = counted(stuck)["active"], stuck.where("pointer is not null").select("node", "pointer")
         hops, size, before = materialize(endless), None, None
@@ -95,10 +94,8 @@ def climb(links: DataFrame) -> DataFrame:
         left = start.join(endless.select("node"), "node", "left_semi").join(loops, F.col("node") == F.col("loop_node"), "left")
         inside = F.col("loop_node").isNotNull()
         behind, _ = _resolve(materialize(left.select("node", F.when(~inside, F.col("pointer")).alias("pointer"), F.when(inside, 0).otherwise(1).cast("bigint").alias("depth"), "path", "fresh"), **COUNTS))
-        out, used = out.unionByName(cycle).unionByName(_finished(behind, "below").where("node_depth > 0")), [*used, hops, loops, *behind]
-    out = materialize(out)
-    for t in used:
-        discard(t)
+        discard(hops)
+        out = out.unionByName(cycle).unionByName(_finished(behind, "below").where("node_depth > 0"))
     return out
 
 

@@ -7,15 +7,15 @@ import json
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from json.decoder import scanstring
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ledgerline.functions.bitmap import maybe_in
 from ledgerline.functions.ids import norm_id
-from ledgerline.sources.shared import materialize, new_path
+from ledgerline.sources.shared import counted, materialize, new_path
 
 #: List fields whose object elements become rows. Fixed values.
 LIST_FIELDS = ["channels", "attempts", "candidates", "repositories", "pages", "signals", "categories", "columns", "members"]
@@ -337,14 +337,14 @@ def flatten(records: DataFrame, list_fields: list[str] = LIST_FIELDS) -> DataFra
     walked. Only records whose newest body is broken are looked at again, for their newest sound one.
     """
     rows = records.select(norm_id("record_ref").alias("record_ref"), "received_at", "body").where("record_ref is not null and body is not null")
-    first = materialize(_walk(_newest(rows), list_fields))
+    first = materialize(_walk(_newest(rows), list_fields), "node_kind", n="count_if(node_kind is null)")
     broken = first.where("node_kind is null").select("record_ref")
     nodes = first.where("node_kind is not null")
-    if broken.isEmpty():
+    if not counted(first)["n"]:
         return nodes
-    again = maybe_in(rows, "record_ref", broken, "record_ref").join(broken, "record_ref", "left_semi")
+    again = maybe_in(rows, "record_ref", broken, "record_ref", counted(first)["n"]).join(broken, "record_ref", "left_semi")
     sound = again.mapInArrow(_valid, again.schema)
-    return nodes.unionByName(_walk(_newest(sound), list_fields).where("node_kind is not null"))
+    return nodes.unionByName(materialize(_walk(_newest(sound), list_fields), "node_kind").where("node_kind is not null"))
 
 
 def variants(nodes: DataFrame) -> DataFrame:
@@ -376,44 +376,45 @@ def column_type(state: str) -> str | None:
 
 
 class SubtypeTables:
-    """Typed tables of all variants, in one folder by kind and variant, with the supertype's keys and parent link.
+    """Typed tables of all variants: a folder for each kind, in it one for each variant, with keys and parent link.
 
-    Each (field, type) that occurs among the variants has a column of its own, so no value is cast to a type that
-    isn't its own; in a variant's folder only the columns of its state hold values. The `tables` most frequent
-    variants are typed; what else there is lies in the folders of `rest` with its fields as a map.
+    Each (field, type) that occurs among a kind's variants has a column of its own, so no value is cast to a type that
+    isn't its own; in a variant's folder only the columns of its state hold values. What is not among the typed
+    variants lies in folders of its own by kind, with its fields as a map.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, shapes: dict[tuple[str, str], str]):
-        self.spark, self.folder, self.shapes = spark, folder, shapes
-        self.fields: dict[tuple[str, str], str] = {}  # (field, type): column in the files
-        for shape in shapes.values():
+    def __init__(self, spark: SparkSession, folder: str, shapes: dict[tuple[str, str], str], rest: bool):
+        self.spark, self.folder, self.shapes, self.rest = spark, folder, shapes, rest
+        self.fields: dict[str, dict[tuple[str, str], str]] = {}  # by kind: (field, type) and its column in the files
+        for (kind, _), shape in sorted(shapes.items()):
+            own = self.fields.setdefault(kind, {})
             for field, state in shape_columns(shape).items():
-                if kind := column_type(state):
-                    self.fields.setdefault((field, kind), f"c{len(self.fields)}")
-
-    def schema(self) -> T.StructType:
-        kinds = {"string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
-        head = [T.StructField(k, T.StringType()) for k in ("record_ref", "variant_id", "parent_kind", "parent_path", "node_path")]
-        own = [T.StructField("own", T.MapType(T.StringType(), T.StringType()))]
-        return T.StructType(head + [T.StructField(c, kinds[k]) for (_, k), c in self.fields.items()] + own + [T.StructField("node_kind", T.StringType()), T.StructField("variant", T.StringType())])
+                if type_ := column_type(state):
+                    own.setdefault((field, type_), f"c{len(own)}")
 
     def write(self, nodes: DataFrame) -> None:
         """Route every row to its variant's folder; partitions of a frequent variant are split, small ones put together."""
-        typed = self.spark.createDataFrame([(k, v) for k, v in self.shapes] or [("", "")], "t_kind string, t_variant string")
-        rows = nodes.join(F.broadcast(typed), (F.col("node_kind") == F.col("t_kind")) & (F.col("variant") == F.col("t_variant")), "left")
-        known = F.col("t_variant").isNotNull()
-        value = lambda f: F.col("own")[F.lit(f)]
-        codes = {kind: [c for c, k in CODES.values() if k == kind] + ["j"] * (kind == "string") for kind in ("string", "bigint", "double", "boolean")}
-        columns = [F.when(known & F.substring(value(f), 1, 1).isin(codes[k]), F.substring(value(f), 2, 1 << 30)).cast(k).alias(c) for (f, k), c in self.fields.items()]
-        out = rows.select("record_ref", F.col("variant").alias("variant_id"), "parent_kind", "parent_path", "node_path", *columns, F.when(~known, F.col("own")).alias("own"), "node_kind", F.when(known, F.col("variant")).otherwise("rest").alias("variant"))
-        out.hint("rebalance", "node_kind", "variant").write.partitionBy("node_kind", "variant").parquet(self.folder)
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema()).parquet(self.folder)
+        keys = ["record_ref", "parent_kind", "parent_path", "node_path"]
+        typed = F.broadcast(self.spark.createDataFrame(list(self.shapes), "node_kind string, variant string")) if self.shapes else None
+        for kind, fields in self.fields.items():
+            rows = nodes.where(F.col("node_kind") == kind)
+            if self.rest:
+                rows = rows.join(typed, ["node_kind", "variant"], "left_semi")
+            out = rows.select(*keys, *[_coded(F.col("own")[F.lit(f)], t).alias(c) for (f, t), c in fields.items()], "variant")
+            out.hint("rebalance", "variant").write.partitionBy("variant").parquet(f"{self.folder}/typed/node_kind={kind}")
+        if self.rest:
+            others = nodes.join(typed, ["node_kind", "variant"], "left_anti") if self.shapes else nodes
+            others.select(*keys, "variant", "own", "node_kind").hint("rebalance", "node_kind", "variant").write.partitionBy("node_kind").parquet(f"{self.folder}/rest")
+
+    def _read(self, path: str, columns: str, keys: str = "record_ref string, parent_kind string, parent_path string, node_path string") -> DataFrame:
+        return self.spark.read.schema(f"{keys}, {columns}").option("basePath", f"{self.folder}/{path.split('/')[0]}").parquet(f"{self.folder}/{path}")
 
     def supertype(self) -> DataFrame:
         """The keys and parent links of all elements, from all subtype tables."""
-        return self.read().select("record_ref", "node_kind", F.col("variant_id").alias("variant"), "parent_kind", "parent_path", "node_path")
+        parts = ([self._read("typed", "node_kind string, variant string")] if self.shapes else []) + ([self._read("rest", "node_kind string, variant string")] if self.rest else [])
+        if not parts:
+            return self.spark.createDataFrame([], ", ".join(f"{k} string" for k in KEYS))
+        return reduce(DataFrame.unionByName, parts).select(*KEYS)
 
     def columns(self, node_kind: str) -> dict[str, tuple[str, str]]:
         """Output columns of a kind: name to (field, type). A field with several types has one column for each."""
@@ -424,24 +425,36 @@ class SubtypeTables:
                     kinds.setdefault(field, set()).update({t} if (t := column_type(state)) else set())
         return named_columns({f: sorted(t) for f, t in sorted(kinds.items())})
 
-    def _select(self, rows: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
-        def column(field: str, kind: str):
-            codes = [c for c, k in CODES.values() if k == kind] + ["j"] * (kind == "string")
-            raw = F.col("own")[F.lit(field)]
-            rest = F.when(F.substring(raw, 1, 1).isin(codes), F.substring(raw, 2, 1 << 30)).cast(kind)
-            return F.coalesce(F.col(c), rest) if (c := self.fields.get((field, kind))) else rest
-
-        keys = ["record_ref", "node_path", "parent_kind", "parent_path", F.col("variant_id").alias("variant")]
-        return rows.select(*keys, *[column(*w).alias(name) for name, w in wanted.items()])
+    def _typed(self, node_kind: str, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+        fields = self.fields[node_kind]
+        rows = self._read(f"typed/node_kind={node_kind}", ", ".join([f"{c} {t}" for (_, t), c in fields.items()] + ["node_kind string", "variant string"]))
+        return rows.select(*_OUT, *[(F.col(fields[w]) if w in fields else F.lit(None).cast(w[1])).alias(n) for n, w in wanted.items()])
 
     def kind(self, node_kind: str, columns: dict[str, tuple[str, str]] | None = None) -> DataFrame:
-        """All elements of a kind with typed columns: those that occur, or the given ones."""
-        return self._select(self.read().where(F.col("node_kind") == node_kind), self.columns(node_kind) if columns is None else columns)
+        """All elements of a kind with typed columns: those that occur among typed variants, or the given ones."""
+        wanted, parts = self.columns(node_kind) if columns is None else columns, []
+        if node_kind in self.fields:
+            parts.append(self._typed(node_kind, wanted))
+        if self.rest:
+            rows = self._read("rest", "variant string, own map<string,string>, node_kind string").where(F.col("node_kind") == node_kind)
+            parts.append(rows.select(*_OUT, *[_coded(F.col("own")[F.lit(f)], t).alias(n) for n, (f, t) in wanted.items()]))
+        if not parts:
+            return self.spark.createDataFrame([], ", ".join([f"{k} string" for k in _OUT] + [f"`{n}` {t}" for n, (_, t) in wanted.items()]))
+        return reduce(DataFrame.unionByName, parts)
 
     def variant(self, node_kind: str, variant: str) -> DataFrame:
         """The table of one typed variant, with exactly the fields of its state."""
         fields = {f: [t] for f, s in sorted(shape_columns(self.shapes[node_kind, variant]).items()) if (t := column_type(s))}
-        return self._select(self.read().where((F.col("node_kind") == node_kind) & (F.col("variant") == variant)), named_columns(fields))
+        return self._typed(node_kind, named_columns(fields)).where(F.col("variant") == variant)
+
+
+_OUT = ["record_ref", "node_path", "parent_kind", "parent_path", "variant"]
+
+
+def _coded(value: Column, kind: str) -> Column:
+    """A value of `own` if its code is one of this type's, else null."""
+    codes = [c for c, k in CODES.values() if k == kind] + ["j"] * (kind == "string")
+    return F.when(F.substring(value, 1, 1).isin(codes), F.substring(value, 2, (1 << 31) - 1)).cast(kind)
 
 
 def named_columns(fields: dict[str, list[str]]) -> dict[str, tuple[str, str]]:
@@ -458,9 +471,12 @@ def named_columns(fields: dict[str, list[str]]) -> dict[str, tuple[str, str]]:
 
 
 def route(nodes: DataFrame, tables: int = TABLES) -> SubtypeTables:
-    """Write every variant to its typed table in the shared folder. The states of at most `tables` variants are collected."""
-    most = variants(nodes).orderBy(F.desc("n_nodes"), "node_kind", "variant").limit(tables).select("node_kind", "variant", "shape").collect()
-    out = SubtypeTables(nodes.sparkSession, new_path(nodes.sparkSession), {(r[0], r[1]): r[2] for r in most})
+    """Write every variant to its table in the shared folder: the `tables` most frequent ones typed, the others as maps.
+
+    Only states and their counts reach the driver, of at most `tables` variants.
+    """
+    most = nodes.groupBy("node_kind", "variant", "shape").count().orderBy(F.desc("count"), "node_kind", "variant").limit(tables + 1).collect()
+    out = SubtypeTables(nodes.sparkSession, new_path(nodes.sparkSession), {(r[0], r[1]): r[2] for r in most[:tables]}, len(most) > tables)
     out.write(nodes)
     return out
 

@@ -71,7 +71,7 @@ def p4_found(s: SparkSession, d: str) -> DataFrame:
 
 
 def _tree(s: SparkSession, d: str) -> DataFrame:
-    return hierarchy.climb(hierarchy.audit_links(table(s, d, "audit_jobs")))
+    return materialize(hierarchy.climb(hierarchy.audit_links(table(s, d, "audit_jobs"))))
 
 
 def p4_descendants(s: SparkSession, d: str) -> DataFrame:

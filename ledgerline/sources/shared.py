@@ -66,13 +66,15 @@ def clean_up(spark: SparkSession) -> None:
     delete(spark, _application_folder(spark))
 
 
-def materialize(df: DataFrame, **counts: str) -> DataFrame:
+def materialize(df: DataFrame, by: str | None = None, **counts: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: cuts lineage, survives lost executors.
 
+    by: column whose values get folders of their own, so that a reader of one value skips the others.
     counts: SQL aggregates that are taken while it is written; counted() gives them.
     """
     path, seen = new_path(df.sparkSession), Observation() if counts else None
-    (df.observe(seen, *[F.expr(c).alias(n) for n, c in counts.items()]) if seen else df).write.parquet(path)
+    writer = (df.observe(seen, *[F.expr(c).alias(n) for n, c in counts.items()]) if seen else df).write
+    (writer.partitionBy(by) if by else writer).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._ledgerline_path, out._ledgerline_counts = path, seen.get if seen else {}
     return out
