@@ -3,53 +3,84 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline.llm.tokens import VOCABULARY, token_count
 from ledgerline.sources.shared import materialize
 
 CAPACITY = 4096  #: tokens of one container
-BUCKETS = 16  #: most length buckets
+BUCKETS = 4  #: length buckets
+GRID = 64  #: lengths among which the bounds are chosen, half of them by items, half by tokens
 SHARD = 20_000  #: items that one task packs at a time
 
 
-def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, capacity: int, buckets: int) -> list[int]:
-    """Upper bounds of at most `buckets` length buckets with the least total padding, by dynamic programming.
+def containers_opened(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
+    """Containers that a bucket from lengths[i] up to the longest takes, for every i; lengths ascending.
 
-    A bucket with upper bound b puts capacity // b items into a container, so an item of length l has a slot of
-    capacity / (capacity // b) and wastes the rest of it. lengths: ascending, 1 to capacity; counts: items of each.
+    The token-budget batches of pack_shard() on a histogram: longest items first, each into the fullest container that
+    still takes it. As the bucket's items come longest first, one pass gives every lower bound. The work depends on
+    the number of lengths, not of items.
     """
-    n = len(lengths)
-    if not n:
+    rooms, opened, out = np.zeros(capacity + 1, dtype=np.int64), 0, np.zeros(len(lengths), dtype=np.int64)
+    for i in range(len(lengths) - 1, -1, -1):
+        size, n = int(lengths[i]), int(counts[i])
+        for room in np.flatnonzero(rooms[size:]) + size:
+            if not n:
+                break
+            fit = int(room) // size  # a container that took one is the fullest, so it takes all it can
+            whole = min(int(rooms[room]), n // fit)
+            rooms[room] -= whole
+            rooms[room - fit * size] += whole
+            n -= whole * fit
+            if n and n < fit and rooms[room]:
+                rooms[room] -= 1
+                rooms[room - n * size] += 1
+                n = 0
+        if n:
+            fit = capacity // size
+            opened += -(-n // fit)
+            rooms[capacity - fit * size] += n // fit
+            if n % fit:
+                rooms[capacity - n % fit * size] += 1
+        out[i] = opened
+    return out
+
+
+def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, capacity: int, buckets: int = BUCKETS, grid: int = GRID) -> list[int]:
+    """Upper bounds of `buckets` length buckets with the least padding, by dynamic programming over the histogram.
+
+    Padding is the room that is left over when each bucket is filled by itself; as the tokens are given, the least
+    padding is the least number of containers. lengths: ascending, 1 to capacity; counts: items of each. Bounds are
+    chosen among `grid` lengths that cut the items or the tokens evenly; with no more lengths than that, among all. Where
+    there are fewer lengths than buckets, each has its own.
+    """
+    if not len(lengths):
         return []
-    items = np.concatenate([[0.0], np.cumsum(counts, dtype=float)])
-    tokens = np.concatenate([[0.0], np.cumsum(counts * lengths.astype(float))])
-    slot = capacity / (capacity // lengths)
-    best = np.full(n + 1, np.inf)
-    best[0] = 0.0
-    choices = []
-    for _ in range(min(buckets, n)):
-        cost, choice = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int)
-        for j in range(1, n + 1):
-            total = best[:j] + slot[j - 1] * (items[j] - items[:j]) - (tokens[j] - tokens[:j])
-            choice[j] = np.argmin(total)
-            cost[j] = total[choice[j]]
+    ends = np.arange(len(lengths))
+    if len(lengths) > grid:
+        even = np.arange(1, grid // 2 + 1) / (grid // 2)
+        cuts = [np.searchsorted(sums, sums[-1] * even) for sums in (np.cumsum(counts.astype(float)), np.cumsum(counts * lengths.astype(float)))]
+        ends = np.unique(np.minimum(np.append(np.concatenate(cuts), len(lengths) - 1), len(lengths) - 1))
+    ends = ends + 1  # one past each bound
+    starts = np.append(0, ends[:-1])
+    cost = [containers_opened(lengths[:e], counts[:e], capacity)[starts[: j + 1]] for j, e in enumerate(ends)]
+    best, choices = np.array([float(c[0]) for c in cost]), []
+    for k in range(1, min(buckets, len(ends))):
+        total, choice = np.full(len(ends), np.inf), np.zeros(len(ends), dtype=int)
+        for j in range(k, len(ends)):  # the last bucket begins behind the bound i
+            tried = best[k - 1 : j] + cost[j][k : j + 1]
+            choice[j] = int(np.argmin(tried)) + k - 1
+            total[j] = tried[choice[j] - k + 1]
+        best = total
         choices.append(choice)
-        done, best = best[n] <= cost[n], cost
-        if done:
-            choices.pop()
-            break
-    bounds, j = [], n
+    bounds, j = [], len(ends) - 1
     for choice in reversed(choices):
-        if j == 0:
-            break
-        bounds.append(int(lengths[j - 1]))
+        bounds.append(int(lengths[ends[j] - 1]))
         j = choice[j]
-    return sorted(bounds)
+    return sorted([*bounds, int(lengths[ends[j] - 1])])
 
 
 def items_of(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -60,25 +91,24 @@ def items_of(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = V
     return cut.select("doc_id", "piece", F.least(F.lit(capacity), F.col("total") - F.col("piece") * capacity).cast("int").alias("n_tokens"))
 
 
-def length_buckets(items: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> tuple[list[int], int]:
-    """Bucket bounds from the global histogram, which has capacity + 1 rows at most; and the number of items."""
-    rows = items.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()
-    sized = sorted((r[0], r[1]) for r in rows if r[0] > 0)
-    bounds = optimal_bounds(np.array([r[0] for r in sized], dtype=int), np.array([r[1] for r in sized], dtype=int), capacity, buckets)
-    return bounds, sum(r[1] for r in rows)
+def histogram(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All lengths and the number of items of each: capacity + 1 rows at most."""
+    rows = sorted((r[0], r[1]) for r in items.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect())
+    return np.array([r[0] for r in rows], dtype=int), np.array([r[1] for r in rows], dtype=int)
 
 
-def pack_shard(lengths: np.ndarray, bounds: list[int], capacity: int) -> np.ndarray:
-    """Container number of each item: longest bucket first, each item into the fullest container that still takes it.
+def length_buckets(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, buckets: int = BUCKETS) -> list[int]:
+    """Bounds for a histogram; empty items go to the first bucket."""
+    sized = lengths > 0
+    return optimal_bounds(lengths[sized], counts[sized], capacity, buckets) or [capacity]
 
-    Batches form inside a bucket under the token budget; a shorter bucket first fills the room that the containers
-    of longer buckets left, then opens its own.
-    """
-    bucket = np.searchsorted(bounds, lengths)
+
+def pack_shard(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Container number of each item: longest first, each into the fullest container that still takes it."""
     out = np.empty(len(lengths), dtype=np.int64)
     rooms: list[tuple[int, int]] = []  # (room, container), ascending
     opened = 0
-    for i in np.lexsort((-lengths, -bucket)):
+    for i in np.argsort(-lengths, kind="stable"):
         size = int(lengths[i])
         at = bisect_left(rooms, (size, -1))
         if at < len(rooms):
@@ -92,34 +122,58 @@ def pack_shard(lengths: np.ndarray, bounds: list[int], capacity: int) -> np.ndar
     return out
 
 
-def pack(items: DataFrame, bounds: list[int], n_items: int, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
-    """doc_id, piece, n_tokens, bucket_bound, container_id; container_id is `shard/number`.
+def _bucket(bounds: list[int]) -> Column:
+    out = F.lit(0)
+    for b in bounds[:-1]:
+        out = out + (F.col("n_tokens") > b).cast("int")
+    return out
+
 
-    Items are dealt to shards of about `shard` items by the hash of their id, so each shard has all lengths in their
-    share and one task never holds more than that; only ids and lengths are shuffled. Empty documents are items of
-    length 0. An empty input gives no rows.
+def pack(items: DataFrame, bounds: list[int], histogram: tuple[np.ndarray, np.ndarray], capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
+    """doc_id, piece, n_tokens, bucket_bound, container_id (`bucket/shard/number`): batches form inside a bucket only.
+
+    A bucket's items are dealt evenly to shards of about `shard` items, whatever their ids, so one task never holds
+    more than that; only ids and lengths are shuffled. Empty documents are items of length 0. An empty input gives no
+    rows. items: written before, so that a task that is repeated deals alike.
     """
-    shards = max(1, -(-n_items // shard))
-    dealt = items.select("doc_id", "piece", "n_tokens", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int").alias("shard"))
+    lengths, counts = histogram
+    of = np.searchsorted(bounds, lengths)
+    shards = [max(1, -(-int(counts[of == k].sum()) // shard)) for k in range(len(bounds))]
+    bucket = _bucket(bounds)
+    spread = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.array(*map(F.lit, shards))[bucket]).cast("int")
+    dealt = items.select("doc_id", "piece", "n_tokens", bucket.alias("bucket"), spread.alias("shard"))
 
     def fill(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["n_tokens", "doc_id", "piece"], kind="stable")
-        lengths = frame["n_tokens"].to_numpy()
-        known = np.array([0, *bounds])
-        number = pack_shard(lengths, bounds, capacity)
-        where = str(frame["shard"].iloc[0])
-        return pd.DataFrame({"doc_id": frame["doc_id"], "piece": frame["piece"], "n_tokens": lengths, "bucket_bound": known[np.where(lengths > 0, np.searchsorted(bounds, lengths) + 1, 0)], "container_id": [f"{where}/{k}" for k in number]})
+        number = pack_shard(frame["n_tokens"].to_numpy(), capacity)
+        bucket = int(frame["bucket"].iloc[0])
+        where = f"{bucket}/{frame['shard'].iloc[0]}"
+        return pd.DataFrame({"doc_id": frame["doc_id"], "piece": frame["piece"], "n_tokens": frame["n_tokens"], "bucket_bound": bounds[bucket], "container_id": [f"{where}/{k}" for k in number]})
 
     kind = items.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("shard").applyInPandas(fill, f"doc_id {kind}, piece int, n_tokens int, bucket_bound int, container_id string")
+    return dealt.groupBy("bucket", "shard").applyInPandas(fill, f"doc_id {kind}, piece int, n_tokens int, bucket_bound int, container_id string")
 
 
 def containers(documents: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS, vocabulary: str = VOCABULARY) -> DataFrame:
     """Assignment of all documents to containers of `capacity` tokens.
 
-    Null and empty texts have no tokens and are assigned too; repeated rows are items of their own; extra columns
-    are ignored; a text longer than the capacity is cut into full pieces and a rest.
+    Dynamic programming over the global histogram of lengths chooses the bounds of the length buckets; token-budget
+    batches form inside each bucket. Null and empty texts have no tokens and are assigned too; repeated rows are items
+    of their own; extra columns are ignored; a text longer than the capacity is cut into full pieces and a rest.
     """
     items = materialize(items_of(documents, capacity, vocabulary))
-    bounds, n = length_buckets(items, capacity, buckets)
-    return pack(items, bounds, n, capacity)
+    sizes = histogram(items)
+    return pack(items, length_buckets(*sizes, capacity, buckets), sizes, capacity)
+
+
+def compared(documents: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Containers and their fill by the choice of bounds: method, n_buckets, n_containers, fill."""
+    items = materialize(items_of(documents, capacity, vocabulary))
+    sizes = histogram(items)
+    even = [capacity * (k + 1) // buckets for k in range(buckets)]
+    out = None
+    for method, bounds in (("optimal", length_buckets(*sizes, capacity, buckets)), ("even", even), ("one_bucket", [capacity])):
+        full = pack(items, bounds, sizes, capacity).agg(F.countDistinct("container_id").alias("n_containers"), F.sum("n_tokens").alias("n"))
+        row = full.select(F.lit(method).alias("method"), F.lit(len(bounds)).alias("n_buckets"), "n_containers", F.round(F.col("n") / (F.col("n_containers") * capacity), 6).alias("fill"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ledgerline.functions.bitmap import maybe_in
-from ledgerline.sources.shared import discard, materialize
+from ledgerline.sources.shared import counted, discard, materialize
 
 SPAN = 300  #: code points of the shortest shared span
 SLICE = 200_000  #: code points that are hashed together
@@ -138,10 +138,10 @@ def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo <> _hi").select(*keys)
 
 
-def _windows(places: DataFrame, documents: DataFrame, span: int, size: int) -> DataFrame:
+def _windows(places: DataFrame, n_places: int, documents: DataFrame, span: int, size: int) -> DataFrame:
     """Hash of every window of the contexts in `places`, from the texts of the documents that hold them."""
     kept = places.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "anchor", "context", "lo", "hi", "whole")).alias("at"))
-    texts = maybe_in(documents.select(F.col("doc_id").alias("t_doc"), "text").where("text is not null"), "t_doc", places, "doc_id")
+    texts = maybe_in(documents.select(F.col("doc_id").alias("t_doc"), "text").where("text is not null"), "t_doc", places, "doc_id", n_places)
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +169,7 @@ def _windows(places: DataFrame, documents: DataFrame, span: int, size: int) -> D
 def shared_spans(documents: DataFrame, span: int = SPAN, size: int = SLICE) -> DataFrame:
     """doc_id, start_char, end_char: the parts of each text covered by spans that stand verbatim in another document.
 
-    Level-wise doubling on the windows' anchors: anchors of span/4 code points that stand in one document alone are
+    Level-wise doubling of the windows' anchors up to `span`, the length asked for; longest_spans() doubles on. Anchors of span/4 code points that stand in one document alone are
     dropped; those left are extended to span/2, to the side where each window has room, and dropped likewise; those
     left after that are extended to the whole context of their windows. A context in two documents is shared as it is.
     Of the other contexts whose anchor has more than one context, every single window of `span` is compared, one
@@ -180,30 +180,77 @@ def shared_spans(documents: DataFrame, span: int = SPAN, size: int = SLICE) -> D
     have none. doc_id must be unique: rows of one doc_id count as one document. Extra columns are ignored.
     """
     documents = documents.select("doc_id", "text").where("doc_id is not null")
+    # level span/4: anchors
     first = materialize(anchors(documents, span, size))
-    keys = materialize(_repeated(first, ["anchor"]))
-    one = materialize(maybe_in(first, "anchor", keys, "anchor").join(keys, "anchor", "left_semi"))
+    keys = materialize(_repeated(first, ["anchor"]), n="count(1)")
+    one = materialize(maybe_in(first, "anchor", keys, "anchor", counted(keys)["n"]).join(keys, "anchor", "left_semi"))
     discard(first)
 
+    # level span/2: anchors extended to either side
     sides = one.withColumn("side", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("before").alias("twice")), F.struct(F.lit(1).alias("which"), F.col("after").alias("twice")))))
     sides = sides.select("doc_id", "first", "n", "context", "anchor", F.col("side.which").alias("which"), F.col("side.twice").alias("twice"))
     two = sides.join(_repeated(sides, ["anchor", "which", "twice"]), ["anchor", "which", "twice"], "left_semi").select("doc_id", "first", "n", "anchor", "context").distinct()
     two = materialize(two)
     discard(one)
 
+    # level span: the windows themselves, as whole contexts where these are repeated
+
     contexts = two.groupBy("anchor", "context", "n").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "first")).alias("at"))
     contexts = materialize(contexts.select("anchor", "context", "n", "lo", "hi", F.col("at.doc_id").alias("doc_id"), F.col("at.first").alias("first"), (F.col("lo") != F.col("hi")).alias("whole")))
     mixed = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.count_if(~F.col("whole")).alias("single")).where("m > 1 and single > 0").select("anchor")
-    windows = materialize(_windows(contexts.join(mixed, "anchor", "left_semi"), documents, span, size))
+    open_ = materialize(contexts.join(mixed, "anchor", "left_semi"), n="count(1)")
+    windows = materialize(_windows(open_, counted(open_)["n"], documents, span, size))
     shared = windows.groupBy("anchor", "window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("anchor", "window")
+    shared = materialize(shared, n="count(1)")
     in_context = W.partitionBy("anchor", "context").orderBy("offset")
-    hits = maybe_in(windows.where("not whole"), "window", shared, "window").join(shared, ["anchor", "window"], "left_semi").select("anchor", "context", "offset")
+    hits = maybe_in(windows.where("not whole"), "window", shared, "window", counted(shared)["n"]).join(shared, ["anchor", "window"], "left_semi").select("anchor", "context", "offset")
     runs = hits.withColumn("run", F.col("offset") - F.row_number().over(in_context)).groupBy("anchor", "context", "run").agg(F.min("offset").alias("from"), F.max("offset").alias("to")).drop("run")
     runs = runs.unionByName(contexts.where("whole").select("anchor", "context", F.lit(0).alias("from"), (F.col("n") - 1).alias("to")))
     found = two.join(runs, ["anchor", "context"]).select("doc_id", (F.col("first") + F.col("from")).alias("start_char"), (F.col("first") + F.col("to") + span).alias("end_char"))
     return merge_spans(found)
 
 
+def longest_spans(documents: DataFrame, spans: DataFrame, span: int = SPAN, size: int = SLICE) -> DataFrame:
+    """doc_id, start_char, length: for each shared window, the longest of span, 2 span, 4 span... that is shared from there.
+
+    spans: shared_spans() of the same documents. Doubling goes on from level `span`: windows that stand in one document
+    alone are dropped, those repeated are extended to twice the length, until no candidates survive. Only the shared
+    spans are read, and no window is tried that leaves its span, as such a one can't be shared.
+    """
+    held = spans.groupBy(F.col("doc_id").alias("s_doc")).agg(F.sort_array(F.collect_list(F.struct("start_char", "end_char"))).alias("at"))  # bounded by the text itself
+    held = materialize(held, n="count(1)")
+    texts = maybe_in(documents.select("doc_id", "text").where("text is not null"), "doc_id", held, "s_doc", counted(held)["n"]).join(held, F.col("doc_id") == F.col("s_doc")).select("doc_id", "text", "at")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, at in zip(batch.column("doc_id"), batch.column("text").to_pylist(), batch.column("at").to_pylist()):
+                for a in at:
+                    win = Windows(np.frombuffer(text[a["start_char"] : a["end_char"]].encode("utf-32-le", "surrogatepass"), dtype="<u4"))
+                    levels = [span]
+                    while 2 * levels[-1] <= win.size:
+                        levels.append(2 * levels[-1])
+                    made = [win.of(x).view(np.int64) for x in levels]
+                    for base in range(0, len(made[0]), size):
+                        parts = [m[base : base + size] for m in made]
+                        table, there = np.zeros((len(parts[0]), len(parts)), dtype=np.int64), np.zeros((len(parts[0]), len(parts)), dtype=bool)
+                        for k, m in enumerate(parts):
+                            table[: len(m), k], there[: len(m), k] = m, True
+                        ends = np.concatenate([[0], np.cumsum(there.sum(axis=1))]).astype(np.int32)
+                        doc_ids = pa.array([doc.as_py()], batch.schema.field("doc_id").type).take(pa.array(np.zeros(len(table), dtype=np.int64)))
+                        yield pa.RecordBatch.from_arrays([doc_ids, pa.array(np.arange(len(table)) + base + a["start_char"]), pa.ListArray.from_arrays(pa.array(ends), pa.array(table[there]))], names=["doc_id", "start_char", "hashes"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    state, length, out = materialize(texts.mapInArrow(scan, f"doc_id {kind}, start_char bigint, hashes array<bigint>")), span, None
+    while True:
+        level = state.where(F.size("hashes") > 0).select("doc_id", "start_char", "hashes", F.col("hashes")[0].alias("key"))
+        kept = level.join(_repeated(level, ["key"]), "key", "left_semi").select("doc_id", "start_char", F.slice("hashes", 2, F.size("hashes")).alias("hashes"), F.lit(length).cast("bigint").alias("length"))
+        state = materialize(kept, n="count(1)")
+        out = state.drop("hashes") if out is None else out.unionByName(state.drop("hashes"))
+        if not counted(state)["n"]:
+            return out.groupBy("doc_id", "start_char").agg(F.max("length").alias("length"))
+        length *= 2
+
+
 def merge_spans(found: DataFrame) -> DataFrame:
     """Overlapping and touching spans of each document as one row; a document's spans are bounded by its own text."""
     by_doc = W.partitionBy("doc_id").orderBy("start_char", "end_char")

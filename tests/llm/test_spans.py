@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import Row
 
-from ledgerline.llm.spans import merge_spans, shared_report, shared_spans
+from ledgerline.llm.spans import longest_spans, merge_spans, shared_report, shared_spans
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,6 +80,22 @@ def test_whole_table_and_extra_columns(spark):
     assert report and all(0 < x <= 1 for x in report.values())
 
 
+@pytest.mark.parametrize("seed,alphabet", [(1, "abcdefgh "), (4, "ab")])
+def test_doubling_until_nothing_is_left(spark, seed, alphabet):
+    """Every reported window is shared, and the one of twice its length is not."""
+    docs = copied(seed, 25, alphabet, 40)
+    docs += [(100, docs[0][1] + docs[1][1] + docs[2][1] * 2), (101, None), (102, docs[0][1] + docs[1][1] + "x")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    spans = shared_spans(df, 40)
+    rows, text = longest_spans(df, spans, 40).collect(), dict(docs)
+    shared = lambda d, piece: any(piece in (t or "") for o, t in docs if o != d)
+    for r in rows:
+        piece, twice = (text[r.doc_id][r.start_char : r.start_char + n] for n in (r.length, 2 * r.length))
+        assert len(piece) == r.length and shared(r.doc_id, piece) and not (len(twice) == 2 * r.length and shared(r.doc_id, twice))
+    assert {r.doc_id for r in rows} == {r.doc_id for r in spans.collect()} and max(r.length for r in rows) >= 160
+    assert longest_spans(df, spans.limit(0), 40).count() == 0
+
+
 def test_touching_spans_merge(spark):
     df = spark.createDataFrame([Row(doc_id=1, start_char=0, end_char=5), Row(doc_id=1, start_char=5, end_char=9), Row(doc_id=1, start_char=10, end_char=12), Row(doc_id=2, start_char=1, end_char=2), Row(doc_id=1, start_char=0, end_char=3)])
     assert sorted(map(tuple, merge_spans(df).select("doc_id", "start_char", "end_char").collect())) == [(1, 0, 9), (1, 10, 12), (2, 1, 2)]
