@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 import unicodedata
 from collections.abc import Iterator
-from urllib.parse import quote, unquote_to_bytes, urlsplit
+from urllib.parse import parse_qsl, quote, unquote_to_bytes, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from ledgerline.functions import patterns as P
 from ledgerline.functions.ids import as_col
+from ledgerline.functions.urls import IPV4
 
 #: File kinds by extension. Fixed values.
 TREE_KINDS = {
@@ -25,7 +27,7 @@ NAME_RULES = {
     "dns_label": (r"^[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?$", 1, 63, None),
     "account": (r"^[a-z0-9](?:[a-z0-9-]*[a-z0-9])?$", 1, 39, "--"),
     "group": (r"^[a-z0-9](?:[a-z0-9_.-]*[a-z0-9])?$", 2, 255, r"\.\."),
-    "bucket": (r"^[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?$", 3, 63, r"\.\.|\.-|-\.|^xn--|^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"),
+    "bucket": (r"^[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?$", 3, 63, r"\.\.|\.-|-\.|^xn--|^" + IPV4 + "$"),
     "object_store": (r"^[a-z0-9](?:[a-z0-9._-]*[a-z0-9])?$", 3, 63, r"\.\."),
 }
 #: Identifier grammars. Fixed values.
@@ -111,6 +113,21 @@ def public_address(addresses: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda x: x is not None and one(x)).astype(bool)
 
 
+_CREDENTIAL = re.compile(P.CREDENTIAL_KEY, re.I)
+_BAD_ESCAPE = re.compile("%(?![0-9A-Fa-f]{2})")
+
+
+def credential_name(name: str) -> bool:
+    """Whether a query parameter looks like a credential; its name is decoded up to three times more."""
+    for _ in range(3):
+        plain = unquote_to_bytes(name).decode("utf-8", "strict")
+        if plain == name:
+            break
+        name = plain
+    compact = re.sub("[^a-z0-9]", "", name.casefold())
+    return bool(_CREDENTIAL.search(name)) or compact in P.CREDENTIAL_NAMES or compact.endswith(tuple(P.CREDENTIAL_ENDINGS))
+
+
 @F.pandas_udf(T.StringType())
 def canonical_url(urls: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """https address with a decoded, checked and re-encoded path; null for anything unsafe or with credentials."""
@@ -122,7 +139,9 @@ def canonical_url(urls: Iterator[pd.Series]) -> Iterator[pd.Series]:
             parts = urlsplit(raw)
             port = parts.port or 443
             host = (parts.hostname or "").rstrip(".").encode("idna").decode("ascii").lower()
-            if parts.scheme.lower() != "https" or parts.fragment or parts.username is not None or not host:
+            if parts.scheme.lower() != "https" or parts.fragment or parts.username is not None or not host or _BAD_ESCAPE.search(parts.query):
+                return None
+            if any(credential_name(k) for k, _ in parse_qsl(parts.query, keep_blank_values=True)):
                 return None
             path = parts.path or "/"
             for _ in range(4):

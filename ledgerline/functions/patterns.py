@@ -29,11 +29,25 @@ PLACEHOLDER = r"\s*(?:|[-—_]+|n/?a|null|undefined|example|sample|placeholder|d
 CALCULATION = r"^\s*(?:=|(?:calc\s*\())|\b(?:Math\.|function\s*\(|=>)\b"
 SERVER_CALL = r"\b(?:fetch|XMLHttpRequest|sendBeacon|WebSocket|axios|submit)\s*(?:\(|\.)"
 LOGIN_ENDPOINT = r"(?:^|/)(?:login|log-in|signin|sign-in|authenticate|auth|session|token)(?:[/?#]|$)"
-CREDENTIAL_KEY = r"(?:^|[_.-])(?:access[_-]?token|auth|authorization|bearer|capability|credential|jwt|key|pass(?:word)?|secret|session|share|sig(?:nature)?|signed|ticket|token)(?:$|[_.-])"
+CREDENTIAL_KEY = r"(?:^|[_\-.])(?:access[_-]?token|auth|authorization|bearer|capability|credential|jwt|key|pass(?:word)?|secret|session|share|sig(?:nature)?|signed|ticket|token)(?:$|[_\-.])"
+#: Names of query parameters, of small letters and digits only, that are credentials, and endings of such names.
+CREDENTIAL_NAMES = [
+    "accesskey", "accesstoken", "apikey", "assertion", "auth", "authorization", "awsaccesskeyid", "bearer", "capability", "code", "credential", "expires", "googleaccessid",
+    "idtoken", "jwt", "key", "keypairid", "password", "policy", "refreshtoken", "samlresponse", "secret", "securitytoken", "session", "sharetoken", "sig", "signature", "signedurl",
+    "state", "ticket", "token", "xamzcredential", "xamzsecuritytoken", "xamzsignature", "xgoogcredential", "xgoogsignature",
+]
+CREDENTIAL_ENDINGS = ["credential", "password", "secret", "signature", "token"]
 DOM_SINK = r"\b(?:innerHTML|textContent|appendChild|replaceChildren|insertAdjacentHTML|setAttribute|style\.display|classList\.(?:add|remove|toggle))\b"
 DOM_DECLARATION = r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]{0,100})\s*=\s*[\[{]"
 DOM_EVENT = r"\b(?:addEventListener|on(?:click|change|input|submit)\s*=)\b"
 DOM_RENDER = r"\b(?:render|filter|calculate|compute|update|display|show)[A-Za-z0-9_$]*\s*\("
+CONDITION_HEADING = r"(?:조건|기준|지급|정산|달성|성과|구간|매출|계약|condition|payment|threshold|sales)"
+COMMISSION_HEADING = r"(?:수수료|커미션|commission|incentive)"
+AMOUNT_HEADING = r"(?:비율|금액|요율|지급액|rate|amount|%|원)"
+PERSON_FIELDS = ["customer_name", "customername", "client_name", "고객명", "employee_name"]
+CONTACT_FIELDS = ["email", "phone", "mobile", "telephone", "contact", "이메일", "전화번호"]
+LIST_FIELDS = ["customers", "clients", "employees", "고객명단", "고객목록"]
+BUSINESS_CATEGORIES = ["pricing", "margin", "customer_contact", "contract_vehicle_record", "commission_settlement", "partner"]
 AMOUNT = r"(?:\d+(?:\.\d+)?\s*%|(?:₩|\$)?\s*\d[\d,]*(?:\.\d+)?\s*(?:원|만원|달러|USD|KRW))"
 SENSITIVE_KEY = r"password|passwd|secret|token|api.?key|authorization|cookie|email|phone|mobile|resident|business.?number|vehicle.?plate|customer.?name|employee.?name|address|account.?number|raw.?body|html|screenshot"
 

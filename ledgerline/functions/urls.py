@@ -55,18 +55,42 @@ def exact_url(locator: str | Column) -> Column:
     return F.concat(origin(u), part(u, "path"), rest("query", "?"), rest("fragment", "#"))
 
 
+#: Address ranges that are not public: first address and bits of the network. Fixed values.
+PRIVATE = [("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("240.0.0.0", 4)]
+OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+IPV4 = rf"{OCTET}(?:\.{OCTET}){{3}}"
+
+
+def private_address(host: str | Column) -> Column:
+    """Whether a host is a literal IPv4 address that is not public; false for names."""
+    h = as_col(host)
+    parts = F.transform(F.split(h, r"\."), lambda x: x.try_cast("bigint"))
+    number = F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, x: a * 256 + x)
+    base = lambda a: sum(int(x) << 8 * (3 - i) for i, x in enumerate(a.split(".")))
+    inside = [number.between(base(a), base(a) + (1 << 32 - bits) - 1) for a, bits in PRIVATE]
+    return F.when(h.rlike(f"^{IPV4}$"), F.exists(F.array(*inside), lambda x: x)).otherwise(False)
+
+
 def clean_homepage(url: str | Column) -> Column:
-    """https origin of a home page without port, credentials, query or fragment; local hosts are none."""
+    """https origin of a home page without port, credentials, query or fragment; local hosts and addresses that aren't public are none."""
     u = as_col(url)
     host = part(u, "host")
     sound = (part(u, "scheme") == "https") & (host != "") & part(u, "port").isin("", "443") & (part(u, "user") == "") & (part(u, "query") == "") & (part(u, "fragment") == "")
-    return F.when(sound & (F.length(u) <= 2048) & (host != "localhost") & ~host.endswith(".local"), F.concat(F.lit("https://"), host))
+    return F.when(sound & (F.length(u) <= 2048) & (host != "localhost") & ~host.endswith(".local") & ~private_address(host), F.concat(F.lit("https://"), host))
 
 
 def credential_keys(url: str | Column) -> Column:
-    """Names of query parameters that look like credentials."""
+    """Names of query parameters that look like credentials, as they stand; they are decoded up to four times to tell."""
     names = F.transform(F.split(part(url, "query"), "&"), lambda p: F.substring_index(p, "=", 1))
-    return F.filter(names, lambda n: n.rlike("(?i)" + P.CREDENTIAL_KEY))
+    return F.filter(names, credential_key)
+
+
+def credential_key(name: Column) -> Column:
+    plain = F.coalesce(F.try_url_decode(name), name)
+    for _ in range(3):  # only the first decoding takes a plus for a blank
+        plain = F.coalesce(F.try_url_decode(F.replace(plain, F.lit("+"), F.lit("%2B"))), plain)
+    compact = F.regexp_replace(F.lower(plain), "[^a-z0-9]", "")
+    return plain.rlike("(?i)" + P.CREDENTIAL_KEY) | compact.isin(P.CREDENTIAL_NAMES) | compact.rlike(f"(?:{'|'.join(P.CREDENTIAL_ENDINGS)})$")
 
 
 def environment_hint(url: str | Column) -> Column:

@@ -18,19 +18,24 @@ def closure_evidence(findings: DataFrame, assets: DataFrame, observations: DataF
     Required are the asset and each alias. Only observations strictly later than the remediation and the last change of
     binding count; of those the latest of each key, all of them if they tie. A key is proven if its tied observations
     agree in access and content and each shows no access, no sensitive content, a complete capture under the expected
-    policy with a healthy control, no reason code, and three different evidence references. Nothing missing counts as
-    proven. Findings without a remediation or a known asset have no rows.
+    policy with a healthy control, no reason code, different references for policy, control and capture, and is bound to
+    what it stands for: the asset's target, or the target its alias is bound to, and the asset's policy. Nothing missing
+    counts as proven. Findings without a remediation or a known asset have no rows.
     """
-    a = assets.select(norm_id("asset_id").alias("a_id"), F.array_distinct(F.concat(F.array(F.lit(WHOLE)), F.coalesce("required_aliases", F.array().cast("array<string>")))).alias("keys"), "binding_changed_at").distinct()
-    a = a.groupBy("a_id").agg(F.max(F.struct(F.coalesce("binding_changed_at", F.timestamp_seconds(F.lit(0))).alias("changed"), "keys")).alias("x")).select("a_id", "x.*")
+    a = assets.select(norm_id("asset_id").alias("a_id"), F.array_distinct(F.concat(F.array(F.lit(WHOLE)), F.coalesce("required_aliases", F.array().cast("array<string>")))).alias("keys"), "binding_changed_at", F.array_sort(F.map_entries(F.coalesce("alias_bindings", F.create_map().cast("map<string,string>")))).alias("bindings"), F.struct("target_id", "policy_id").alias("own")).distinct()
+    a = a.groupBy("a_id").agg(F.max(F.struct(F.coalesce("binding_changed_at", F.timestamp_seconds(F.lit(0))).alias("changed"), "keys", "bindings", "own")).alias("x")).select("a_id", "x.*")
     f = findings.where("remediation_at is not null").select(norm_id("finding_id").alias("finding_id"), norm_id("asset_id").alias("f_asset"), "remediation_at").distinct()
     f = f.groupBy("finding_id", "f_asset").agg(F.max("remediation_at").alias("remediation_at"))
-    need = f.join(a, F.col("f_asset") == F.col("a_id")).select("finding_id", "a_id", F.greatest("remediation_at", "changed").alias("floor"), F.explode("keys").alias("need_key"))
-    o = observations.select(norm_id("asset_id").alias("o_asset"), F.coalesce("alias_id", F.lit(WHOLE)).alias("o_key"), "observed_at", "access", "content", "capture_complete", "expected_policy", "control_healthy", "reason_code", "evidence_ref", "policy_evidence_ref", "control_evidence_ref").where("o_asset is not null")
-    seen = need.join(o, (F.col("a_id") == F.col("o_asset")) & (F.col("need_key") == F.col("o_key")) & (F.col("observed_at") > F.col("floor"))).select("finding_id", F.col("need_key").alias("key"), *o.columns[2:]).distinct()
+    need = f.join(a, F.col("f_asset") == F.col("a_id")).select("finding_id", "a_id", F.greatest("remediation_at", "changed").alias("floor"), F.explode("keys").alias("need_key"), "bindings", "own")
+    bound = F.when(F.col("need_key") == WHOLE, F.col("own.target_id")).otherwise(F.try_element_at(F.map_from_entries("bindings"), F.col("need_key")))
+    need = need.select("finding_id", "a_id", "floor", "need_key", bound.alias("want_target"), F.col("own.policy_id").alias("want_policy"))
+    o = observations.select(norm_id("asset_id").alias("o_asset"), F.coalesce("alias_id", F.lit(WHOLE)).alias("o_key"), "observed_at", "access", "content", "capture_complete", "expected_policy", "control_healthy", "reason_code", "evidence_ref", "policy_evidence_ref", "control_evidence_ref", "target_id", "policy_id").where("o_asset is not null")
+    seen = need.join(o, (F.col("a_id") == F.col("o_asset")) & (F.col("need_key") == F.col("o_key")) & (F.col("observed_at") > F.col("floor"))).select("finding_id", F.col("need_key").alias("key"), "want_target", "want_policy", *o.columns[2:]).distinct()
     last = latest_with_ties(seen, ["finding_id", "key"], "observed_at")
-    three = (F.col("evidence_ref") != F.col("policy_evidence_ref")) & (F.col("evidence_ref") != F.col("control_evidence_ref")) & (F.col("policy_evidence_ref") != F.col("control_evidence_ref"))
-    good = F.col("access").isin(ACCESS) & F.col("content").isin(CONTENT) & F.col("capture_complete") & F.col("expected_policy") & F.col("control_healthy") & F.col("reason_code").isNull() & three
+    policy, control = F.col("policy_evidence_ref"), F.col("control_evidence_ref")
+    three = (policy != "") & (control != "") & (policy != control) & ~policy.eqNullSafe(F.col("evidence_ref")) & ~control.eqNullSafe(F.col("evidence_ref"))
+    bound = F.col("target_id").eqNullSafe(F.col("want_target")) & F.col("policy_id").eqNullSafe(F.col("want_policy"))
+    good = F.col("access").isin(ACCESS) & F.col("content").isin(CONTENT) & F.col("capture_complete") & F.col("expected_policy") & F.col("control_healthy") & (F.coalesce("reason_code", F.lit("")) == "") & three & bound
     keys = last.groupBy("finding_id", "key").agg((F.count_distinct("access", "content") > 1).alias("conflict"), F.bool_and(F.coalesce(good, F.lit(False))).alias("good"))
     per = keys.groupBy("finding_id").agg(F.count("*").alias("observed"), F.count_if("conflict").alias("conflicting"), F.count_if(F.col("good") & ~F.col("conflict")).alias("proven_keys"))
     total = need.groupBy("finding_id").agg(F.count("*").alias("required"))

@@ -38,7 +38,7 @@ def first_category(key: str | Column) -> Column:
 def static_categories(captures: DataFrame) -> DataFrame:
     """Categories of the fields in scripts' data literals: id, category, candidates, filled, templates, calculations."""
     data = js_literals(captures).where("reason is null").select("id", F.col("value_json").alias("body"))
-    fields = json_nodes(data, 10_000).select("id", first_category("key").alias("category"), F.when(F.col("kind").isin("object", "list", "null"), "field_name_only").otherwise(value_state("value")).alias("state")).where("category is not null")
+    fields = json_nodes(data).select("id", first_category("key").alias("category"), F.when(F.col("kind").isin("object", "list", "null"), "field_name_only").otherwise(value_state("value")).alias("state")).where("category is not null")
     count = lambda s: F.count_if(F.col("state") == s)
     return fields.groupBy("id", "category").agg(F.count("*").alias("candidates"), count("value").alias("filled"), count("template").alias("templates"), count("calculation").alias("calculations"))
 
@@ -143,9 +143,17 @@ def dom_proximity(captures: DataFrame, reach: int = 512) -> DataFrame:
     sink, declared = re.compile(P.DOM_SINK), re.compile(P.DOM_DECLARATION)
 
     def one(id_, body):
-        spots = [m.start() for m in sink.finditer(body)][:4096]
+        spots = [m.start() for m in sink.finditer(body)]
+        near: list[list[int]] = []  # stretches around the writes; those that overlap are one
+        for at in spots:
+            lo, hi = max(0, at - reach), at + reach
+            if near and lo <= near[-1][1]:
+                near[-1][1] = hi
+            else:
+                near.append([lo, hi])
         names = {m.group(1) for m in declared.finditer(body)}
-        yield id_, sum(any(re.search(rf"\b{re.escape(n)}\b", body[max(0, s - reach) : s + reach]) for s in spots) for n in names)
+        seen = {w for lo, hi in near for w in re.findall(r"[A-Za-z_$][\w$]*", body[lo:hi])} if names else set()
+        yield id_, len(names & seen)
 
     return _table(captures.where("body is not null"), ["id", "body"], "id bigint, links bigint", one)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
@@ -12,11 +13,34 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.functions import patterns as P
+from ledgerline.operators.nested import Number, parse
 
 VOID = frozenset("input img meta link br hr source area".split())  # Fixed values: tags that hold nothing
-MAX_LINKS, MAX_INPUTS, MAX_NODES, MAX_DEPTH, MAX_TABLES, MAX_ROWS = 64, 128, 2048, 128, 32, 256
 
-REGIONS = "id bigint, visible string, hidden string, inputs string, scripts array<string>, json_scripts array<string>, hidden_elements bigint, password_inputs bigint, script_elements bigint, links array<struct<kind:string,url:string>>, tables array<array<array<string>>>"
+
+@dataclass(frozen=True)
+class Limits:
+    """Bounds of the parsers; null means none. What a bound cuts off is told by a flag beside the result."""
+
+    nodes: int | None = None  # containers of a JSON value
+    depth: int | None = None  # nesting of a JSON value or script literal
+    values: int | None = None  # values of a script literal
+    literals: int | None = None  # literals of a script
+    inputs: int | None = None  # input values of a page
+    tables: int | None = None  # tables of a page
+    rows: int | None = None  # rows of a table
+    links: int | None = None  # links of a page
+
+
+EXACT = Limits()  #: everything, whatever its size; the default everywhere
+BOUNDED = Limits(2048, 128, 10_000, 64, 128, 32, 256, 64)  #: the bounds of an interactive review. Fixed values
+
+
+def _within(n: int, most: int | None) -> bool:
+    return most is None or n < most
+
+
+REGIONS = "id bigint, visible string, hidden string, inputs string, scripts array<string>, json_scripts array<string>, hidden_elements bigint, password_inputs bigint, script_elements bigint, links array<struct<kind:string,url:string>>, tables array<array<array<string>>>, truncated boolean"
 
 
 class Regions(HTMLParser):
@@ -24,8 +48,9 @@ class Regions(HTMLParser):
 
     _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-    def __init__(self):
+    def __init__(self, limits: Limits = EXACT):
         super().__init__(convert_charrefs=True)
+        self.limits, self.cut = limits, False
         self.text: dict[bool, list[str]] = {False: [], True: []}
         self.inputs, self.links, self.tables = [], [], []
         self.scripts: dict[bool, list[str]] = {False: [], True: []}
@@ -33,7 +58,13 @@ class Regions(HTMLParser):
         self.open: list[tuple[str, bool]] = []
         self.script: list[str] | None = None
         self.script_is_data = False
-        self.rows, self.cell = None, None
+        self.rows, self.row, self.cell = None, None, None
+
+    def keep(self, held: list, one, most: int | None) -> None:
+        if _within(len(held), most):
+            held.append(one)
+        else:
+            self.cut = True
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
@@ -43,15 +74,16 @@ class Regions(HTMLParser):
             self.open.append((tag, hiding))
         if tag == "input":
             self.counts["password"] += a.get("type", "").lower() == "password"
-            if "value" in a and len(self.inputs) < MAX_INPUTS:
-                self.inputs.append(a["value"])
+            if "value" in a:
+                self.keep(self.inputs, a["value"], self.limits.inputs)
         elif tag == "script":
             self.counts["script"] += 1
             self.script, self.script_is_data = [], a.get("type", "").lower() in ("application/json", "application/ld+json")
-        elif tag == "table" and len(self.tables) < MAX_TABLES:
+        elif tag == "table":
             self.rows = []
-        elif tag == "tr" and self.rows is not None and len(self.rows) < MAX_ROWS:
-            self.rows.append([])
+        elif tag == "tr" and self.rows is not None:
+            self.row = []
+            self.keep(self.rows, self.row, self.limits.rows)
         elif tag in ("td", "th") and self.rows:
             self.cell = []
         target = a.get({"script": "src", "iframe": "src", "a": "href", "link": "href"}.get(tag, ""), "")
@@ -63,10 +95,10 @@ class Regions(HTMLParser):
             self.scripts[self.script_is_data].append("".join(self.script))
             self.script = None
         elif tag in ("td", "th") and self.cell is not None:
-            self.rows[-1].append(" ".join("".join(self.cell).split()))
+            self.row.append(" ".join("".join(self.cell).split()))
             self.cell = None
         elif tag == "table" and self.rows is not None:
-            self.tables.append([r for r in self.rows if r])
+            self.keep(self.tables, [r for r in self.rows if r], self.limits.tables)
             self.rows = None
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
@@ -82,8 +114,8 @@ class Regions(HTMLParser):
             self.cell.append(data)
 
 
-def _table(rows: DataFrame, columns: list[str], schema: str, one: Callable[..., Iterator[tuple]]) -> DataFrame:
-    names = [c.split(" ")[0] for c in re.split(r", (?![^<]*>)", schema)]
+def _table(rows: DataFrame, columns: list[str], schema: str, one: Callable[..., Iterator[tuple]], names: list[str] | None = None) -> DataFrame:
+    names = names or [c.split(" ")[0] for c in re.split(r", (?![^<]*>)", schema)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -98,31 +130,42 @@ def _table(rows: DataFrame, columns: list[str], schema: str, one: Callable[...,
     return rows.select(*columns).mapInPandas(run, schema)
 
 
-def html_regions(captures: DataFrame) -> DataFrame:
-    """One row per html capture (id, body): visible, hidden, input and script text, counters, links and tables."""
+def html_regions(captures: DataFrame, limits: Limits = EXACT) -> DataFrame:
+    """One row per html capture (id, body): visible, hidden, input and script text, counters, links and tables.
+
+    truncated tells whether a bound of `limits` cut something off.
+    """
 
     def one(id_, body):
-        page = Regions()
+        page = Regions(limits)
         page.feed(body)
         page.close()
-        yield (id_, " ".join(page.text[False]), " ".join(page.text[True]), " ".join(page.inputs), page.scripts[False], page.scripts[True], page.counts["hidden"], page.counts["password"], page.counts["script"], [{"kind": k, "url": u} for k, u in page.links], page.tables)
+        yield (id_, " ".join(page.text[False]), " ".join(page.text[True]), " ".join(page.inputs), page.scripts[False], page.scripts[True], page.counts["hidden"], page.counts["password"], page.counts["script"], [{"kind": k, "url": u} for k, u in page.links], page.tables, page.cut)
 
     return _table(captures.where("body is not null"), ["id", "body"], REGIONS, one)
 
 
-def resolved_links(regions: DataFrame, base_url: str) -> DataFrame:
-    """Web links of each page in absolute form, each (kind, url) once, at most 64."""
+def resolved_links(regions: DataFrame, base_url: str, limits: Limits = EXACT) -> DataFrame:
+    """Web links of each page in absolute form, each (kind, url) once.
+
+    A link that is no address gives a row of kind `invalid_link` without url, one for each page; a cut by limits.links
+    gives one of kind `link_limit`.
+    """
 
     def one(id_, links):
-        seen = []
+        seen, invalid = [], False
         for link in links:
             try:
                 full = urljoin(base_url, link["url"])
                 if urlsplit(full).scheme in ("http", "https") and (link["kind"], full) not in seen:
                     seen.append((link["kind"], full))
             except ValueError:
-                continue
-        for kind, url in seen[:MAX_LINKS]:
+                invalid = True
+        if invalid:
+            yield id_, "invalid_link", None
+        if not _within(len(seen) - 1, limits.links):
+            yield id_, "link_limit", None
+        for kind, url in seen[: limits.links]:
             yield id_, kind, url
 
     return _table(regions, ["id", "links"], "id bigint, kind string, url string", one)
@@ -131,30 +174,30 @@ def resolved_links(regions: DataFrame, base_url: str) -> DataFrame:
 NODES = "id bigint, node bigint, key string, kind string, filled boolean, example boolean, value string, truncated boolean"
 
 
-def json_nodes(captures: DataFrame, limit: int = MAX_NODES) -> DataFrame:
+def json_nodes(captures: DataFrame, limits: Limits = EXACT) -> DataFrame:
     """Fields of each JSON body: node number of the object that holds it, key, kind, whether it is filled.
 
-    Zero and false are filled; null, empty text and empty containers are not. Bodies deeper than 128 or with more than
-    `limit` containers are marked truncated on all their rows; bodies that are no JSON give no rows.
+    Zero and false are filled; null, empty text and empty containers are not. Bodies that are deeper or have more
+    containers than `limits` allow are marked truncated on all their rows; bodies that are no JSON give no rows.
     """
     example = re.compile(P.EXAMPLE, re.I)
 
     def one(id_, body):
         try:
-            root = json.loads(body)
-        except (ValueError, RecursionError):
+            root = parse(body)
+        except ValueError:
             return
         todo, out, number, cut = [(root, 0)], [], 0, False
         while todo:
             value, depth = todo.pop()
             number += 1
-            if number > limit or depth > MAX_DEPTH:
+            if not _within(number - 1, limits.nodes) or limits.depth is not None and depth > limits.depth:
                 cut = True
                 break
             for key, child in value.items() if isinstance(value, dict) else ((None, c) for c in value) if isinstance(value, list) else ():
                 kind = {dict: "object", list: "list", str: "text", bool: "bool", int: "number", float: "number"}.get(type(child), "null")
                 if key is not None:
-                    out.append((key, kind, child is not None and child != "" and child != [] and child != {}, isinstance(child, str) and bool(example.fullmatch(child)), child if isinstance(child, str) else None if kind in ("object", "list", "null") else json.dumps(child), number))
+                    out.append((key, kind, child is not None and child != "" and child != [] and child != {}, isinstance(child, str) and bool(example.fullmatch(child)), child if isinstance(child, str) else None if kind in ("object", "list", "null") else str(child) if isinstance(child, Number) else json.dumps(child), number))
                 if isinstance(child, (dict, list)):
                     todo.append((child, depth + 1))
         for key, kind, filled, is_example, text, node in out:
@@ -180,8 +223,8 @@ class Literal:
     _BLANK = re.compile(r"(?:\s|//[^\n]*|/\*.*?\*/)*", re.S)
     _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "v": "\v", "0": "\0"}
 
-    def __init__(self, text: str, at: int):
-        self.text, self.at, self.left = text, at, 10_000
+    def __init__(self, text: str, at: int, limits: Limits = EXACT):
+        self.text, self.at, self.limits, self.seen = text, at, limits, 0
 
     def fail(self, reason: str):
         raise ValueError(reason)
@@ -197,8 +240,8 @@ class Literal:
         return False
 
     def value(self, depth: int = 0):
-        self.left -= 1
-        if depth > MAX_DEPTH or self.left < 0:
+        self.seen += 1
+        if self.limits.depth is not None and depth > self.limits.depth or not _within(self.seen - 1, self.limits.values):
             self.fail("js_limit")
         sign = self.peek()
         if sign == "{":
@@ -266,18 +309,24 @@ class Literal:
 _ASSIGNED = re.compile(r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?=[\[{])")
 
 
-def js_literals(captures: DataFrame, limit: int = 64) -> DataFrame:
-    """Data literals assigned in scripts: id, name, value_json or the reason why it is no plain data."""
+def js_literals(captures: DataFrame, limits: Limits = EXACT) -> DataFrame:
+    """Data literals assigned in scripts: id, name, value_json or the reason why it is no plain data.
+
+    A literal nested deeper than Python can follow (some hundreds of levels) has the reason `js_limit`, as those beyond
+    `limits` have.
+    """
 
     def one(id_, body):
         for n, m in enumerate(_ASSIGNED.finditer(body)):
-            if n >= limit:
+            if not _within(n, limits.literals):
                 yield id_, m.group(1), None, "js_literal_limit"
                 return
             try:
-                yield id_, m.group(1), json.dumps(Literal(body, m.end()).value(), ensure_ascii=False), None
+                yield id_, m.group(1), json.dumps(Literal(body, m.end(), limits).value(), ensure_ascii=False), None
             except ValueError as e:
                 yield id_, m.group(1), None, str(e) if str(e).startswith("js_") else "js_syntax"
+            except RecursionError:
+                yield id_, m.group(1), None, "js_limit"
 
     return _table(captures.where("body is not null"), ["id", "body"], "id bigint, name string, value_json string, reason string", one)
 

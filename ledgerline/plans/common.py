@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerline.functions import patterns as P
 from ledgerline.sources.shared import table
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings assets observations findings audit_jobs audit_runs audit_results ledger_events import_records eval_items".split()
@@ -33,12 +34,15 @@ VECTORS = """SELECT * FROM (VALUES
 CAPTURES = f"""SELECT doc_id AS id, text AS body, CASE WHEN doc_kind = 'page-capture' THEN 'text/html' ELSE 'text/plain' END AS content_type FROM documents UNION ALL {VECTORS}"""
 PLAIN = f"SELECT id, body, content_type FROM ({CAPTURES}) AS c WHERE content_type <> 'text/html' AND body IS NOT NULL"
 
+#: Whether the decoded parameter name k is a credential, in the comparing SQL.
+CREDENTIAL_SQL = f"(regexp_matches(k, '(?i){P.CREDENTIAL_KEY}') OR list_contains({P.CREDENTIAL_NAMES}, regexp_replace(lower(k), '[^a-z0-9]', '', 'g')) OR regexp_matches(regexp_replace(lower(k), '[^a-z0-9]', '', 'g'), '(?:{'|'.join(P.CREDENTIAL_ENDINGS)})$'))"
+
 URLS = """SELECT o_orderkey AS id, concat(
  CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN 'HTTPS://' WHEN 1 THEN 'http://' WHEN 2 THEN 'https://user:pw@' WHEN 3 THEN 'ftp://' WHEN 4 THEN '' ELSE 'https://' END,
- CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN 'App' WHEN 1 THEN 'dev.App' WHEN 2 THEN 'cdn-' ELSE 'www.' END, CAST(o_custkey AS STRING), CASE WHEN o_orderkey % 17 = 0 THEN '.local' ELSE '.Example.test' END,
+ CASE WHEN o_orderkey % 19 = 0 THEN '10.0.0.7' WHEN o_orderkey % 19 = 1 THEN '8.8.8.8' ELSE concat(CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN 'App' WHEN 1 THEN 'dev.App' WHEN 2 THEN 'cdn-' ELSE 'www.' END, CAST(o_custkey AS STRING), CASE WHEN o_orderkey % 17 = 0 THEN '.local' ELSE '.Example.test' END) END,
  CASE CAST(o_orderkey % 4 AS INT) WHEN 0 THEN ':443' WHEN 1 THEN ':8443' WHEN 2 THEN ':80' ELSE '' END,
  CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN '' WHEN 1 THEN '/' ELSE '/customers/alice' END,
- CASE CAST(o_orderkey % 11 AS INT) WHEN 0 THEN '?access_token=s&x=1' WHEN 1 THEN '?page=2' WHEN 2 THEN '?q=a&Session=1' ELSE '' END,
+ CASE CAST(o_orderkey % 11 AS INT) WHEN 0 THEN '?access_token=s&x=1' WHEN 1 THEN '?page=2' WHEN 2 THEN '?q=a&Session=1' WHEN 3 THEN '?apiKey=1' WHEN 4 THEN '?a=1&client%2Dtoken=2' WHEN 5 THEN '?mysecret=1&page=3' WHEN 6 THEN '?tokens=1' ELSE '' END,
  CASE WHEN o_orderkey % 13 = 0 THEN '#private' ELSE '' END) AS url FROM orders"""
 
 #: Field names and values as structured content holds them.

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ledgerline.functions import namespaces as N
 from ledgerline.operators import content as C, joins as J, parsers as R, signals as S
-from ledgerline.plans.common import CAPTURES, FIELDS, PLAIN, URLS, sql
+from ledgerline.plans.common import CAPTURES, CREDENTIAL_SQL, FIELDS, PLAIN, URLS, sql
 from ledgerline.plans.structures import _JS, _PAGES, _PATHS_JSON
 from ledgerline.sources.shared import table
 
@@ -23,7 +23,7 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
-@query("ref_P4_canonical_url", f"SELECT id, CASE WHEN regexp_matches(url, '^(?i:https)://') AND NOT contains(url, '#') AND NOT contains(url, '@') THEN 'https://' || lower(regexp_extract(url, '://([^/:?#]+)', 1)) || CASE WHEN regexp_extract(url, '://[^/:?#]+:([0-9]+)', 1) IN ('', '443') THEN '' ELSE ':' || regexp_extract(url, '://[^/:?#]+:([0-9]+)', 1) END || CASE WHEN regexp_extract(url, '://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '://[^/?#]+([^?#]*)', 1) END || CASE WHEN contains(url, '?') THEN '?' || regexp_extract(url, '\\?([^#]*)', 1) ELSE '' END END AS canonical FROM ({URLS})")
+@query("ref_P4_canonical_url", f"SELECT id, CASE WHEN regexp_matches(url, '^(?i:https)://') AND NOT contains(url, '#') AND NOT contains(url, '@') AND len(list_filter(list_transform(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: url_decode(split_part(x, '=', 1))), lambda k: {CREDENTIAL_SQL})) = 0 THEN 'https://' || lower(regexp_extract(url, '://([^/:?#]+)', 1)) || CASE WHEN regexp_extract(url, '://[^/:?#]+:([0-9]+)', 1) IN ('', '443') THEN '' ELSE ':' || regexp_extract(url, '://[^/:?#]+:([0-9]+)', 1) END || CASE WHEN regexp_extract(url, '://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '://[^/?#]+([^?#]*)', 1) END || CASE WHEN contains(url, '?') THEN '?' || regexp_extract(url, '\\?([^#]*)', 1) ELSE '' END END AS canonical FROM ({URLS})")
 def p4(s, d):
     return sql(s, d, URLS).select("id", N.canonical_url("url").alias("canonical"))
 
@@ -91,7 +91,7 @@ def f17(s, d):
 
 
 _F24 = {k: f"regexp_matches(n, '{p}') AND length(n) BETWEEN {a} AND {b}" + (f" AND NOT regexp_matches(n, '{x}')" if x else "") for k, (p, a, b, x) in N.NAME_RULES.items()}
-_NM = "SELECT p_partkey AS id, CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN concat('a--', CAST(p_size AS STRING)) WHEN 1 THEN concat('10.0.0.', CAST(p_size AS STRING)) WHEN 2 THEN concat('x..', CAST(p_size AS STRING)) WHEN 3 THEN concat('-', CAST(p_size AS STRING)) WHEN 4 THEN 'b' ELSE concat('team-', CAST(p_size AS STRING), '.lab') END AS n FROM part"
+_NM = "SELECT p_partkey AS id, CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN concat('a--', CAST(p_size AS STRING)) WHEN 1 THEN concat(CASE WHEN p_size % 2 = 0 THEN '10' ELSE '999' END, '.0.0.', CAST(p_size AS STRING)) WHEN 2 THEN concat('x..', CAST(p_size AS STRING)) WHEN 3 THEN concat('-', CAST(p_size AS STRING)) WHEN 4 THEN 'b' ELSE concat('team-', CAST(p_size AS STRING), '.lab') END AS n FROM part"
 
 
 @query("ref_F24_valid_names", "SELECT id, " + ", ".join(f"{c} AS {k}" for k, c in _F24.items()) + f" FROM ({_NM})")

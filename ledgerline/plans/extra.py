@@ -26,12 +26,12 @@ def query(name: str, oracle: str | None = None):
 
 @query(
     "ref_ST3_F30_closure_evidence",
-    f"""WITH a AS (SELECT {I('asset_id')} AS a_id, coalesce(max(binding_changed_at), TIMESTAMPTZ '1970-01-01 00:00:00+00') AS changed, list_distinct(list_prepend('__asset__', coalesce(any_value(required_aliases), []))) AS keys FROM assets GROUP BY 1),
+    f"""WITH a AS (SELECT {I('asset_id')} AS a_id, coalesce(max(binding_changed_at), TIMESTAMPTZ '1970-01-01 00:00:00+00') AS changed, list_distinct(list_prepend('__asset__', coalesce(any_value(required_aliases), []))) AS keys, any_value(alias_bindings) AS bindings, any_value(target_id) AS own_target, any_value(policy_id) AS own_policy FROM assets GROUP BY 1),
 f AS (SELECT {I('finding_id')} AS finding_id, {I('asset_id')} AS asset_id, max(remediation_at) AS remediation_at FROM findings WHERE remediation_at IS NOT NULL GROUP BY 1, 2),
-need AS (SELECT finding_id, a_id, greatest(remediation_at, changed) AS floor_at, unnest(keys) AS k FROM f JOIN a ON f.asset_id = a.a_id),
+need AS (SELECT finding_id, a_id, greatest(remediation_at, changed) AS floor_at, unnest(keys) AS k, bindings, own_target, own_policy FROM f JOIN a ON f.asset_id = a.a_id),
 o AS (SELECT {I('asset_id')} AS asset_id, coalesce(alias_id, '__asset__') AS k, * EXCLUDE (asset_id) FROM observations),
-last AS (SELECT * FROM (SELECT n.finding_id, n.k AS nk, o.*, rank() OVER (PARTITION BY n.finding_id, n.k ORDER BY observed_at DESC) AS r FROM need n JOIN o ON n.a_id = o.asset_id AND n.k = o.k AND o.observed_at > n.floor_at) WHERE r = 1),
-keys AS (SELECT finding_id, nk, count(DISTINCT access || '|' || content) > 1 AS conflict, bool_and(coalesce(access IN ('ACCESS_DENIED_OBSERVED', 'AUTH_REDIRECT_OBSERVED', 'NOT_FOUND_OBSERVED') AND content IN ('NOT_INSPECTED', 'PUBLIC_UI') AND capture_complete AND expected_policy AND control_healthy AND reason_code IS NULL AND evidence_ref <> policy_evidence_ref AND evidence_ref <> control_evidence_ref AND policy_evidence_ref <> control_evidence_ref, false)) AS good FROM last GROUP BY 1, 2)
+last AS (SELECT * FROM (SELECT n.finding_id, n.k AS nk, CASE WHEN n.k = '__asset__' THEN own_target ELSE map_extract(bindings, n.k)[1] END AS want_target, own_policy AS want_policy, o.*, rank() OVER (PARTITION BY n.finding_id, n.k ORDER BY observed_at DESC) AS r FROM need n JOIN o ON n.a_id = o.asset_id AND n.k = o.k AND o.observed_at > n.floor_at) WHERE r = 1),
+keys AS (SELECT finding_id, nk, count(DISTINCT access || '|' || content) > 1 AS conflict, bool_and(coalesce(access IN ('ACCESS_DENIED_OBSERVED', 'AUTH_REDIRECT_OBSERVED', 'NOT_FOUND_OBSERVED') AND content IN ('NOT_INSPECTED', 'PUBLIC_UI') AND capture_complete AND expected_policy AND control_healthy AND coalesce(reason_code, '') = '' AND policy_evidence_ref <> '' AND control_evidence_ref <> '' AND policy_evidence_ref IS DISTINCT FROM evidence_ref AND control_evidence_ref IS DISTINCT FROM evidence_ref AND policy_evidence_ref <> control_evidence_ref AND target_id IS NOT DISTINCT FROM want_target AND policy_id IS NOT DISTINCT FROM want_policy, false)) AS good FROM last GROUP BY 1, 2)
 SELECT n.finding_id, n.required, coalesce(observed, 0) AS observed, coalesce(conflicting, 0) AS conflicting, coalesce(p, 0) = n.required AS proven FROM (SELECT finding_id, count(*) AS required FROM need GROUP BY 1) n LEFT JOIN (SELECT finding_id, count(*) AS observed, count(*) FILTER (conflict) AS conflicting, count(*) FILTER (good AND NOT conflict) AS p FROM keys GROUP BY 1) k ON n.finding_id = k.finding_id""",
 )
 def st3(s, d):
@@ -219,3 +219,29 @@ b AS (SELECT name, p, replace(array_to_string(p, '|'), '|', sep) AS base FROM p,
 SELECT DISTINCT name, base || j || r AS candidate FROM b, (VALUES ('', ''), ('', 'sales'), ('-', 'sales'), ('_', 'sales'), ('', 'admin'), ('-', 'admin'), ('_', 'admin'), ('', 'dev'), ('-', 'dev'), ('_', 'dev')) v(j, r) WHERE NOT list_contains(p, r) AND length(base || j || r) BETWEEN 2 AND 39"""
 ORACLE["ref_N2_W11_candidates"] = f"""WITH st AS ({structures.ORACLE['ref_N1_stems']}), m AS (SELECT name, stem AS c, weight, 0 AS rnd, 0 AS j FROM st UNION ALL SELECT name, stem || joiner || word, weight, no + 1, jn FROM st, (VALUES ('sales', 0), ('partners', 1), ('dashboard', 2), ('dev', 3), ('admin', 4), ('team', 5), ('data', 6), ('api', 7)) w(word, no), (VALUES ('', 0), ('-', 1), ('_', 2)) q(joiner, jn) WHERE why <> 'initialism' AND NOT contains(stem, word) AND NOT contains(word, stem)),
 best AS (SELECT name, c, min((weight, rnd, j)) AS r FROM m WHERE length(c) BETWEEN 2 AND 39 GROUP BY 1, 2) SELECT name, candidate, position FROM (SELECT name, c AS candidate, row_number() OVER (PARTITION BY name ORDER BY r, length(c), c) AS position FROM best) WHERE position <= 220"""
+
+
+@query("ref_C1_C26_analysis")
+def analysis(s, d):
+    """The whole analysis of every document and vector; signals as their codes."""
+    from ledgerline.operators.analysis import analyze
+
+    found = analyze(sql(s, d, CAPTURES).withColumn("base_url", F.lit("https://app.example.test/")))
+    return found.select("id", F.transform("signals", lambda x: x["code"]).alias("codes"), "content", "analysis_complete", "pending_reviews", "hidden_elements", "password_inputs", "script_elements", "kind_hint", "linked_candidates", "reasons")
+
+
+_PLAIN_CODES = {
+    "PRIVATE_KEY_CANDIDATE": ("-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----", ""), "SERVER_SECRET_CANDIDATE": ("sb_secret_[A-Za-z0-9_-]{12,}", ""), "PUBLISHABLE_KEY_PRESENT": ("sb_publishable_", ""),
+    "UNTRUSTED_INSTRUCTION_TEXT": (P.UNTRUSTED, "i"), "CLIENT_ENCRYPTION_INDICATOR": (P.ENCRYPTION, "i"), "CONFIDENTIAL_MARKER_CANDIDATE": (P.CONFIDENTIAL, "i"), "CHALLENGE_PAGE_INDICATOR": (P.CHALLENGE, "i"), "SYNTHETIC_CANARY_PRESENT": ("SYNTHETIC_CANARY_", ""),
+}
+
+
+@query("ref_C3_C24_analysis_by_source", "SELECT source, code, count(*) AS n FROM (SELECT source, unnest([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}', '{o or 'c'}') THEN '{c}' END" for c, (p, o) in _PLAIN_CODES.items()) + "]) AS code FROM documents WHERE doc_kind <> 'page-capture') WHERE code IS NOT NULL GROUP BY 1, 2")
+def analysis_by_source(s, d):
+    """Signals of the real documents that are no pages, counted by source; values and structure are left to the tests."""
+    from ledgerline.operators.analysis import analyze
+
+    docs = table(s, d, "documents").where("doc_kind <> 'page-capture'")
+    found = analyze(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.lit("text/plain").alias("content_type")))
+    codes = found.select("id", F.explode(F.transform("signals", lambda x: x["code"])).alias("code")).where(F.col("code").isin(list(_PLAIN_CODES)))
+    return codes.join(docs.select(F.col("doc_id").alias("id"), "source"), "id").groupBy("source", "code").agg(F.count(F.lit(1)).alias("n"))

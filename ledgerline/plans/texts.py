@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import ids, patterns as P, text as X, urls as U
 from ledgerline.operators import signals as S
-from ledgerline.plans.common import CAPTURES, FIELDS, PLAIN, URLS, sql
+from ledgerline.plans.common import CREDENTIAL_SQL, CAPTURES, FIELDS, PLAIN, URLS, sql
 
 QUERIES, ORACLE = {}, {}
 
@@ -47,12 +47,12 @@ def exact_url(s, d):
     return urls(s, d).select("id", U.origin(U.with_scheme("url")).alias("public_origin"), U.exact_url("url").alias("exact"))
 
 
-@query("ref_P5_clean_homepage", _URL_ + "SELECT id, CASE WHEN scheme = 'https' AND host <> '' AND port IN ('', '443') AND usr = '' AND q = '' AND frag = '' AND host <> 'localhost' AND NOT ends_with(host, '.local') THEN 'https://' || host END AS homepage FROM a")
+@query("ref_P5_clean_homepage", _URL_ + "SELECT id, CASE WHEN scheme = 'https' AND host <> '' AND port IN ('', '443') AND usr = '' AND q = '' AND frag = '' AND host <> 'localhost' AND NOT ends_with(host, '.local') AND NOT regexp_matches(host, '^(?:0|10|127)(?:\\.[0-9]+){3}$|^192\\.168(?:\\.[0-9]+){2}$') THEN 'https://' || host END AS homepage FROM a")
 def homepage(s, d):
     return urls(s, d).select("id", U.clean_homepage("url").alias("homepage"))
 
 
-@query("ref_F22_credential_keys", _URL_ + f"SELECT id, array_to_string(list_filter(list_transform(string_split(q, '&'), lambda x: split_part(x, '=', 1)), lambda k: regexp_matches(k, '(?i){P.CREDENTIAL_KEY}')), ',') AS keys FROM a")
+@query("ref_F22_credential_keys", _URL_ + f"SELECT id, array_to_string(list_filter(list_transform(string_split(q, '&'), lambda x: split_part(x, '=', 1)), lambda x: {CREDENTIAL_SQL.replace('(k,', '(url_decode(x),').replace('lower(k)', 'lower(url_decode(x))')}), ',') AS keys FROM a")
 def credential_keys(s, d):
     return urls(s, d).select("id", F.array_join(U.credential_keys("url"), ",").alias("keys"))
 
@@ -128,12 +128,12 @@ _SC = "SELECT l_orderkey AS id, l_linenumber AS n, CAST(l_quantity AS DOUBLE) /
 _CL = lambda x, dflt: f"least(1.0, greatest(0.0, coalesce({x}, {dflt})))"
 
 
-@query("ref_P26_priority_score", f"SELECT id, n, CAST(floor(s * 10000) AS BIGINT) AS score FROM (SELECT id, n, {_CL('o', 0.1)} * {_CL('i', 0.5)} * {_CL('w', 0.5)} * {_CL('g', 0.5)} / (1 + {_CL('c1', 0.5)} + {_CL('c2', 0.5)} + {_CL('c3', 0.5)}) + 0.0000001 AS s FROM ({_SC}))")
+@query("ref_P26_priority_score", f"SELECT id, n, round(s, 6) AS score FROM (SELECT id, n, {_CL('o', 0.1)} * {_CL('i', 0.5)} * {_CL('w', 0.5)} * {_CL('g', 0.5)} / (1 + {_CL('c1', 0.5)} + {_CL('c2', 0.5)} + {_CL('c3', 0.5)}) AS s FROM ({_SC}))")
 def score(s, d):
     """Product of the clamped benefits over one plus the clamped costs; missing inputs have defaults."""
     clamp = lambda c, default: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col(c).cast("double"), F.lit(default))))
     value = clamp("o", 0.1) * clamp("i", 0.5) * clamp("w", 0.5) * clamp("g", 0.5) / (1 + clamp("c1", 0.5) + clamp("c2", 0.5) + clamp("c3", 0.5))
-    return sql(s, d, _SC).select("id", "n", F.floor((value + 0.0000001) * 10000).alias("score"))
+    return sql(s, d, _SC).select("id", "n", F.round(value, 6).alias("score"))
 
 
 # Value signals. RE2 has no look-around: the SQL takes the neighbours into the match; the vectors keep them apart.
