@@ -256,11 +256,6 @@ def j6(s, d):
     return rows.groupBy(F.when(F.col("ref").isNull(), "NO_REFERENCE").when(F.col("s_suppkey").isNull(), "NOT_FOUND_IN_SCOPE").otherwise("RESOLVED").alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("ref_J10_exactly_one", "SELECT o_custkey, count(*) = 1 AS exactly_one, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
-def j10(s, d):
-    return table(s, d, "orders").where("o_orderstatus = 'F'").groupBy("o_custkey").agg((F.count("*") == 1).alias("exactly_one"), F.min("o_orderkey").alias("o_orderkey"))
-
-
 @query("ref_J15_tree_parity", "SELECT coalesce(a.k, b.k) AS path, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT p_partkey AS k, md5(p_name) AS h FROM part WHERE p_partkey % 7 <> 0) a FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_size = 5 THEN 'x' ELSE md5(p_name) END AS h FROM part WHERE p_partkey % 11 <> 0) b ON a.k = b.k WHERE a.h IS DISTINCT FROM b.h")
 def j15(s, d):
     p = table(s, d, "part")
@@ -269,40 +264,6 @@ def j15(s, d):
     return J.snapshot_diff(a, b, ["path"], ["h"])
 
 
-@query("ref_J19_missing_channels", "SELECT v.channel FROM (VALUES ('signup'), ('view'), ('absent-1'), ('absent-2')) v(channel) WHERE v.channel NOT IN (SELECT event_type FROM events)")
-def j19(s, d):
-    need = s.createDataFrame([(c,) for c in ("signup", "view", "absent-1", "absent-2")], "channel string")
-    return need.join(table(s, d, "events").select("event_type").distinct(), F.col("channel") == F.col("event_type"), "left_anti")
-
-
-@query("ref_J21_latest_child", "SELECT o_custkey, o_orderstatus, max(struct_pack(a := o_orderdate, b := o_orderkey)).b AS o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' GROUP BY 1, 2")
-def j21(s, d):
-    rows = table(s, d, "orders").where(F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz")).select("o_custkey", "o_orderstatus", "o_orderdate", "o_orderkey")
-    return J.latest(rows, ["o_custkey", "o_orderstatus"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderstatus", "o_orderkey")
-
-
-@query("ref_J23_suffix_hosts", "SELECT DISTINCT 'w' || CAST(c_custkey AS STRING) || '.d' || CAST(c_nationkey AS STRING) || '.test' AS host FROM customer WHERE c_nationkey < 10 AND c_custkey % 3 <> 0")
-def j23(s, d):
-    """Hosts below a known domain that are not known themselves: the suffix is an equi key, known hosts an anti join."""
-    hosts = table(s, d, "customer").select(F.concat(F.lit("w"), F.col("c_custkey").cast("string"), F.lit(".d"), F.col("c_nationkey").cast("string"), F.lit(".test")).alias("host"), "c_custkey")
-    domains = s.range(10).select(F.concat(F.lit("d"), F.col("id").cast("string"), F.lit(".test")).alias("domain"))
-    known = hosts.where("c_custkey % 3 = 0").select("host")
-    below = hosts.select("host", F.regexp_extract("host", r"^[^.]+\.(.+)$", 1).alias("domain")).join(domains, "domain", "left_semi")
-    return below.join(known, "host", "left_anti").select("host").distinct()
-
-
-@query("ref_A21_coverage", "SELECT o_orderpriority, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_custkey END) AS completed, count(DISTINCT CASE WHEN o_orderstatus = 'O' THEN o_custkey END) AS pending, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1")
-def a21(s, d):
-    one = table(s, d, "orders").groupBy("o_orderpriority", "o_custkey").agg(F.bool_or(F.col("o_orderstatus") == "F").alias("f"), F.bool_or(F.col("o_orderstatus") == "O").alias("o"))
-    return one.groupBy("o_orderpriority").agg(F.count_if("f").alias("completed"), F.count_if("o").alias("pending"), F.count("*").alias("customers"))
-
-
-@query("ref_A25_health", "SELECT user_id, bool_and(value < 90) AS all_ok, array_to_string(list_sort(list_distinct(list(CASE WHEN value >= 90 THEN 'degraded' WHEN event_type = 'error' THEN 'dead' END))), ',') AS errors FROM (SELECT * FROM events WHERE value IS NOT NULL) GROUP BY 1")
-def a25(s, d):
-    code = F.when(F.col("value") >= 90, "degraded").when(F.col("event_type") == "error", "dead")
-    return table(s, d, "events").where("value is not null").groupBy("user_id").agg(F.bool_and(F.col("value") < 90).alias("all_ok"), F.array_join(F.array_sort(F.collect_set(code)), ",").alias("errors"))
-
-
 @query("ref_W16_strongest_k", "SELECT user_id FROM (SELECT user_id, row_number() OVER (ORDER BY p, first_at) AS r FROM (SELECT user_id, min(CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 ELSE 2 END) AS p, min(event_id) AS first_at FROM events GROUP BY 1)) WHERE r <= 25")
 def w16(s, d):
     """The 25 accounts with the strongest evidence, ties by first arrival: a top-k report."""
@@ -339,4 +300,3 @@ def fdt(s, d):
 def backoff(s, d):
     n = F.col("o_orderkey")
     return table(s, d, "orders").select(n.alias("id"), F.greatest(F.least(F.lit(900), (30 * F.pow(F.lit(2), F.least(n % 8, F.lit(5)))).cast("bigint")), n % 400).alias("seconds"))
-

@@ -59,14 +59,6 @@ def f19(s, d):
     return table(s, d, "documents").where("text is not null").groupBy("source").agg(*[F.count_if(X.has("text", p, True)).alias(k) for k, p in C.GATE_WORDS.items()])
 
 
-@query("ref_F23_authorised", f"SELECT id, host LIKE '%.example.test' AND scheme = 'https' AND NOT starts_with(host, 'dev.') AND (path = '/customers' OR starts_with(path, '/customers/')) AS authorised FROM (SELECT id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '://(?:[^/@]*@)?([^/:?#]+)', 1)) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM ({URLS}))")
-def f23(s, d):
-    """Scheme, host suffix and path prefix at a `/` boundary, minus what is excluded."""
-    host, path = U.part("url", "host"), U.part("url", "path")
-    inside = F.endswith(host, F.lit(".example.test")) & (U.part("url", "scheme") == "https") & ((path == "/customers") | F.startswith(path, F.lit("/customers/")))
-    return sql(s, d, URLS).select("id", (inside & ~F.startswith(host, F.lit("dev."))).alias("authorised"))
-
-
 _HOSTS = "SELECT c_custkey AS id, CASE CAST(c_custkey % 5 AS INT) WHEN 0 THEN 'nodot' WHEN 1 THEN concat('a', CAST(c_custkey AS STRING), '.test') WHEN 2 THEN '-bad.test' WHEN 3 THEN 'a..test' ELSE 'x_y.test' END AS host FROM customer"
 
 
@@ -95,10 +87,10 @@ def c28(s, d):
     return rows.groupBy("provider", F.when(F.col("o_id").isNull(), "NOT_INSPECTED").otherwise("OBSERVED").alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("ref_A19_signal_sums")
+@query("ref_A19_signal_sums", f"SELECT code, CAST(sum(occurrences_bigint) AS BIGINT) AS occurrences, count(*) AS n FROM ({problems.ORACLE['p1_signals']}) GROUP BY 1")
 def a19(s, d):
     """Occurrences by signal code over all nested reports, through the typed table of signals."""
-    return problems.p1_subtype(s, d, "signals").groupBy("code").agg(F.sum("occurrences").cast("bigint").alias("occurrences"), F.count("*").alias("n"))
+    return problems.p1_typed(s, d, "signals").groupBy("code").agg(F.sum("occurrences_bigint").cast("bigint").alias("occurrences"), F.count("*").alias("n"))
 
 
 @query("ref_A24_versions", "SELECT json_extract_string(report_json, '$.classifier_version') AS version, count(*) AS n FROM audit_results WHERE json_valid(report_json) GROUP BY 1")
@@ -187,14 +179,6 @@ def n6(s, d):
     return made.join(table(s, d, "customer").where("c_custkey % 2 = 0"), F.col("work_id") == F.col("c_custkey"), "left_anti")
 
 
-@query("ref_ST8_deferral", "SELECT e.event_id, greatest(epoch_us(e.ts), coalesce(c.due, 0)) AS eligible_us FROM events e LEFT JOIN (SELECT user_id % 20 AS o, max(epoch_us(ts)) AS due FROM events WHERE event_type = 'error' GROUP BY 1) c ON e.user_id % 20 = c.o WHERE e.event_type = 'view'")
-def st8(s, d):
-    """Times pushed forward to their origin's cooldown, never back; the cooldowns are aggregated before the join."""
-    e = table(s, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    due = e.where("event_type = 'error'").groupBy((F.col("user_id") % 20).alias("o")).agg(F.max("us").alias("due"))
-    return e.where("event_type = 'view'").join(due, F.col("user_id") % 20 == F.col("o"), "left").select("event_id", F.greatest("us", F.coalesce("due", F.lit(0))).alias("eligible_us"))
-
-
 @query("ref_ST13_once_per_digest", "SELECT sha256(props) AS digest, count(*) AS uses, CAST(json_extract(any_value(props), '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props) GROUP BY 1")
 def st13(s, d):
     """Costly work once per distinct content: values are made distinct by digest before they are parsed."""
@@ -232,16 +216,16 @@ def analysis(s, d):
 
 _PLAIN_CODES = {
     "PRIVATE_KEY_CANDIDATE": ("-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----", ""), "SERVER_SECRET_CANDIDATE": ("sb_secret_[A-Za-z0-9_-]{12,}", ""), "PUBLISHABLE_KEY_PRESENT": ("sb_publishable_", ""),
-    "UNTRUSTED_INSTRUCTION_TEXT": (P.UNTRUSTED, "i"), "CLIENT_ENCRYPTION_INDICATOR": (P.ENCRYPTION, "i"), "CONFIDENTIAL_MARKER_CANDIDATE": (P.CONFIDENTIAL, "i"), "CHALLENGE_PAGE_INDICATOR": (P.CHALLENGE, "i"), "SYNTHETIC_CANARY_PRESENT": ("SYNTHETIC_CANARY_", ""),
+    "UNTRUSTED_INSTRUCTION_TEXT": (P.UNTRUSTED, "i"), "CLIENT_ENCRYPTION_INDICATOR": (P.ENCRYPTION, "i"), "CHALLENGE_PAGE_INDICATOR": (P.CHALLENGE, "i"), "SYNTHETIC_CANARY_PRESENT": ("SYNTHETIC_CANARY_", ""),
 }
 
 
-@query("ref_C3_C24_analysis_by_source", "SELECT source, code, count(*) AS n FROM (SELECT source, unnest([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}', '{o or 'c'}') THEN '{c}' END" for c, (p, o) in _PLAIN_CODES.items()) + "]) AS code FROM documents WHERE doc_kind <> 'page-capture') WHERE code IS NOT NULL GROUP BY 1, 2")
-def analysis_by_source(s, d):
-    """Signals of the real documents that are no pages, counted by source; values and structure are left to the tests."""
+@query("ref_C3_C24_analysis_by_type", "SELECT content_type, code, count(*) AS n FROM (SELECT content_type, unnest([" + ", ".join(f"CASE WHEN regexp_matches(body, '{p}', '{o or 'c'}') THEN '{c}' END" for c, (p, o) in _PLAIN_CODES.items()) + f"]) AS code FROM ({CAPTURES})) WHERE code IS NOT NULL GROUP BY 1, 2")
+def analysis_by_type(s, d):
+    """Signals that depend on the raw body alone, of all captures, counted by type; the others are left to the tests."""
     from ledgerline.operators.analysis import analyze
 
-    docs = table(s, d, "documents").where("doc_kind <> 'page-capture'")
-    found = analyze(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.lit("text/plain").alias("content_type")))
+    rows = sql(s, d, CAPTURES)
+    found = analyze(rows)
     codes = found.select("id", F.explode(F.transform("signals", lambda x: x["code"])).alias("code")).where(F.col("code").isin(list(_PLAIN_CODES)))
-    return codes.join(docs.select(F.col("doc_id").alias("id"), "source"), "id").groupBy("source", "code").agg(F.count(F.lit(1)).alias("n"))
+    return codes.join(rows.select("id", "content_type"), "id").groupBy("content_type", "code").agg(F.count(F.lit(1)).alias("n"))

@@ -14,8 +14,10 @@ def _nodes(s: SparkSession, d: str) -> DataFrame:
     return nested.flatten(nested.audit_records(table(s, d, "import_records"), table(s, d, "audit_results")))
 
 
-def _tables(s: SparkSession, d: str) -> nested.SubtypeTables:
-    return nested.route(_nodes(s, d))
+def _tables(s: SparkSession, d: str, *kinds: str) -> nested.SubtypeTables:
+    """The typed tables of all kinds, or of some."""
+    nodes = _nodes(s, d)
+    return nested.route(nodes.where(F.col("node_kind").isin(*kinds)) if kinds else nodes)
 
 
 def p1_found(s: SparkSession, d: str) -> DataFrame:
@@ -42,9 +44,14 @@ FIELDS = {
 }
 
 
+def typed(s: SparkSession, d: str, *kinds: str) -> list[DataFrame]:
+    """The kinds' elements with typed columns, from the tables of their variants."""
+    tables = _tables(s, d, *kinds)
+    return [tables.kind(k, nested.named_columns(FIELDS[k])).drop("variant") for k in kinds]
+
+
 def p1_typed(s: SparkSession, d: str, kind: str) -> DataFrame:
-    """A kind's elements with typed columns, from the tables of its variants."""
-    return _tables(s, d).kind(kind, nested.named_columns(FIELDS[kind])).drop("variant")
+    return typed(s, d, kind)[0]
 
 
 def p2_found(s: SparkSession, d: str) -> DataFrame:

@@ -93,15 +93,6 @@ def j4(s, d):
 _RULES = "SELECT * FROM (VALUES ('https://', '/customers'), ('http://', '/'), ('https://', '/customers/al'), ('https://', '/other/')) AS r(scheme, prefix)"
 
 
-@query(
-    "ref_J8_scope_prefix",
-    f"WITH u AS (SELECT id, lower(regexp_extract(url, '^([A-Za-z]+://)', 1)) AS scheme, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path FROM ({URLS})) SELECT id, prefix FROM u JOIN ({_RULES}) r ON u.scheme = r.scheme AND (path = rtrim(prefix, '/') OR starts_with(path, rtrim(prefix, '/') || '/') OR rtrim(prefix, '/') = '')",
-)
-def j8(s, d):
-    u = sql(s, d, URLS).select("id", F.lower(F.regexp_extract("url", "^([A-Za-z]+://)", 1)).alias("scheme"), U.part("url", "path").alias("path"))
-    return J.prefix_join(u, "path", ["scheme"], sql(s, d, _RULES), "prefix").select("id", "prefix")
-
-
 @query("ref_J9_jobs_and_results", f"WITH r AS (SELECT {I('job_id')} AS job_id, count(DISTINCT {I('result_ref')}) AS n FROM audit_results WHERE {I('job_id')} IS NOT NULL GROUP BY 1) SELECT CASE WHEN j.job_id IS NULL THEN 'unknown_job' WHEN n IS NULL THEN 'no_result' WHEN n = 1 THEN 'one_result' ELSE 'many_results' END AS status, count(*) AS n_jobs FROM {_JO} j FULL JOIN r ON j.job_id = r.job_id GROUP BY 1")
 def j9(s, d):
     r = table(s, d, "audit_results").select(norm_id("job_id").alias("r_job"), norm_id("result_ref").alias("ref")).where("r_job is not null").groupBy("r_job").agg(F.countDistinct("ref").alias("n"))
@@ -129,19 +120,6 @@ def j11_all(s, d):
     return J.interval_join(observations(s, d), "observed_at", r, "started_at", "ended_at").select("observation_id", "run_id")
 
 
-@query("ref_J12_owned_or_excluded", "SELECT CASE WHEN c.c_custkey IS NOT NULL AND c.c_acctbal > 5000 THEN 'owned' WHEN s.s_suppkey IS NOT NULL THEN 'excluded' ELSE 'review_required' END AS status, count(*) AS n FROM part p LEFT JOIN customer c ON p.p_partkey = c.c_custkey LEFT JOIN supplier s ON p.p_partkey = s.s_suppkey GROUP BY 1")
-def j12(s, d):
-    """Two lookups with precedence; Spark chooses the strategy by the sides' sizes."""
-    c, x = table(s, d, "customer").where("c_acctbal > 5000").select("c_custkey"), table(s, d, "supplier").select("s_suppkey")
-    rows = table(s, d, "part").select("p_partkey").join(c, F.col("p_partkey") == F.col("c_custkey"), "left").join(x, F.col("p_partkey") == F.col("s_suppkey"), "left")
-    return rows.groupBy(F.when(F.col("c_custkey").isNotNull(), "owned").when(F.col("s_suppkey").isNotNull(), "excluded").otherwise("review_required").alias("status")).agg(F.count("*").alias("n"))
-
-
-@query("ref_J13_customers_without_large_orders", "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) GROUP BY 1")
-def j13(s, d):
-    return table(s, d, "customer").join(table(s, d, "orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").groupBy("c_nationkey").agg(F.count("*").alias("n"))
-
-
 _SNAP = "SELECT {k} AS channel, count(*) AS n, max(props) AS last FROM events WHERE event_id % 2 = {m} GROUP BY 1"
 _S0, _S1 = _SNAP.format(k="user_id", m=0), _SNAP.format(k="user_id + 1", m=1)
 
@@ -158,15 +136,6 @@ def j16(s, d):
     return j.join(p, (F.col("parent_job_id") == F.col("p_job")) & F.col("case_id").eqNullSafe(F.col("p_case")), "left").groupBy("state", "parent_state").agg(F.count("*").alias("n"))
 
 
-@query("ref_J22_budgets_by_family", "SELECT b.budget, l.source, CAST(coalesce(sum(CASE WHEN spent <= b.budget THEN 1 ELSE 0 END), 0) AS BIGINT) AS documents FROM (SELECT source, sum(1 + n_chars // 1000) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS spent FROM documents) l, (VALUES (5), (20), (100)) b(budget) GROUP BY 1, 2")
-def j22(s, d):
-    """Documents of a source within each budget; the budgets are a constant of three rows."""
-    w = W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)
-    rows = table(s, d, "documents").select("source", F.sum(1 + F.floor(F.col("n_chars") / 1000)).over(w).alias("spent"))
-    sums = rows.groupBy("source").agg(*[F.count_if(F.col("spent") <= b).alias(f"b{b}") for b in (5, 20, 100)])
-    return sums.unpivot("source", ["b5", "b20", "b100"], "budget", "documents").withColumn("budget", F.substring("budget", 2, 9).cast("int"))
-
-
 _STATES = ["ready", "running", "retry_wait", "succeeded", "failed_terminal", "blocked", "cancelled", "skipped", "expired"]
 
 
@@ -204,47 +173,11 @@ _EV = "SELECT doc_id, source, lang, CASE WHEN doc_id % 5 IN (0, 1) THEN 'relevan
 _TOT = f"SELECT count(*) FILTER (label = 'relevant' AND doc_id % 2 = 1) AS t FROM ({_EV})"
 
 
-@query("ref_A10_precision_recall", f"SELECT source, count(*) FILTER (label = 'relevant') AS relevant, count(*) FILTER (label = 'known_false_positive') AS false_positive, round(count(*) FILTER (label = 'relevant') / nullif((SELECT t FROM ({_TOT})), 0), 6) AS recall, round(count(*) FILTER (label = 'relevant') / nullif(count(*) FILTER (label IN ('relevant', 'known_false_positive')), 0), 6) AS precision FROM (SELECT * FROM ({_EV}) WHERE doc_id % 2 = 1) GROUP BY 1")
-def a10(s, d):
-    """Held-out half only; metrics are null where their denominator is zero."""
-    rows = sql(s, d, _EV).where("doc_id % 2 = 1")
-    total = rows.agg(F.count_if(F.col("label") == "relevant").alias("t"))
-    one = rows.groupBy("source").agg(F.count_if(F.col("label") == "relevant").alias("relevant"), F.count_if(F.col("label") == "known_false_positive").alias("false_positive"))
-    return one.crossJoin(F.broadcast(total)).select("source", "relevant", "false_positive", F.round(F.try_divide("relevant", "t"), 6).alias("recall"), F.round(F.try_divide(F.col("relevant"), F.col("relevant") + F.col("false_positive")), 6).alias("precision"))
-
-
-@query("ref_A11_status_rollup", "SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'error') = count(*) THEN 'FAILED' WHEN bool_and(event_type <> 'error' AND value IS NOT NULL) THEN 'COMPLETE' ELSE 'PARTIAL' END AS status FROM events GROUP BY 1")
-def a11(s, d):
-    e = F.col("event_type") == "error"
-    return table(s, d, "events").groupBy("user_id").agg(F.when(F.count_if(e) == F.count("*"), "FAILED").when(F.bool_and(~e & F.col("value").isNotNull()), "COMPLETE").otherwise("PARTIAL").alias("status"))
-
-
 @query("ref_A15_status_counts", "SELECT l_suppkey, count(*) FILTER (l_returnflag = 'A') AS added, count(*) FILTER (l_returnflag = 'N') AS modified, count(*) FILTER (l_returnflag = 'R') AS removed FROM lineitem GROUP BY 1")
 def a15(s, d):
     return table(s, d, "lineitem").groupBy("l_suppkey").agg(*[F.count_if(F.col("l_returnflag") == f).alias(n) for f, n in (("A", "added"), ("N", "modified"), ("R", "removed"))])
 
 
-@query("ref_A18_review_lists", "SELECT l_partkey, array_to_string(list(DISTINCT l_suppkey ORDER BY l_suppkey), ',') AS reviewers, count(*) AS mentions FROM lineitem GROUP BY 1")
-def a18(s, d):
-    return table(s, d, "lineitem").groupBy("l_partkey").agg(F.array_join(F.array_sort(F.collect_set("l_suppkey")), ",").alias("reviewers"), F.count("*").alias("mentions"))
-
-
-@query("ref_A22_method_coverage", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 2) AS total, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1")
-def a22(s, d):
-    return table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 2).alias("total"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
-
-
-@query("ref_A23_cooldown", "SELECT user_id % 20 AS origin, max(epoch_us(ts) + 30000000 * least(30, event_id % 7 + 1)) AS due_us FROM events WHERE event_type = 'error' GROUP BY 1")
-def a23(s, d):
-    due = F.unix_micros(F.col("ts").cast("timestamp")) + 30_000_000 * F.least(F.lit(30), F.col("event_id") % 7 + 1)
-    return table(s, d, "events").where("event_type = 'error'").groupBy((F.col("user_id") % 20).alias("origin")).agg(F.max(due).alias("due_us"))
-
-
-@query("ref_A27_last_batch_wins", "SELECT user_id, arg_max(event_type, event_id) AS last_type, arg_max(value, event_id) AS last_value, array_to_string(list(DISTINCT event_type ORDER BY event_type), ',') AS types FROM events GROUP BY 1")
-def a27(s, d):
-    return table(s, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"), F.max_by("value", "event_id").alias("last_value"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("types"))
-
-
 _LT = f"(SELECT *, rank() OVER (PARTITION BY asset_id, alias_id ORDER BY observed_at DESC) AS r FROM {_OB} WHERE asset_id IS NOT NULL)"
 
 
@@ -253,12 +186,6 @@ def w1(s, d):
     return J.latest_with_ties(observations(s, d).where("asset_id is not null"), ["asset_id", "alias_id"], "observed_at").select("observation_id", "asset_id", "alias_id", F.unix_micros("observed_at").alias("observed_us"))
 
 
-@query("ref_W2_tie_conflicts", "SELECT u, day, n, pairs > 1 AS conflict FROM (SELECT user_id % 10 AS u, CAST(CAST(ts AS DATE) AS STRING) AS day, count(*) AS n, count(DISTINCT event_type || '|' || CAST(user_id AS STRING)) AS pairs FROM events GROUP BY 1, 2)")
-def w2(s, d):
-    rows = table(s, d, "events").groupBy((F.col("user_id") % 10).alias("u"), F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("n"), F.count_distinct("event_type", "user_id").alias("pairs"))
-    return rows.select("u", "day", "n", (F.col("pairs") > 1).alias("conflict"))
-
-
 @query("ref_W3_latest_per_target", "SELECT o_custkey, arg_max(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) AS o_orderkey, max(o_orderdate) AS o_orderdate FROM orders GROUP BY 1")
 def w3(s, d):
     return J.latest(table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderdate")
@@ -285,18 +212,6 @@ def w7(s, d):
     return Q.hash_chain(table(s, d, "events"), "user_id", ["ts", "event_id"], F.concat("event_type", F.coalesce("props", F.lit(""))))
 
 
-@query("ref_W8_cursor_checks", "SELECT o_custkey, count(*) FILTER (o_orderkey <= before) AS regressions, count(DISTINCT o_orderstatus) > 1 AS drift FROM (SELECT *, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders) GROUP BY 1")
-def w8(s, d):
-    before = F.lag("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    return table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", before.alias("before")).groupBy("o_custkey").agg(F.count_if(F.col("o_orderkey") <= F.col("before")).alias("regressions"), (F.count_distinct("o_orderstatus") > 1).alias("drift"))
-
-
-@query("ref_W9_planned_or_deferred", "SELECT o_custkey, count(*) FILTER (r <= 3) AS planned, count(*) FILTER (r > 3) AS deferred FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) GROUP BY 1")
-def w9(s, d):
-    r = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    return table(s, d, "orders").select("o_custkey", r.alias("r")).groupBy("o_custkey").agg(F.count_if(F.col("r") <= 3).alias("planned"), F.count_if(F.col("r") > 3).alias("deferred"))
-
-
 @query("ref_W10_round_robin", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY i, CASE event_type WHEN 'signup' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END, event_type, event_id) AS position FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS i FROM events)")
 def w10(s, d):
     rank = F.when(F.col("event_type") == "signup", 0).when(F.col("event_type") == "purchase", 1).otherwise(2)
@@ -315,12 +230,6 @@ def w13(s, d):
     return table(s, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", r.alias("r")).where("r <= 10").drop("r")
 
 
-@query("ref_W14_after_last_closure", "SELECT user_id, event_id, event_type, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS baseline FROM events")
-def w14(s, d):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
-    return table(s, d, "events").select("user_id", "event_id", "event_type", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), True).over(w).alias("baseline"))
-
-
 @query("ref_W15_lease_expiry", "SELECT state, CASE WHEN state = 'running' AND lease_expires_at <= TIMESTAMPTZ '2025-09-01 00:00:00+00' THEN 'reclaim' ELSE 'keep' END AS action, count(*) AS n FROM audit_jobs GROUP BY 1, 2")
 def w15(s, d):
     now = F.timestamp_micros(F.lit(1756684800000000))
@@ -334,24 +243,11 @@ def t1(s, d):
     return table(s, d, "ledger_events").select("entity_id", "occurred_at", before.alias("before")).groupBy("entity_id").agg(F.count("*").alias("n"), F.count_if(F.col("occurred_at") < F.col("before")).alias("out_of_order"))
 
 
-@query("ref_T2_top_files", "SELECT p_partkey, p_size FROM part ORDER BY CASE WHEN p_size % 3 = 0 THEN 0 WHEN p_size % 3 = 1 THEN 2 ELSE 1 END, p_partkey LIMIT 100")
-def t2(s, d):
-    """A top-100 report: the limit is the feature, Spark keeps 100 rows per task."""
-    rank = F.when(F.col("p_size") % 3 == 0, 0).when(F.col("p_size") % 3 == 1, 2).otherwise(1)
-    return table(s, d, "part").select("p_partkey", "p_size").orderBy(rank, "p_partkey").limit(100)
-
-
 @query("ref_T4_due_jobs", f"SELECT job_id, state, epoch_us(updated_at) AS updated_us FROM {_JO} WHERE state IN ('ready', 'retry_wait') AND updated_at <= TIMESTAMPTZ '2026-01-01 00:00:00+00'")
 def t4(s, d):
     return jobs(s, d).where(F.col("state").isin("ready", "retry_wait") & (F.col("updated_at") <= F.timestamp_micros(F.lit(1767225600000000)))).orderBy("updated_at", "job_id").select("job_id", "state", F.unix_micros("updated_at").alias("updated_us"))
 
 
-@query("ref_T6_next_work", "SELECT o_custkey, arg_min(o_orderkey, struct_pack(a := CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, b := o_orderkey)) AS next_work FROM orders GROUP BY 1")
-def t6(s, d):
-    rank = F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
-    return table(s, d, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct(rank.alias("a"), "o_orderkey")).alias("next_work"))
-
-
 _A, _B = "SELECT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'A'", "SELECT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R'"
 
 
@@ -362,26 +258,6 @@ def set1(s, d):
     return flags.where("a <> r").select(F.when(F.col("a"), "removed").otherwise("added").alias("side"), "k")
 
 
-@query("ref_SET2_found_missed", f"SELECT CASE WHEN a AND r THEN 'found' WHEN a THEN 'missed' ELSE 'additional' END AS outcome, count(*) AS n FROM (SELECT k, bool_or(s = 1) AS a, bool_or(s = 2) AS r FROM (SELECT k, 1 AS s FROM ({_A}) UNION ALL SELECT k, 2 FROM ({_B})) GROUP BY 1) GROUP BY 1")
-def set2(s, d):
-    rows = table(s, d, "lineitem")
-    a, b = rows.where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("k")), rows.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k"))
-    parts = [("found", a.intersect(b)), ("missed", a.subtract(b)), ("additional", b.subtract(a))]
-    return parts[0][1].select(F.lit("found").alias("outcome")).union(parts[1][1].select(F.lit("missed"))).union(parts[2][1].select(F.lit("additional"))).groupBy("outcome").agg(F.count("*").alias("n"))
-
-
-@query("ref_SET3_split_validity", "SELECT (SELECT count(*) FROM ((SELECT DISTINCT user_id FROM events WHERE event_id % 2 = 0) INTERSECT (SELECT DISTINCT user_id FROM events WHERE event_id % 2 = 1))) AS shared, (SELECT count(DISTINCT user_id) FROM events) AS users")
-def set3(s, d):
-    one = table(s, d, "events").groupBy("user_id").agg(F.count_distinct(F.col("event_id") % 2).alias("sides"))
-    return one.agg(F.count_if(F.col("sides") > 1).alias("shared"), F.count("*").alias("users"))
-
-
-@query("ref_SET5_union_of_codes", "SELECT user_id, array_to_string(list_sort(list_distinct(flatten(list([event_type, 'k' || CAST(event_id % 3 AS STRING)])))), ',') AS codes FROM events GROUP BY 1")
-def set5(s, d):
-    codes = F.explode(F.array("event_type", F.concat(F.lit("k"), (F.col("event_id") % 3).cast("string"))))
-    return table(s, d, "events").select("user_id", codes.alias("code")).groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))
-
-
 @query("ref_SET6_is_permutation", "SELECT count(*) FILTER (a <> b) AS differing, count(*) AS keys FROM (SELECT o_custkey, count(*) FILTER (o_orderkey % 2 = 0) AS a, count(*) FILTER (o_orderkey % 2 = 1) AS b FROM orders GROUP BY 1)")
 def set6(s, d):
     """Multiset equality by counts of each key on both sides."""

@@ -56,12 +56,13 @@ def s5(s, d):
     return table(s, d, "assets").groupBy(F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in rules])), ",").alias("reasons")).agg(F.count("*").alias("n"))
 
 
-@query("ref_S6_J7_candidate_channels")
+@query("ref_S6_J7_candidate_channels", f"SELECT c.record_ref, c.node_path, c.url, k.channel_id IS NOT NULL AS channel_known FROM ({problems.ORACLE['p1_candidates']}) c LEFT JOIN (SELECT DISTINCT record_ref, channel_id FROM ({problems.ORACLE['p1_channels']})) k ON c.record_ref = k.record_ref AND c.channel_id = k.channel_id")
 def s6(s, d):
     """Candidates of discovery imports and whether their channel is among the channels of the same import."""
-    nodes = materialize(problems._nodes(s, d).where(F.col("node_kind").isin("channels", "candidates")).select("record_ref", "node_kind", "node_path", F.col("fields")["channel_id"].alias("channel_id"), F.col("fields")["url"].alias("url")))
-    known = nodes.where("node_kind = 'channels' and channel_id is not null").select("record_ref", "channel_id", F.lit(True).alias("known")).distinct()
-    return nodes.where("node_kind = 'candidates'").join(known, ["record_ref", "channel_id"], "left").select("record_ref", "node_path", "url", F.coalesce("known", F.lit(False)).alias("channel_known"))
+    tables = problems._tables(s, d, "channels", "candidates")
+    known = tables.kind("channels", {"channel_id": ("channel_id", "string")}).where("channel_id is not null").select("record_ref", "channel_id", F.lit(True).alias("known")).distinct()
+    candidates = tables.kind("candidates", {"channel_id": ("channel_id", "string"), "url": ("url", "string")})
+    return candidates.join(known, ["record_ref", "channel_id"], "left").select("record_ref", "node_path", "url", F.coalesce("known", F.lit(False)).alias("channel_known"))
 
 
 @query("ref_K2_markdown", "SELECT '| ' || CAST(n_nationkey AS STRING) || ' | ' || n_name || ' |' AS line FROM nation")
@@ -246,14 +247,6 @@ def g3(s, d):
     return G.reach(sql(s, d, _EDGES), s.createDataFrame([(1,)], "node bigint"), 4)
 
 
-@query("ref_G6_G7_edges", "SELECT DISTINCT 'user:' || CAST(user_id AS STRING) AS source, 'type:' || event_type AS target FROM events UNION SELECT DISTINCT 'type:' || event_type, 'day:' || CAST(CAST(ts AS DATE) AS STRING) FROM events")
-def g6(s, d):
-    e = table(s, d, "events")
-    t = F.concat(F.lit("type:"), "event_type")
-    a = e.select(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("source"), t.alias("target"))
-    return a.union(e.select(t, F.concat(F.lit("day:"), F.to_date("ts").cast("string")))).distinct()
-
-
 @query("ref_G8_lineage_hold", "SELECT p_partkey FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 13)")
 def g8(s, d):
     p = table(s, d, "part")

@@ -125,15 +125,15 @@ def access(s, d):
 
 
 _SC = "SELECT l_orderkey AS id, l_linenumber AS n, CAST(l_quantity AS DOUBLE) / 40 AS o, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_discount * 9 END AS i, l_tax * 10 AS w, l_quantity / 50 AS g, l_discount AS c1, l_tax AS c2, CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE -0.25 END AS c3 FROM lineitem"
-_CL = lambda x, dflt: f"least(1.0, greatest(0.0, coalesce({x}, {dflt})))"
+_CL = lambda x, dflt: f"least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), CAST(coalesce({x}, {dflt}) AS DOUBLE)))"
 
 
-@query("ref_P26_priority_score", f"SELECT id, n, round(s, 6) AS score FROM (SELECT id, n, {_CL('o', 0.1)} * {_CL('i', 0.5)} * {_CL('w', 0.5)} * {_CL('g', 0.5)} / (1 + {_CL('c1', 0.5)} + {_CL('c2', 0.5)} + {_CL('c3', 0.5)}) AS s FROM ({_SC}))")
+@query("ref_P26_priority_score", f"SELECT id, n, floor(s * 1000000::DOUBLE + 0.5::DOUBLE) / 1000000::DOUBLE AS score FROM (SELECT id, n, {_CL('o', 0.1)} * {_CL('i', 0.5)} * {_CL('w', 0.5)} * {_CL('g', 0.5)} / (1 + {_CL('c1', 0.5)} + {_CL('c2', 0.5)} + {_CL('c3', 0.5)}) AS s FROM ({_SC}))")
 def score(s, d):
-    """Product of the clamped benefits over one plus the clamped costs; missing inputs have defaults."""
+    """Product of the clamped benefits over one plus the clamped costs, to six digits; missing inputs have defaults."""
     clamp = lambda c, default: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col(c).cast("double"), F.lit(default))))
     value = clamp("o", 0.1) * clamp("i", 0.5) * clamp("w", 0.5) * clamp("g", 0.5) / (1 + clamp("c1", 0.5) + clamp("c2", 0.5) + clamp("c3", 0.5))
-    return sql(s, d, _SC).select("id", "n", F.round(value, 6).alias("score"))
+    return sql(s, d, _SC).select("id", "n", (F.floor(value * 1e6 + 0.5) / 1e6).alias("score"))
 
 
 # Value signals. RE2 has no look-around: the SQL takes the neighbours into the match; the vectors keep them apart.
