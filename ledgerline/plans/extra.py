@@ -198,11 +198,12 @@ def f29(s, d):
 _FIT = "acc.r + x.r <= 500 AND acc.b + x.b <= 100000"
 ORACLE["ref_ST6_reservations"] = f"""SELECT user_id, v.r AS requests, v.b AS bytes, v.a AS accepted, v.j AS rejected FROM (SELECT user_id, list_reduce(list_prepend(struct_pack(r := 0::BIGINT, b := 0::BIGINT, a := 0::BIGINT, j := 0::BIGINT), list(struct_pack(r := (event_id % 50)::BIGINT, b := event_id::BIGINT, a := 0::BIGINT, j := 0::BIGINT) ORDER BY ts, event_id)),
  lambda acc, x: struct_pack(r := acc.r + CASE WHEN {_FIT} THEN x.r ELSE 0 END, b := acc.b + CASE WHEN {_FIT} THEN x.b ELSE 0 END, a := acc.a + CASE WHEN {_FIT} THEN 1 ELSE 0 END, j := acc.j + CASE WHEN {_FIT} THEN 0 ELSE 1 END)) AS v FROM events GROUP BY 1)"""
-ORACLE["ref_N3_word_prefixes"] = f"""WITH n AS (SELECT name, string_split_regex(name, '[^a-z0-9]+') AS w FROM ({structures._NAMES})), p AS (SELECT name, w[1:k] AS p FROM (SELECT name, w, unnest(range(2, least(len(w), 5))) AS k FROM n WHERE len(w) >= 3)),
+ORACLE["ref_N3_word_prefixes"] = f"""WITH n AS (SELECT name, regexp_extract_all(name, '[a-z0-9]+') AS w FROM ({structures._NAMES})), p AS (SELECT name, w[1:k] AS p FROM (SELECT name, w, unnest(range(2, least(len(w), 5))) AS k FROM n WHERE len(w) >= 3)),
 b AS (SELECT name, p, replace(array_to_string(p, '|'), '|', sep) AS base FROM p, (VALUES (''), ('-'), ('_')) s(sep) WHERE length(array_to_string(p, '')) >= 4)
 SELECT DISTINCT name, base || j || r AS candidate FROM b, (VALUES ('', ''), ('', 'sales'), ('-', 'sales'), ('_', 'sales'), ('', 'admin'), ('-', 'admin'), ('_', 'admin'), ('', 'dev'), ('-', 'dev'), ('_', 'dev')) v(j, r) WHERE NOT list_contains(p, r) AND length(base || j || r) BETWEEN 2 AND 39"""
 ORACLE["ref_N2_W11_candidates"] = f"""WITH st AS ({structures.ORACLE['ref_N1_stems']}), m AS (SELECT name, stem AS c, weight, 0 AS rnd, 0 AS j FROM st UNION ALL SELECT name, stem || joiner || word, weight, no + 1, jn FROM st, (VALUES ('sales', 0), ('partners', 1), ('dashboard', 2), ('dev', 3), ('admin', 4), ('team', 5), ('data', 6), ('api', 7)) w(word, no), (VALUES ('', 0), ('-', 1), ('_', 2)) q(joiner, jn) WHERE why <> 'initialism' AND NOT contains(stem, word) AND NOT contains(word, stem)),
-best AS (SELECT name, c, min((weight, rnd, j)) AS r FROM m WHERE length(c) BETWEEN 2 AND 39 GROUP BY 1, 2) SELECT name, candidate, position FROM (SELECT name, c AS candidate, row_number() OVER (PARTITION BY name ORDER BY r, length(c), c) AS position FROM best) WHERE position <= 220"""
+best AS (SELECT name, c, min((weight, rnd, j)) AS r FROM m WHERE length(c) BETWEEN 2 AND 39 GROUP BY 1, 2), rk AS (SELECT name, c, r, row_number() OVER (PARTITION BY name ORDER BY r, length(c), c) AS n FROM best), rs AS (SELECT *, n > 60 AND r[2] = 0 AS reserved, sum(CASE WHEN n > 60 AND r[2] = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY name) AS held FROM rk)
+SELECT name, c AS candidate, row_number() OVER (PARTITION BY name ORDER BY r, length(c), c) AS position FROM rs WHERE reserved OR n <= 60 - held"""
 
 
 @query("ref_C1_C26_analysis")

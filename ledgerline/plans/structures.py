@@ -255,10 +255,28 @@ def g8(s, d):
 
 # Generators
 
-_NAMES = "SELECT DISTINCT concat(lower(n_name), ' ', lower(c_mktsegment), ' trading group') AS name FROM customer JOIN nation ON c_nationkey = n_nationkey"
-
-
-@query("ref_N1_stems", f"WITH n AS (SELECT name, string_split_regex(name, '[^a-z0-9]+') AS w, regexp_replace(name, '[^a-z0-9]+', '', 'g') AS f FROM ({_NAMES})), a AS (SELECT name, f AS stem, 0 AS weight, 'name' AS why FROM n UNION ALL SELECT name, w[1], 0, 'leading-word' FROM n UNION ALL SELECT name, unnest(w[2:]), 1, 'word' FROM n UNION ALL SELECT name, array_to_string(list_transform(w, lambda x: x[1:1]), ''), 1, 'initialism' FROM n UNION ALL SELECT name, f[1:1] || regexp_replace(f[2:], '[aeiou]', '', 'g'), 4, 'devowelled' FROM n UNION ALL SELECT name, f[1:4], 4, 'truncated' FROM n) SELECT name, stem, arg_min(why, (weight, why)) AS why, min(weight) AS weight FROM a WHERE length(stem) >= 2 GROUP BY 1, 2")
+_NAMES = "SELECT DISTINCT concat(lower(n_name), ' ', lower(c_mktsegment), ' trading group') AS name FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT * FROM (VALUES ('별빛렌터카 주식회사'), ('㈜한울 테크놀로지'), ('코리아별빛'), ('그룹'), ('유한회사 새봄 에너지 코리아'), ('푸른 harbor co ltd')) AS v(name)"
+
+
+_ROMAN = "array_to_string(list_transform(list_filter(string_split({0}, ''), lambda c: c BETWEEN '가' AND '힣'), lambda c: " + f"{N.INITIAL!r}[(unicode(c) - 44032) // 588 + 1] || {N.VOWEL!r}[(unicode(c) - 44032) % 588 // 28 + 1] || {N.FINAL!r}[(unicode(c) - 44032) % 28 + 1]" + "), '')"
+_FIRST = "array_to_string(list_transform(list_filter(string_split({0}, ''), lambda c: c BETWEEN '가' AND '힣'), lambda c: " + f"CASE WHEN {N.INITIAL!r}[(unicode(c) - 44032) // 588 + 1] = '' THEN {N.VOWEL!r}[(unicode(c) - 44032) % 588 // 28 + 1][1:1] ELSE {N.INITIAL!r}[(unicode(c) - 44032) // 588 + 1] END" + "), '')"
+_KINDS = ", ".join(f"('{k}', {i}, {w})" for i, (k, w) in enumerate(N.STEM_KINDS.items()))
+_SQL_STEMS = f"""WITH n0 AS (SELECT name, regexp_extract_all(replace(name, '㈜', '(주)'), '[a-z0-9]+') AS w0, CASE WHEN regexp_matches(name, '[가-힣]') THEN regexp_replace(replace(name, '㈜', '(주)'), '\\s+', '', 'g') END AS h FROM ({{names}})),
+n1 AS (SELECT name, h, w0[1:len(w0) - coalesce(list_position(list_transform(list_reverse(w0), lambda x: NOT list_contains({N.LEGAL_TAILS!r}, x)), true) - 1, len(w0))] AS w, regexp_replace(regexp_replace(h, '^(?:주식회사|유한회사|\\(주\\))(.)', '\\1'), '(.)(?:주식회사|유한회사|홀딩스|코리아|컴퍼니|\\(주\\)|그룹)$', '\\1') AS bare FROM n0),
+n AS (SELECT *, list_filter({N.HANGUL_TAILS!r}, lambda t: ends_with(bare, t) AND length(bare) > length(t))[1] AS tail FROM n1),
+a AS (SELECT name, 'name' AS why, array_to_string(w, '') AS stem FROM n
+  UNION ALL SELECT name, 'initialism', CASE WHEN len(w) > 1 THEN array_to_string(list_transform(w, lambda x: x[1:1]), '') END FROM n
+  UNION ALL SELECT name, 'compound', array_to_string(w[1:k], '') || '-' || array_to_string(w[k + 1:], '') FROM (SELECT name, w, unnest(range(1, len(w))) AS k FROM n)
+  UNION ALL SELECT name, 'leading-word', w[1] FROM n UNION ALL SELECT name, 'word', unnest(w[2:]) FROM n
+  UNION ALL SELECT name, 'hangul-original', {_ROMAN.format('h')} FROM n UNION ALL SELECT name, 'hangul-original-initials', {_FIRST.format('h')} FROM n
+  UNION ALL SELECT name, 'hangul-stem', {_ROMAN.format('bare[1:length(bare) - length(tail)]')} FROM n WHERE tail IS NOT NULL UNION ALL SELECT name, 'hangul-stem-initials', {_FIRST.format('bare[1:length(bare) - length(tail)]')} FROM n WHERE tail IS NOT NULL
+  UNION ALL SELECT name, 'hangul-tail', {_ROMAN.format('tail')} FROM n UNION ALL SELECT name, 'hangul-whole', {_ROMAN.format('bare')} FROM n UNION ALL SELECT name, 'hangul-whole-initials', {_FIRST.format('bare')} FROM n),
+b AS (SELECT * FROM a WHERE length(stem) >= 2), f AS (SELECT * FROM b WHERE why <> 'initialism' AND length(stem) >= 5),
+c AS (SELECT * FROM b UNION ALL SELECT name, 'devowelled', x FROM (SELECT name, stem, stem[1:1] || regexp_replace(stem[2:], '[aeiou]', '', 'g') AS x FROM f) WHERE length(x) > 2 AND length(x) < length(stem) UNION ALL SELECT name, 'truncated', stem[1:4] FROM f)
+SELECT name, stem, arg_min(why, k) AS why, arg_min(wt, k) AS weight FROM c JOIN (VALUES {_KINDS}) v(why, k, wt) USING (why) GROUP BY 1, 2"""
+
+
+@query("ref_N1_stems", _SQL_STEMS.format(names=_NAMES))
 def n1(s, d):
     return N.stems(sql(s, d, _NAMES))
 
@@ -266,7 +284,7 @@ def n1(s, d):
 @query("ref_N2_W11_candidates")
 def n2(s, d):
     words = s.createDataFrame([(w, i) for i, w in enumerate(("sales", "partners", "dashboard", "dev", "admin", "team", "data", "api"))], "word string, word_no int")
-    return N.combine(N.stems(sql(s, d, _NAMES)), words, 220)
+    return N.combine(N.stems(sql(s, d, _NAMES)), words, 60)
 
 
 @query("ref_N3_word_prefixes")

@@ -191,8 +191,16 @@ def test_names(spark):
     assert one(spark, generators.romanize("v"), v="한국 물류a") == "hangukmulryu"
     assert one(spark, generators.initials("v"), v="아름다운") == "ardu"
     assert one(spark, generators.ascii_term("v"), v="Ａb-9 é") == "ab9"
-    stems = {r.stem: r.why for r in generators.stems(spark.createDataFrame([("Blue Harbor Trading",)], "name string")).collect()}
-    assert stems["blueharbortrading"] == "name" and stems["bht"] == "initialism" and stems["blue"] == "leading-word"
+    stems = lambda name: {r.stem: r.why for r in generators.stems(spark.createDataFrame([(name,), (None,)], "name string")).collect()}
+    latin = stems("Blue Harbor Trading Co Ltd")
+    assert latin["blueharbortrading"] == "name" and latin["bht"] == "initialism" and latin["blue"] == "leading-word" and latin["blue-harbortrading"] == latin["blueharbor-trading"] == "compound" and "co" not in latin
+    korean = stems("㈜별빛렌터카 코리아")
+    assert korean["byeolbit"] == "hangul-stem" and korean["bb"] == "hangul-stem-initials" and korean["renteoka"] == "hangul-tail" and korean["byeolbitrenteoka"] == "hangul-whole" and korean["byeo"] == "truncated"
+    assert "joyeolbit" not in korean and stems("그룹") == {"geurup": "hangul-original", "gr": "hangul-original-initials", "grp": "devowelled", "geur": "truncated"}
+    words = spark.createDataFrame([(w, i) for i, w in enumerate(("sales", "dev"))], "word string, word_no int")
+    rows = spark.createDataFrame([("n", s, "word", i) for i, s in enumerate(("alpha", "beta", "gamma"))], "name string, stem string, why string, weight int")
+    names = [r.candidate for r in generators.combine(rows, words, 5).orderBy("position").collect()]
+    assert len(names) == 5 and {"alpha", "beta", "gamma"} <= set(names)  # the bare stems have their places
     assert [one(spark, N.valid_name(k, "v"), v=v) for k, v in (("account", "a--b"), ("account", "a-b"), ("bucket", "10.0.0.1"), ("group", "a..b"), ("dns_label", "-a"))] == [False, True, False, False, False]
 
 
