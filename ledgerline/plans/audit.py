@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.functions.ids import norm_id
-from ledgerline.operators import discovery as D, joins as J
+from ledgerline.operators import discovery as D, joins as J, revisions as R
 from ledgerline.plans import problems
 from ledgerline.plans.common import CREDENTIAL_SQL, URLS, sql
 from ledgerline.plans.relational import I, jobs, observations
@@ -285,3 +285,92 @@ def observation_checks(s, d):
     o = table(s, d, "observations").select(norm_id("observation_id").alias("observation_id"), norm_id("asset_id").alias("asset_id"), "alias_id", "evidence_ref", "observed_at").distinct()
     return D.observation_checks(o, a)
 
+
+
+_SHA = "substr(sha256(repository), 1, 40)"
+_BR = "(regexp_matches(branch, '^[A-Za-z0-9._/-]{1,100}$') AND NOT regexp_matches(branch, '\\.\\.|^/|/$|//'))"
+
+
+@query("ref_P29_P27_revision_urls", f"WITH r AS (SELECT record_ref, node_path, repository, branch, {_SHA} AS sha FROM {nodes('repositories')} WHERE repository IS NOT NULL) SELECT record_ref, node_path, CASE WHEN {_BR} THEN 'https://api.github.com/repos/' || repository || '/git/trees/' || replace(branch, '/', '%2F') || '?recursive=1' END AS tree, CASE WHEN {_BR} THEN 'https://api.github.com/repos/' || repository || '/commits?sha=' || replace(branch, '/', '%2F') || '&per_page=5' END AS history, 'https://api.github.com/repos/' || repository || '/commits/' || sha || '?per_page=100&page=1' AS detail, 'https://raw.githubusercontent.com/' || repository || '/' || sha || '/docs/' || replace(replace(node_path, '[', '%5B'), ']', '%5D') AS raw, 'https://' || lower(split_part(repository, '/', 1)) || '.github.io/' || split_part(repository, '/', 2) || '/' AS pages, CASE WHEN {_BR} THEN 'https://cdn.jsdelivr.net/gh/' || repository || '@' || branch || '/' END AS mirror, CASE WHEN {_BR} THEN 'branch_mutable' END AS kind FROM r")
+def revision_urls(s, d):
+    r = problems.p1_typed(s, d, "repositories").where("repository is not null").select("record_ref", "node_path", "repository", "branch", F.left(F.sha2("repository", 256), F.lit(40)).alias("sha"))
+    shape = R.shaped(r.select(F.col("repository").alias("slug"), F.col("branch").alias("revision")).distinct())
+    patch = F.concat(F.lit("https://github.com/"), "repository", F.lit("/commit/"), F.upper("sha"), F.lit(".patch"))
+    out = r.join(shape, (F.col("repository") == F.col("slug")) & F.col("branch").eqNullSafe(F.coalesce(F.regexp_extract("mirror_url", "@(.*)/$", 1), F.col("branch"))))
+    return out.select("record_ref", "node_path", R.tree_url("repository", "branch").alias("tree"), R.history_url("repository", "branch").alias("history"), R.commit_detail_url(patch).alias("detail"), R.raw_url("repository", "sha", F.concat(F.lit("docs/"), "node_path")).alias("raw"), F.col("pages_url").alias("pages"), F.col("mirror_url").alias("mirror"), F.col("revision_kind").alias("kind"))
+
+
+@query("ref_F29_reports_held", f"SELECT record_ref, len(list_filter(list_distinct(list(code)), lambda c: NOT list_contains({R.NOT_MATERIAL!r}, c))) > 0 AS held FROM {nodes('signals')} WHERE code IS NOT NULL GROUP BY 1")
+def reports_held(s, d):
+    """Reports whose signals hold material back; a report's codes are a fixed vocabulary."""
+    codes = problems.p1_typed(s, d, "signals").where("code is not null").select("record_ref", "code").distinct().groupBy("record_ref").agg(F.collect_list("code").alias("codes"))
+    return codes.select("record_ref", R.material_hold("codes").alias("held"))
+
+
+@query("ref_G2_same_captures", f"SELECT target_id, count(*) AS captures, CASE WHEN NOT bool_and(coalesce(capture_complete, false) AND regexp_matches(payload_hash, '^[0-9a-f]{{64}}$')) OR min(access) <> max(access) THEN 'comparison_pending' WHEN min(payload_hash) = max(payload_hash) THEN 'same_at_observation' ELSE 'different_at_observation' END AS state FROM (SELECT DISTINCT {I('observation_id')} AS o, target_id, access, payload_hash, capture_complete FROM observations WHERE target_id IS NOT NULL) GROUP BY 1 HAVING count(*) > 1")
+def same_captures(s, d):
+    o = table(s, d, "observations").where("target_id is not null").select(norm_id("observation_id").alias("o"), "target_id", F.col("access").alias("representation"), F.col("payload_hash").alias("sha256"), "capture_complete").distinct()
+    return R.mirror_states(o, ["target_id"])
+
+
+@query("ref_G8_held_siblings", f"WITH j AS {_LAST_JOBS}, h AS (SELECT DISTINCT parent_job_id FROM j WHERE state LIKE 'blocked%' AND parent_job_id IS NOT NULL) SELECT job_id, state LIKE 'blocked%' OR h.parent_job_id IS NOT NULL AS held FROM j LEFT JOIN h ON j.parent_job_id = h.parent_job_id")
+def held_siblings(s, d):
+    """Jobs that are held as one of their siblings is blocked."""
+    return R.lineage_hold(jobs(s, d), "parent_job_id", F.col("state").startswith("blocked")).select("job_id", "held")
+
+
+_STEPS_SQL = """SELECT p_partkey AS id, CASE CAST(p_partkey % 9 AS INT) WHEN 0 THEN '{"ui_steps": [{"action": "click", "target_id": "open-menu"}, {"action": "wait", "milliseconds": 200}]}' WHEN 1 THEN '{"ui_steps": [{"action": "click", "target_id": "login-button"}]}'
+ WHEN 2 THEN '{"ui_steps": [{"action": "fill", "target_id": "q", "value": "secret"}]}' WHEN 3 THEN '{"ui_steps": [{"action": "click", "target_id": "a", "expect_png_download": true}]}' WHEN 4 THEN '{"ui_steps": [{"action": "wait", "milliseconds": 9000}]}' WHEN 5 THEN '{"observe_target_ids": ["a", "a"]}'
+ WHEN 6 THEN '[]' WHEN 7 THEN '{"ui_steps": [{"action": "fill", "target_id": "q", "value": "TEST_1"}, {"action": "select", "target_id": "s", "index": 3}, {"action": "check", "target_id": "c", "checked": true}]}' ELSE '{"observe_png_download": 1}' END AS body FROM part"""
+
+
+@query("ref_U14_interaction_steps", "SELECT p_partkey AS id, CASE CAST(p_partkey % 9 AS INT) WHEN 1 THEN 'prohibited_ui_target' WHEN 2 THEN 'prohibited_ui_value' WHEN 3 THEN 'png_observation_not_authorized' WHEN 4 THEN 'invalid_ui_steps' WHEN 5 THEN 'invalid_observe_target_ids' WHEN 6 THEN 'invalid_ui_steps' WHEN 8 THEN 'invalid_png_observation' END AS reason, CASE CAST(p_partkey % 9 AS INT) WHEN 0 THEN 2 WHEN 7 THEN 3 ELSE 0 END AS steps FROM part")
+def steps(s, d):
+    return R.interaction_steps(sql(s, d, _STEPS_SQL))
+
+
+@query("ref_A21_attempts_by_channel", f"WITH c AS (SELECT record_ref, node_path, channel_id, complete, pages_bigint AS announced FROM {nodes('channels')}), a AS (SELECT record_ref, parent_path, count(*) AS attempts, sum(pages_bigint) AS tried FROM {nodes('attempts')} GROUP BY 1, 2) SELECT c.record_ref, c.node_path, c.channel_id, coalesce(attempts, 0) AS attempts, CASE WHEN c.complete AND coalesce(tried, 0) >= coalesce(announced, 0) THEN 'covered' WHEN tried > 0 THEN 'partly' ELSE 'open' END AS coverage FROM c LEFT JOIN a ON c.record_ref = a.record_ref AND c.node_path = a.parent_path")
+def attempts(s, d):
+    """What the attempts of each channel cover, through the parent links of the flat tables."""
+    c, a = problems.typed(s, d, "channels", "attempts")
+    a = a.groupBy("record_ref", F.col("parent_path").alias("node_path")).agg(F.count(F.lit(1)).alias("attempts"), F.sum("pages_bigint").alias("tried"))
+    both = c.join(a, ["record_ref", "node_path"], "left")
+    covered = F.col("complete") & (F.coalesce("tried", F.lit(0)) >= F.coalesce("pages_bigint", F.lit(0)))
+    return both.select("record_ref", "node_path", "channel_id", F.coalesce("attempts", F.lit(0)).alias("attempts"), F.when(covered, "covered").when(F.col("tried") > 0, "partly").otherwise("open").alias("coverage"))
+
+
+_OWN_TARGETS = "(SELECT target_id FROM assets WHERE target_id IS NOT NULL UNION SELECT unnest(map_values(alias_bindings)) FROM assets)"
+
+
+@query("ref_J5_inventory_and_discovery", f"WITH e AS {_OWN_TARGETS}, f AS (SELECT DISTINCT target_id FROM observations WHERE target_id IS NOT NULL) SELECT coalesce(e.target_id, f.target_id) AS target_id, CASE WHEN f.target_id IS NULL THEN 'missed' WHEN e.target_id IS NULL THEN 'additional' ELSE 'found' END AS outcome FROM e FULL JOIN f ON e.target_id = f.target_id")
+def inventory_and_discovery(s, d):
+    """Targets that the inventory owns and those that were observed."""
+    a = table(s, d, "assets")
+    own = a.select("target_id").unionByName(a.select(F.explode(F.map_values("alias_bindings")).alias("target_id"))).where("target_id is not null")
+    return D.expected_and_found(own, table(s, d, "observations").select("target_id").where("target_id is not null"), ["target_id"])
+
+
+@query("ref_J6_target_owners", f"WITH t AS (SELECT target_id, count(DISTINCT a) AS n FROM (SELECT target_id, {I('asset_id')} AS a FROM assets WHERE target_id IS NOT NULL UNION SELECT unnest(map_values(alias_bindings)), {I('asset_id')} FROM assets) GROUP BY 1), o AS (SELECT DISTINCT {I('observation_id')} AS observation_id, target_id FROM observations) SELECT observation_id, CASE WHEN o.target_id IS NULL THEN 'none' WHEN n IS NULL THEN 'unknown' WHEN n = 1 THEN 'one' ELSE 'several' END AS owners FROM o LEFT JOIN t ON o.target_id = t.target_id")
+def target_owners(s, d):
+    """How many assets a target of an observation belongs to."""
+    a = table(s, d, "assets").select(norm_id("asset_id").alias("a"), "target_id", "alias_bindings")
+    t = a.select("target_id", "a").unionByName(a.select(F.explode(F.map_values("alias_bindings")).alias("target_id"), "a")).where("target_id is not null").groupBy(F.col("target_id").alias("t_id")).agg(F.count_distinct("a").alias("n"))
+    o = table(s, d, "observations").select(norm_id("observation_id").alias("observation_id"), "target_id").distinct()
+    owners = F.when(F.col("target_id").isNull(), "none").when(F.col("n").isNull(), "unknown").when(F.col("n") == 1, "one").otherwise("several")
+    return o.join(t, F.col("target_id") == F.col("t_id"), "left").select("observation_id", owners.alias("owners"))
+
+
+def _alive(at: str) -> str:
+    return f"(SELECT DISTINCT {I('asset_id')} AS asset_id, provider FROM assets WHERE registered_at <= TIMESTAMPTZ '{at} 00:00:00+00' AND (withdrawn_at IS NULL OR withdrawn_at > TIMESTAMPTZ '{at} 00:00:00+00'))"
+
+
+@query("ref_SET1_inventory_change", f"SELECT coalesce(a.asset_id, b.asset_id) AS asset_id, CASE WHEN a.asset_id IS NULL THEN 'added' WHEN b.asset_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM {_alive('2025-07-01')} a FULL JOIN {_alive('2026-01-01')} b ON a.asset_id = b.asset_id WHERE a.asset_id IS NULL OR b.asset_id IS NULL OR a.provider IS DISTINCT FROM b.provider")
+def inventory_change(s, d):
+    """Assets added, removed or changed between two days."""
+
+    def alive(at: str):
+        day = F.lit(f"{at} 00:00:00+00").cast("timestamp")
+        a = table(s, d, "assets").where((F.col("registered_at") <= day) & (F.col("withdrawn_at").isNull() | (F.col("withdrawn_at") > day)))
+        return a.select(norm_id("asset_id").alias("asset_id"), "provider").distinct()
+
+    return J.snapshot_diff(alive("2025-07-01"), alive("2026-01-01"), ["asset_id"], ["provider"])

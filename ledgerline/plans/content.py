@@ -72,12 +72,6 @@ def p21(s, d):
     return R.image_headers(table(s, d, "part").select(F.col("p_partkey").alias("id"), blob.alias("content")))
 
 
-@query("ref_P29_raw_urls", "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'https://raw.test/org/' || lower(replace(p_brand, '#', '%23')) || '/' || substr(md5(p_name), 1, 8) END AS url FROM part")
-def p29(s, d):
-    url = F.format_string("https://raw.test/org/%s/%s", F.lower(F.replace("p_brand", F.lit("#"), F.lit("%23"))), F.substring(F.md5("p_name"), 1, 8))
-    return table(s, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 2 == 0, url).alias("url"))
-
-
 @query("ref_F4_plates", f"SELECT id, CAST(len(regexp_extract_all(body, '(?:^|[^0-9A-Za-z_가-힣])([0-9]{{2,3}}[가-힣]\\s?[0-9]{{4}})(?:[^0-9]|$)', 1)) AS BIGINT) AS occurrences FROM ({PLAIN}) WHERE regexp_matches(body, '(?:^|[^0-9A-Za-z_가-힣])[0-9]{{2,3}}[가-힣]\\s?[0-9]{{4}}(?:[^0-9]|$)')")
 def f4(s, d):
     from ledgerline.operators.signals import value_signals
@@ -241,21 +235,6 @@ def u11(s, d):
 # Joins, aggregations and windows that are left
 
 
-@query("ref_J5_cogroup", "SELECT l_partkey, count(*) FILTER (l_returnflag = 'A') AS owner_rows, count(*) FILTER (l_returnflag = 'R') AS discovery_rows, CASE WHEN bool_or(l_returnflag = 'A') AND bool_or(l_returnflag = 'R') THEN 'both' WHEN bool_or(l_returnflag = 'A') THEN 'owner' ELSE 'discovery' END AS side FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1")
-def j5(s, d):
-    """Two kinds of rows of one key by conditional aggregation: one shuffle, no join."""
-    a, r = F.col("l_returnflag") == "A", F.col("l_returnflag") == "R"
-    side = F.when(F.bool_or(a) & F.bool_or(r), "both").when(F.bool_or(a), "owner").otherwise("discovery")
-    return table(s, d, "lineitem").where(a | r).groupBy("l_partkey").agg(F.count_if(a).alias("owner_rows"), F.count_if(r).alias("discovery_rows"), side.alias("side"))
-
-
-@query("ref_J6_three_states", "SELECT CASE WHEN s.s_suppkey IS NULL AND p.p_partkey % 5 = 0 THEN 'NO_REFERENCE' WHEN s.s_suppkey IS NULL THEN 'NOT_FOUND_IN_SCOPE' ELSE 'RESOLVED' END AS state, count(*) AS n FROM part p LEFT JOIN supplier s ON s.s_suppkey = CASE WHEN p.p_partkey % 5 = 0 THEN NULL ELSE p.p_partkey END GROUP BY 1")
-def j6(s, d):
-    p = table(s, d, "part").select(F.when(F.col("p_partkey") % 5 != 0, F.col("p_partkey")).alias("ref"))
-    rows = p.join(table(s, d, "supplier").select("s_suppkey"), F.col("ref") == F.col("s_suppkey"), "left")
-    return rows.groupBy(F.when(F.col("ref").isNull(), "NO_REFERENCE").when(F.col("s_suppkey").isNull(), "NOT_FOUND_IN_SCOPE").otherwise("RESOLVED").alias("state")).agg(F.count("*").alias("n"))
-
-
 @query("ref_J15_tree_parity", "SELECT coalesce(a.k, b.k) AS path, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT p_partkey AS k, md5(p_name) AS h FROM part WHERE p_partkey % 7 <> 0) a FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_size = 5 THEN 'x' ELSE md5(p_name) END AS h FROM part WHERE p_partkey % 11 <> 0) b ON a.k = b.k WHERE a.h IS DISTINCT FROM b.h")
 def j15(s, d):
     p = table(s, d, "part")

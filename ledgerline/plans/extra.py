@@ -186,14 +186,6 @@ def st13(s, d):
     return once.where(F.try_parse_json("props").isNotNull()).select("digest", "uses", N.at_pointer("props", "/k", "bigint").alias("k"))
 
 
-@query("ref_F29_material_hold", f"SELECT id, len(list_filter(codes, lambda c: c NOT IN ('EMAIL_VALUE_CANDIDATE', 'RUNTIME_ENDPOINT_CANDIDATE'))) > 0 OR len(codes) = 0 AS hold FROM (SELECT id, list_filter([CASE WHEN contains(body, '@') THEN 'EMAIL_VALUE_CANDIDATE' END, CASE WHEN contains(body, '%') THEN 'AMOUNT' END], lambda x: x IS NOT NULL) AS codes FROM ({PLAIN}))")
-def f29(s, d):
-    """Whether a set of codes holds any that matters; an empty set counts as holding."""
-    codes = F.array_compact(F.array(F.when(F.contains("body", F.lit("@")), "EMAIL_VALUE_CANDIDATE"), F.when(F.contains("body", F.lit("%")), "AMOUNT")))
-    rest = F.array_except(codes, F.array(F.lit("EMAIL_VALUE_CANDIDATE"), F.lit("RUNTIME_ENDPOINT_CANDIDATE")))
-    return sql(s, d, PLAIN).select("id", ((F.size(rest) > 0) | (F.size(codes) == 0)).alias("hold"))
-
-
 # SQL for queries of other modules
 _FIT = "acc.r + x.r <= 500 AND acc.b + x.b <= 100000"
 ORACLE["ref_ST6_reservations"] = f"""SELECT user_id, v.r AS requests, v.b AS bytes, v.a AS accepted, v.j AS rejected FROM (SELECT user_id, list_reduce(list_prepend(struct_pack(r := 0::BIGINT, b := 0::BIGINT, a := 0::BIGINT, j := 0::BIGINT), list(struct_pack(r := (event_id % 50)::BIGINT, b := event_id::BIGINT, a := 0::BIGINT, j := 0::BIGINT) ORDER BY ts, event_id)),

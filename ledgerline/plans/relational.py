@@ -251,13 +251,6 @@ def t4(s, d):
 _A, _B = "SELECT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'A'", "SELECT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R'"
 
 
-@query("ref_SET1_added_removed", f"SELECT 'removed' AS side, k FROM (({_A}) EXCEPT ({_B})) UNION ALL SELECT 'added', k FROM (({_B}) EXCEPT ({_A}))")
-def set1(s, d):
-    """Both differences by one aggregation instead of two set operations."""
-    flags = table(s, d, "lineitem").where("l_returnflag in ('A', 'R')").groupBy(F.col("l_orderkey").alias("k")).agg(F.bool_or(F.col("l_returnflag") == "A").alias("a"), F.bool_or(F.col("l_returnflag") == "R").alias("r"))
-    return flags.where("a <> r").select(F.when(F.col("a"), "removed").otherwise("added").alias("side"), "k")
-
-
 @query("ref_SET6_is_permutation", "SELECT count(*) FILTER (a <> b) AS differing, count(*) AS keys FROM (SELECT o_custkey, count(*) FILTER (o_orderkey % 2 = 0) AS a, count(*) FILTER (o_orderkey % 2 = 1) AS b FROM orders GROUP BY 1)")
 def set6(s, d):
     """Multiset equality by counts of each key on both sides."""

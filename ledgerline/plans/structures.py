@@ -230,15 +230,6 @@ def a8(s, d):
     return G.gaps(kept, G.nodes(kept))
 
 
-@query("ref_G2_mirrors", "SELECT a.l_partkey, CASE WHEN a.d = b.d THEN 'same_at_observation' ELSE 'different_at_observation' END AS verdict, count(*) AS n FROM (SELECT l_partkey, l_orderkey, md5(CAST(l_quantity AS STRING)) AS d FROM lineitem WHERE l_linenumber = 1) a JOIN (SELECT l_partkey, l_orderkey, md5(CAST(l_quantity AS STRING)) AS d FROM lineitem WHERE l_linenumber = 2) b ON a.l_orderkey = b.l_orderkey GROUP BY 1, 2")
-def g2(s, d):
-    """Two representations of one address compared by digest."""
-    r = table(s, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", F.md5(F.col("l_quantity").cast("string")).alias("d"))
-    a, b = r.where("l_linenumber = 1").alias("a"), r.where("l_linenumber = 2").alias("b")
-    verdict = F.when(F.col("a.d") == F.col("b.d"), "same_at_observation").otherwise("different_at_observation")
-    return a.join(b, F.col("a.l_orderkey") == F.col("b.l_orderkey")).groupBy("a.l_partkey", verdict.alias("verdict")).agg(F.count("*").alias("n"))
-
-
 _EDGES = "SELECT DISTINCT user_id AS source, (user_id * 7 + event_id % 5) % 211 AS target FROM events"
 
 
@@ -247,12 +238,6 @@ def g3(s, d):
     return G.reach(sql(s, d, _EDGES), s.createDataFrame([(1,)], "node bigint"), 4)
 
 
-@query("ref_G8_lineage_hold", "SELECT p_partkey FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 13)")
-def g8(s, d):
-    p = table(s, d, "part")
-    return p.join(p.where("p_size = 13").select("p_brand"), "p_brand", "left_semi").select("p_partkey")
-
-
 # Generators
 
 _NAMES = "SELECT DISTINCT concat(lower(n_name), ' ', lower(c_mktsegment), ' trading group') AS name FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT * FROM (VALUES ('별빛렌터카 주식회사'), ('㈜한울 테크놀로지'), ('코리아별빛'), ('그룹'), ('유한회사 새봄 에너지 코리아'), ('푸른 harbor co ltd')) AS v(name)"
