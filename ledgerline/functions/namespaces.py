@@ -31,7 +31,22 @@ NAME_RULES = {
     "object_store": (r"^[a-z0-9](?:[a-z0-9._-]*[a-z0-9])?$", 3, 63, r"\.\."),
 }
 #: Identifier grammars. Fixed values.
-GRAMMARS = {"entity": r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,255}$", "queue": r"^[A-Za-z0-9][A-Za-z0-9._:/-]{0,255}$", "locator": r"^(?:opaque:[0-9a-f]{32}|hmac-sha256:[0-9a-f]{64})$", "digest": r"^sha256:[0-9a-f]{64}$"}
+GRAMMARS = {
+    "entity": r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,255}$",
+    "evidence": r"^[A-Za-z0-9][A-Za-z0-9_-]{0,63}:[A-Za-z0-9][A-Za-z0-9._/=-]{0,255}$",
+    "queue": r"^[A-Za-z0-9][A-Za-z0-9._:/-]{0,255}$",
+    "record": r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$",
+    "case": r"^case_[0-9a-f]{32}$",
+    "source": r"^src_[0-9a-f]{32}$",
+    "collector": r"^col_[0-9a-f]{32}$",
+    "opaque": r"^opaque:[0-9a-f]{32}$",
+    "evidence_item": r"^evd_[0-9a-f]{32}$",
+    "event": r"^evt_[0-9a-f]{32}$",
+    "sha256": r"^[0-9a-f]{64}$",
+    "digest": r"^sha256:[0-9a-f]{64}$",
+    "locator": r"^(?:opaque:[0-9a-f]{32}|hmac-sha256:[0-9a-f]{64})$",
+    "reference": r"^[A-Za-z][A-Za-z0-9_.:-]{0,159}$",
+}
 DOCUMENT_SUFFIXES = ["pdf", "doc", "docx", "xls", "xlsx", "csv", "hwp", "ppt", "pptx"]  # Fixed values
 
 

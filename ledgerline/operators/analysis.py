@@ -316,3 +316,24 @@ def analyze(captures: DataFrame, canary: str = CANARY, limits: Limits = EXACT, m
         "id", F.concat("early", F.coalesce(challenge, F.slice("early", 1, 0))).alias("signals"), "content", (structure & F.col("whole") & ~F.col("long")).alias("analysis_complete"), F.array_compact(F.array(*gaps)).alias("pending_reviews"),
         "hidden_elements", "password_inputs", "script_elements", F.col("kind").alias("kind_hint"), "categories", "reasons", F.col("linked").alias("linked_candidates"),
     )
+
+
+def semantic_review(captures: DataFrame, limits: Limits = EXACT) -> DataFrame:
+    """What the structure of each capture says of its data: one row per capture, without values.
+
+    document_type (json, html, javascript, other by content type), whether its syntax is sound, filled fields by
+    category, known sensitive fields and how many are filled, declarations and DOM writes of scripts, and what is still to
+    be reviewed. Columns of captures as in analyze().
+    """
+    from ledgerline.operators.signals import dom_flow
+
+    kind = F.lower(F.coalesce("content_type", F.lit("")))
+    type_ = F.when(kind.contains("json"), "json").when(kind.contains("html"), "html").when(kind.contains("javascript"), "javascript").otherwise("other")
+    rows = captures.where("body is not null").select("id", "body", "content_type", F.col("base_url") if "base_url" in captures.columns else F.lit("").alias("base_url"), type_.alias("document_type"))
+    flow = dom_flow(rows.select("id", "body")).withColumnRenamed("id", "f_id")
+    both = rows.drop("base_url").join(content_parts(rows, limits).withColumnRenamed("id", "p_id"), F.col("id") == F.col("p_id")).join(flow, F.col("id") == F.col("f_id"))
+    n = lambda code: F.coalesce(F.get(F.filter("fields", lambda f: f["code"] == code), F.lit(0))["count"], F.lit(0))
+    filled = F.map_from_entries(F.transform(F.filter("categories", lambda c: c["filled"] > 0), lambda c: F.struct(c["category"], c["filled"])))
+    pending = F.array_compact(F.array(F.when(F.col("document_type") == "other", "semantic_unsupported_content_type"), F.when((F.col("document_type") == "json") & F.col("json_broken"), "semantic_json_syntax_invalid"), F.when(F.array_contains("reasons", "json_node_limit"), "semantic_node_limit"), F.when(F.array_contains("reasons", "js_incomplete"), "semantic_literal_unresolved")))
+    script = F.col("document_type").isin("html", "javascript")
+    return both.select("id", "document_type", F.when(F.col("document_type") == "json", ~F.col("json_broken")).alias("syntax_valid"), filled.alias("filled_by_category"), n("SENSITIVE_FIELD_NAMES").alias("sensitive_fields"), n("SENSITIVE_VALUES_CANDIDATE").alias("sensitive_filled"), F.when(script, F.col("declarations")).alias("declarations"), F.when(script, F.col("sinks")).alias("sinks"), pending.alias("pending_reviews"))

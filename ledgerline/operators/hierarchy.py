@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.functions.bitmap import maybe_in
 from ledgerline.functions.ids import heavy_keys, norm_id, skew_join
 from ledgerline.operators.references import latest_jobs
-from ledgerline.sources.shared import counted, discard, materialize
+from ledgerline.sources.shared import counted, discard, materialize, together
 
 #: Taken while a round is written: nodes that it finished, nodes that go on.
 COUNTS = {"finished": "count_if(fresh and pointer is null)", "active": "count(pointer)"}
@@ -52,8 +50,7 @@ def _resolve(state: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
 
 
 def _finished(rounds: list[DataFrame], kind: str) -> DataFrame:
-    done = [r.where("fresh and pointer is null").select("node", F.lit(kind).alias("node_kind"), F.col("path")[0].alias("root"), F.col("depth").alias("node_depth"), "path") for r in rounds]
-    return reduce(DataFrame.unionByName, done)
+    return together(rounds).where("fresh and pointer is null").select("node", F.lit(kind).alias("node_kind"), F.col("path")[0].alias("root"), F.col("depth").alias("node_depth"), "path")
 
 
 def hierarchy(edges: DataFrame) -> DataFrame:

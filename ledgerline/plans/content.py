@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ledgerline.functions import namespaces as N
 from ledgerline.operators import content as C, joins as J, parsers as R, signals as S
+from ledgerline.plans import problems
 from ledgerline.plans.common import CAPTURES, CREDENTIAL_SQL, FIELDS, PLAIN, URLS, sql
 from ledgerline.plans.structures import _JS, _PAGES, _PATHS_JSON
 from ledgerline.sources.shared import table
@@ -93,10 +94,14 @@ def f24(s, d):
     return sql(s, d, _NM).select("id", *[N.valid_name(k, "n").alias(k) for k in N.NAME_RULES])
 
 
-@query("ref_F25_grammars", f"SELECT count(*) FILTER (regexp_matches(asset_id, '{N.GRAMMARS['entity']}')) AS assets, (SELECT count(*) FROM audit_jobs WHERE regexp_matches(asset_ref, '{N.GRAMMARS['locator']}')) AS locators FROM assets")
+_REFERENCES = "SELECT 'asset' AS kind, asset_id AS v FROM assets UNION ALL SELECT 'evidence', evidence_ref FROM observations UNION ALL SELECT 'hash', payload_hash FROM observations UNION ALL SELECT 'locator', asset_ref FROM audit_jobs UNION ALL SELECT 'dedupe', dedupe_key FROM audit_jobs UNION ALL SELECT 'result', result_ref FROM audit_results UNION ALL SELECT 'event', event_id FROM ledger_events UNION ALL SELECT 'job', job_id FROM audit_jobs"
+
+
+@query("ref_F25_grammars", "SELECT kind, count(*) AS n, " + ", ".join(f"count(*) FILTER (regexp_matches(v, '{g}')) AS {k}" for k, g in N.GRAMMARS.items()) + f" FROM ({_REFERENCES}) WHERE v IS NOT NULL GROUP BY 1")
 def f25(s, d):
-    a = table(s, d, "assets").agg(F.count_if(F.col("asset_id").rlike(N.GRAMMARS["entity"])).alias("assets"))
-    return a.crossJoin(F.broadcast(table(s, d, "audit_jobs").agg(F.count_if(F.col("asset_ref").rlike(N.GRAMMARS["locator"])).alias("locators"))))
+    """How many references of each column have which of the grammars."""
+    rows = sql(s, d, _REFERENCES).where("v is not null")
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("v").rlike(g)).alias(k) for k, g in N.GRAMMARS.items()])
 
 
 @query("ref_F27_json_pointer", "SELECT c_custkey AS id, 'x@y.test' AS email, CAST(0 AS BIGINT) AS salary, NULL::VARCHAR AS missing FROM customer")
@@ -243,11 +248,13 @@ def j15(s, d):
     return J.snapshot_diff(a, b, ["path"], ["h"])
 
 
-@query("ref_W16_strongest_k", "SELECT user_id FROM (SELECT user_id, row_number() OVER (ORDER BY p, first_at) AS r FROM (SELECT user_id, min(CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 ELSE 2 END) AS p, min(event_id) AS first_at FROM events GROUP BY 1)) WHERE r <= 25")
+@query("ref_W16_strongest_k", f"WITH a AS (SELECT split_part(repository, '/', 1) AS account, min(CASE ownership_status WHEN 'confirmed' THEN 0 WHEN 'pending' THEN 1 ELSE 2 END) AS p, min((record_ref, node_path)) AS first_at FROM ({problems.ORACLE['p1_repositories']}) WHERE repository IS NOT NULL GROUP BY 1), r AS (SELECT account, row_number() OVER (ORDER BY p, first_at, account) AS n FROM a) SELECT account, n AS position FROM r WHERE n <= 40")
 def w16(s, d):
-    """The 25 accounts with the strongest evidence, ties by first arrival: a top-k report."""
-    p = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "signup", 1).otherwise(2)
-    return table(s, d, "events").groupBy("user_id").agg(F.min(p).alias("p"), F.min("event_id").alias("first_at")).orderBy("p", "first_at").limit(25).select("user_id")
+    """The 40 accounts with the strongest evidence, ties by first arrival: a top-k report. What a stronger one displaces stays out."""
+    p = F.when(F.col("ownership_status") == "confirmed", 0).when(F.col("ownership_status") == "pending", 1).otherwise(2)
+    r = problems.p1_typed(s, d, "repositories").where("repository is not null").groupBy(F.split_part("repository", F.lit("/"), F.lit(1)).alias("account"))
+    best = r.agg(F.min(p).alias("p"), F.min(F.struct("record_ref", "node_path")).alias("first_at")).orderBy("p", "first_at", "account").limit(40)
+    return best.select("account", F.row_number().over(W.orderBy("p", "first_at", "account")).cast("bigint").alias("position"))
 
 
 @query("ref_T3_sorted_lists", "SELECT c_nationkey, array_to_string(list(c_custkey ORDER BY c_custkey), ',') AS customers FROM customer WHERE c_acctbal < -900 GROUP BY 1")

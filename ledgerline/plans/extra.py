@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window as W, functions as F
 
+from ledgerline.functions.ids import norm_id
 from ledgerline.functions import namespaces as N, patterns as P, text as X, urls as U
 from ledgerline.operators import closure, content as C, parsers as R
 from ledgerline.plans import problems, structures
@@ -121,20 +124,27 @@ def s17(s, d):
     return rows.groupBy("id").agg(F.countDistinct("sha").alias("commits"), F.count_if(F.col("sha").isNull()).alias("rejected"))
 
 
-@query("ref_K4_summary", "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(DISTINCT source) FROM documents) AS sources, (SELECT CAST(sum(n_chars) AS BIGINT) FROM documents) AS chars, (SELECT count(*) FROM documents WHERE text IS NULL OR text = '') AS empty")
+_LAST_STATES = f"(SELECT state FROM (SELECT state, row_number() OVER (PARTITION BY {I('job_id')} ORDER BY updated_at DESC, state DESC) AS r FROM audit_jobs WHERE {I('job_id')} IS NOT NULL) WHERE r = 1)"
+
+
+@query("ref_K4_summary", f"SELECT 'jobs' AS section, state AS item, count(*) AS n FROM {_LAST_STATES} GROUP BY 2 UNION ALL SELECT 'findings', status, count(*) FROM (SELECT DISTINCT {I('finding_id')}, status FROM findings) GROUP BY 2 UNION ALL SELECT 'runs', coalesce(reason, 'running'), count(*) FROM (SELECT DISTINCT {I('run_id')}, reason FROM audit_runs) GROUP BY 2 UNION ALL SELECT 'channels', state, count(*) FROM ({problems.ORACLE['p1_channels']}) GROUP BY 2 UNION ALL SELECT 'signals', code, count(*) FROM ({problems.ORACLE['p1_signals']}) GROUP BY 2 UNION ALL SELECT 'documents', doc_kind, count(*) FROM documents GROUP BY 2")
 def k4(s, d):
-    t = table(s, d, "documents")
-    return t.agg(F.count("*").alias("documents"), F.countDistinct("source").alias("sources"), F.sum("n_chars").alias("chars"), F.count_if(F.coalesce(F.length("text"), F.lit(0)) == 0).alias("empty"))
+    """The report without values: how many of what there is, section by section."""
+    from ledgerline.operators.references import latest_jobs
+
+    channels, signals = problems.typed(s, d, "channels", "signals")
+    parts = {"jobs": latest_jobs(table(s, d, "audit_jobs"), "state").select("state"), "findings": table(s, d, "findings").select(norm_id("finding_id").alias("k"), "status").distinct().select("status"), "runs": table(s, d, "audit_runs").select(norm_id("run_id").alias("k"), "reason").distinct().select(F.coalesce("reason", F.lit("running"))), "channels": channels.select("state"), "signals": signals.select("code"), "documents": table(s, d, "documents").select("doc_kind")}
+    rows = [df.toDF("item").groupBy("item").agg(F.count(F.lit(1)).alias("n")).select(F.lit(section).alias("section"), "item", "n") for section, df in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b), rows)
 
 
 _TOP = "(SELECT job_id FROM found ORDER BY job_id LIMIT 100)"
 
 
-@query("ref_S7_manifest_closure", problems._P4 + f"SELECT DISTINCT unnest(string_split(job_path, '/')) AS job_id FROM found WHERE job_id IN {_TOP}")
+@query("ref_S7_manifest_closure", problems._P4 + f"SELECT DISTINCT unnest(path) AS job_id FROM found WHERE job_id IN {_TOP}")
 def s7(s, d):
     """The first 100 entries of a manifest with all their parents: the cap is the feature."""
-    tree = materialize(problems.p4_found(s, d))
-    return tree.orderBy("job_id").limit(100).select(F.explode(F.split("job_path", "/")).alias("job_id")).distinct()
+    return problems._tree(s, d).orderBy("node").limit(100).select(F.explode("path").alias("job_id")).distinct()
 
 
 @query("ref_N4_search_queries", f"SELECT DISTINCT name, q FROM (SELECT name, name AS q FROM ({structures._NAMES}) UNION ALL SELECT name, string_split_regex(name, '[^a-z0-9]+')[1] || ' ' || f FROM ({structures._NAMES}), (VALUES ('sales'), ('admin')) v(f))")
@@ -156,15 +166,14 @@ def p25(s, d):
     return sql(s, d, _FAIL).groupBy(F.coalesce(F.try_element_at(codes, F.col("failure")), F.lit("transport_error")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-_MAGIC = "SELECT p_partkey AS id, concat('f', CASE CAST(p_size % 4 AS INT) WHEN 0 THEN '.svg' WHEN 1 THEN '.txt' WHEN 2 THEN '.bin' ELSE '' END) AS name, CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN '89504e470d0a1a0a00' WHEN 1 THEN '47494638396100' ELSE '68656c6c6f' END AS head FROM part"
+_MAGIC = "SELECT p_partkey AS id, concat('f', CASE CAST(p_size % 5 AS INT) WHEN 0 THEN '.svg' WHEN 1 THEN '.txt' WHEN 2 THEN '.pdf' WHEN 3 THEN '.JPG' ELSE '' END) AS name, CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN '89504e470d0a1a0a00' WHEN 1 THEN '47494638396100' WHEN 2 THEN '504b030414' WHEN 3 THEN '68650078' WHEN 4 THEN '203c7376672078' ELSE '68656c6c6f' END AS head FROM part"
 
 
-@query("ref_C36_file_routing", f"SELECT route, count(*) AS n FROM (SELECT CASE WHEN starts_with(head, '89504e470d0a1a0a') OR starts_with(head, '474946383961') THEN 'image' WHEN ends_with(name, '.svg') THEN 'svg' WHEN ends_with(name, '.bin') THEN 'unsupported_binary' ELSE 'text' END AS route FROM ({_MAGIC})) GROUP BY 1")
+@query("ref_C36_file_routing", f"SELECT id, CASE WHEN ends_with(name, '.JPG') OR starts_with(head, '89504e470d0a1a0a') OR starts_with(head, '474946383961') THEN 'image' WHEN ends_with(name, '.pdf') OR starts_with(head, '504b0304') OR head = '68650078' THEN 'unsupported_binary' WHEN ends_with(name, '.svg') OR head = '203c7376672078' THEN 'svg' ELSE 'text' END AS route FROM ({_MAGIC})")
 def c36(s, d):
-    """Route of a file by its first bytes, then by its suffix."""
-    head = lambda x: F.startswith("head", F.lit(x))
-    route = F.when(head("89504e470d0a1a0a") | head("474946383961"), "image").when(F.endswith("name", F.lit(".svg")), "svg").when(F.endswith("name", F.lit(".bin")), "unsupported_binary").otherwise("text")
-    return sql(s, d, _MAGIC).groupBy(route.alias("route")).agg(F.count("*").alias("n"))
+    from ledgerline.operators.revisions import file_route
+
+    return sql(s, d, _MAGIC).select("id", file_route("name", F.unhex("head")).alias("route"))
 
 
 @query("ref_K5_evidence_manifest", "SELECT doc_id, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents WHERE text IS NOT NULL")
@@ -222,3 +231,21 @@ def analysis_by_type(s, d):
     found = analyze(rows)
     codes = found.select("id", F.explode(F.transform("signals", lambda x: x["code"])).alias("code")).where(F.col("code").isin(list(_PLAIN_CODES)))
     return codes.join(rows.select("id", "content_type"), "id").groupBy("content_type", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ref_C30_semantic_review", "SELECT c_custkey AS id, 'json' AS document_type, true AS syntax_valid, CAST(4 AS BIGINT) AS sensitive_fields, CAST(CASE WHEN c_custkey % 4 IN (2, 3) THEN 3 ELSE 2 END AS BIGINT) AS sensitive_filled FROM customer")
+def semantic(s, d):
+    """Sensitive fields of JSON bodies through the semantic review; the other types are tested by vectors."""
+    from ledgerline.operators.analysis import semantic_review
+
+    found = semantic_review(sql(s, d, structures._JS).withColumn("content_type", F.lit("application/json")))
+    return found.select("id", "document_type", "syntax_valid", "sensitive_fields", "sensitive_filled")
+
+
+@query("ref_C27_C14_page_profiles")
+def page_profiles(s, d):
+    """Data categories of every capture with what speaks for them, by count of evidence."""
+    from ledgerline.operators.analysis import analyze
+
+    rows = analyze(sql(s, d, CAPTURES)).select("id", "kind_hint", F.explode("categories").alias("c")).select("id", "kind_hint", "c.*")
+    return rows.select("id", "kind_hint", "category", "candidates", "filled", F.array_join("bases", ",").alias("bases"), F.when(F.size("bases") > 1, "medium").otherwise("low").alias("confidence"))

@@ -85,6 +85,11 @@ def counted(df: DataFrame) -> dict[str, int]:
     return df._ledgerline_counts
 
 
+def together(tables: list[DataFrame]) -> DataFrame:
+    """All rows of tables of one schema that materialize() wrote, in one scan."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t._ledgerline_path for t in tables])
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that materialize() wrote and that nothing reads any more."""
     path = getattr(df, "_ledgerline_path", None)

@@ -104,3 +104,15 @@ def test_nulls_and_empty(spark):
     assert analyze(spark.createDataFrame([], schema)).count() == 0
     rows = analyze(spark.createDataFrame([(1, None, "text/html"), (2, "plain", None), (3, "<div>x</div>", None)], schema)).collect()
     assert sorted((r.id, r.content) for r in rows) == [(2, "NOT_INSPECTED"), (3, "NOT_INSPECTED")]
+
+
+def test_semantic_review(spark):
+    from ledgerline.operators.analysis import semantic_review
+
+    rows = [(1, '{"price": 3, "email": "x", "salary": null}', "application/json"), (2, "{", "application/json"), (3, '<script>const rows = [1]; el.innerHTML = rows;</script>', "text/html"), (4, "x", "text/plain"), (5, "const a = {cost: 4}; const b = [f()];", "text/javascript"), (6, None, "text/html")]
+    got = {r.id: r for r in semantic_review(spark.createDataFrame(rows, "id bigint, body string, content_type string")).collect()}
+    assert (got[1].syntax_valid, got[1].filled_by_category, got[1].sensitive_fields, got[1].sensitive_filled) == (True, {"pricing": 1, "customer_contact": 1}, 2, 1)
+    assert got[2].syntax_valid is False and got[2].pending_reviews == ["semantic_json_syntax_invalid"]
+    assert (got[3].declarations, got[3].sinks, got[3].pending_reviews) == (1, 1, [])
+    assert got[4].pending_reviews == ["semantic_unsupported_content_type"] and got[5].filled_by_category == {"margin": 1} and got[5].pending_reviews == ["semantic_literal_unresolved"]
+    assert set(got) == {1, 2, 3, 4, 5}
