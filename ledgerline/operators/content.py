@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerline.functions import patterns as P
 from ledgerline.functions.ids import as_col
+from ledgerline.functions.namespaces import DOCUMENT_SUFFIXES
 from ledgerline.functions.text import has, redact, value_state
 from ledgerline.operators.parsers import _table, html_regions, js_literals, json_nodes, text_chunks
 
@@ -185,13 +186,17 @@ def redacted_json(captures: DataFrame) -> DataFrame:
 def references(captures: DataFrame, limit: int = 256) -> DataFrame:
     """Literal references of html and script bodies: id, relation, url; each once, at most `limit` per body.
 
-    The first in order of the page are kept, links before fetches. A body with more gets a row more that tells of the
+    The first in order of the page are kept, links before fetches, these before document names in scripts. A body with more gets a row more that tells of the
     cut: relation `reference_limit`, url null.
     """
     page = html_regions(captures)
     links = page.select("id", F.posexplode("links").alias("at", "l")).select("id", F.lit(0).alias("part"), "at", F.col("l.kind").alias("relation"), F.col("l.url").alias("url"))
     fetched = page.select("id", F.posexplode(F.regexp_extract_all(F.array_join("scripts", "\n"), F.lit(P.FETCH_LITERAL), F.lit(1))).alias("at", "url")).select("id", F.lit(1).alias("part"), "at", F.lit("fetch_literal").alias("relation"), "url")
-    both = links.unionByName(fetched).groupBy("id", "relation", "url").agg(F.min(F.struct("part", "at")).alias("first"))
+    # texts in scripts that end like documents, with escaped slashes taken back
+    literal = "[\"'`]([^\"'`\\s]{1,2048}\\.(?i:" + "|".join(DOCUMENT_SUFFIXES) + ")(?:[?#][^\"'`\\s]*)?)[\"'`]"
+    texts = F.transform(F.regexp_extract_all(F.array_join("scripts", "\n"), F.lit(literal), F.lit(1)), lambda x: F.regexp_replace(F.replace(x, F.lit("\\/"), F.lit("/")), r"(?i)\\u002f|\\x2f", "/"))
+    documents = page.select("id", F.posexplode(texts).alias("at", "url")).select("id", F.lit(2).alias("part"), "at", F.lit("document_literal").alias("relation"), "url")
+    both = links.unionByName(fetched).unionByName(documents).groupBy("id", "relation", "url").agg(F.min(F.struct("part", "at")).alias("first"))
     kept = both.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("first"))).where(F.col("r") <= limit + 1)
     over = F.col("r") > limit
     return kept.select("id", F.when(over, "reference_limit").otherwise(F.col("relation")).alias("relation"), F.when(~over, F.col("url")).alias("url"))

@@ -78,7 +78,7 @@ def stems(names: DataFrame) -> DataFrame:
     one = lambda why, stem: F.struct(F.lit(why).alias("why"), stem.alias("stem"))
     several = F.size("w") > 1
     latin = [one("name", F.array_join("w", "")), one("initialism", F.when(several, F.array_join(F.transform("w", lambda x: F.left(x, F.lit(1))), "")))]
-    splits = F.when(several, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda n: one("compound", F.concat(F.array_join(F.slice("w", 1, n), ""), F.lit("-"), F.array_join(F.slice("w", n + 1, F.lit(1000)), "")))))
+    splits = F.when(several, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda n: one("compound", F.concat(F.array_join(F.slice("w", 1, n), ""), F.lit("-"), F.array_join(F.slice("w", n + 1, F.size("w")), "")))))
     each = F.transform("w", lambda x, i: F.struct(F.when(i == 0, "leading-word").otherwise("word").alias("why"), x.alias("stem")))
     korean = [one("hangul-original", romanize("h")), one("hangul-original-initials", initials("h")), one("hangul-stem", romanize("head")), one("hangul-stem-initials", initials("head")), one("hangul-tail", romanize("tail")), one("hangul-whole", romanize("bare")), one("hangul-whole-initials", initials("bare"))]
     empty = F.array().cast("array<struct<why:string,stem:string>>")

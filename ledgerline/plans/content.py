@@ -8,7 +8,7 @@ from ledgerline.functions import namespaces as N
 from ledgerline.operators import content as C, joins as J, parsers as R, signals as S
 from ledgerline.plans import problems
 from ledgerline.plans.common import CAPTURES, CREDENTIAL_SQL, FIELDS, PLAIN, URLS, sql
-from ledgerline.plans.structures import _JS, _PAGES, _PATHS_JSON
+from ledgerline.plans.structures import _JS, _MADE_PAGES, _PAGES, _PATHS_JSON
 from ledgerline.sources.shared import table
 
 QUERIES, ORACLE = {}, {}
@@ -50,12 +50,14 @@ def p16(s, d):
     return sql(s, d, FIELDS).groupBy("field").agg(F.count("*").alias("n")).select("field", C.first_category("field").alias("category"), "n")
 
 
-@query("ref_P18_kind_hint", f"SELECT kind, count(*) AS n FROM (SELECT CASE WHEN content_type = 'text/html' THEN CASE WHEN regexp_matches(lower(body), '<table|\\b(?:dashboard|chart|analytics|metric)\\b') THEN 'dashboard' ELSE 'webpage' END WHEN contains(content_type, 'javascript') OR regexp_matches(body, '\\b(?:function|const|let|import|export)\\b') THEN 'source_code' ELSE 'unknown' END AS kind FROM ({CAPTURES}) WHERE body IS NOT NULL) GROUP BY 1")
+_IS_PAGE = "(content_type = 'text/html' OR regexp_matches(body, '(?i)<(?:html|body|input|script|form|table|div|section)\\b'))"
+
+
+@query("ref_P18_kind_hint", f"SELECT kind, count(*) AS n FROM (SELECT CASE WHEN json_valid(body) AND regexp_matches(body, '^\\s*[\\[{{]') THEN 'data_file' WHEN {_IS_PAGE} THEN CASE WHEN regexp_matches(lower(body), '<table[\\s/>]|\\b(?:dashboard|chart|analytics|metric)\\b') THEN 'dashboard' WHEN regexp_matches(lower(body), '<form[\\s/>]') AND regexp_matches(lower(body), '\\b(?:calculate|calculator|estimate|quote)\\b') THEN 'calculator' ELSE 'webpage' END WHEN contains(content_type, 'javascript') OR regexp_matches(body, '\\b(?:function|const|let|import|export)\\b') THEN 'source_code' ELSE 'unknown' END AS kind FROM ({CAPTURES}) WHERE body IS NOT NULL) GROUP BY 1")
 def p18(s, d):
-    page = F.when(F.lower("body").rlike(r"<table|\b(?:dashboard|chart|analytics|metric)\b"), "dashboard").otherwise("webpage")
-    code = F.contains("content_type", F.lit("javascript")) | F.col("body").rlike(r"\b(?:function|const|let|import|export)\b")
-    kind = F.when(F.col("content_type") == "text/html", page).when(code, "source_code").otherwise("unknown")
-    return sql(s, d, CAPTURES).where("body is not null").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    from ledgerline.operators.analysis import analyze
+
+    return analyze(sql(s, d, CAPTURES)).groupBy(F.col("kind_hint").alias("kind")).agg(F.count("*").alias("n"))
 
 
 _KINDS = " ".join(f"WHEN x IN {tuple(v)!r} THEN '{k}'" for k, v in N.TREE_KINDS.items())
@@ -129,7 +131,7 @@ def depth(s, d):
 
 @query("ref_C9_C20_page_signals", "SELECT -1 - p_partkey AS id, 'HIDDEN_DOM_PRESENT LOGIN_FORM_INDICATOR RUNTIME_ENDPOINT_CANDIDATE' AS codes FROM part")
 def c9(s, d):
-    return C.page_signals(sql(s, d, _PAGES)).where("id < 0").select("id", F.array_join("codes", " ").alias("codes"))
+    return C.page_signals(sql(s, d, _MADE_PAGES)).select("id", F.array_join("codes", " ").alias("codes"))
 
 
 @query("ref_C9_C20_page_signals_all")
@@ -141,7 +143,7 @@ def c9_all(s, d):
 # The value, secret and verdict rules over all captures; the queries of these names without _all leave the pages out.
 
 
-@query("ref_C1_C25_verdicts_all")
+@query("ref_C2_C25_verdicts_all")
 def verdicts_all(s, d):
     captures = sql(s, d, CAPTURES)
     rows = S.marker_signals(sql(s, d, PLAIN)).unionByName(C.page_verdicts(captures))
@@ -189,7 +191,7 @@ def c31(s, d):
 
 @query("ref_C32_gate_flags", "SELECT -1 - p_partkey AS id, 'commission' AS business_words, true AS server_call, false AS login_endpoint, true AS password_input FROM part")
 def c32(s, d):
-    return C.gate_flags(sql(s, d, _PAGES)).where("id < 0").withColumn("business_words", F.array_join("business_words", ","))
+    return C.gate_flags(sql(s, d, _MADE_PAGES)).withColumn("business_words", F.array_join("business_words", ","))
 
 
 @query("ref_C32_gate_flags_all")
@@ -215,7 +217,7 @@ def a14(s, d):
 
 @query("ref_U6_references", "SELECT -1 - p_partkey AS id, 'a' AS relation, '/p/' || CAST(p_partkey AS STRING) AS url FROM part UNION ALL SELECT -1 - p_partkey, 'fetch_literal', '/api' FROM part")
 def u6(s, d):
-    return C.references(sql(s, d, _PAGES)).where("id < 0")
+    return C.references(sql(s, d, _MADE_PAGES))
 
 
 @query("ref_U6_references_all")
@@ -257,13 +259,8 @@ def w16(s, d):
     return best.select("account", F.row_number().over(W.orderBy("p", "first_at", "account")).cast("bigint").alias("position"))
 
 
-@query("ref_T3_sorted_lists", "SELECT c_nationkey, array_to_string(list(c_custkey ORDER BY c_custkey), ',') AS customers FROM customer WHERE c_acctbal < -900 GROUP BY 1")
+@query("ref_T3_sorted_lists", "SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS position, c_custkey FROM customer")
 def t3(s, d):
-    return table(s, d, "customer").where("c_acctbal < -900").groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_list("c_custkey")), ",").alias("customers"))
-
-
-@query("ref_T3_sorted_lists_all", "SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS position, c_custkey FROM customer")
-def t3_all(s, d):
     """All customers; the order is a position per key instead of an array, whose size has no bound."""
     at = F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey"))
     return table(s, d, "customer").select("c_nationkey", at.alias("position"), "c_custkey")

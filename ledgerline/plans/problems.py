@@ -29,6 +29,12 @@ def p1_variants(s: SparkSession, d: str) -> DataFrame:
     return nested.variants(_nodes(s, d))
 
 
+def p1_signatures(s: SparkSession, d: str) -> DataFrame:
+    """How many elements of each kind have which own fields of which codes (n: null)."""
+    fields = F.transform(F.map_entries("own"), lambda e: F.concat(e["key"], F.lit(":"), F.coalesce(F.left(e["value"], F.lit(1)), F.lit("n"))))
+    return _nodes(s, d).groupBy("node_kind", F.array_join(F.array_sort(fields), ",").alias("signature")).agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
 _COUNT = ["bigint", "double", "string"]
 #: Fields of the kinds with the types they come in. Fixed values.
 FIELDS = {
@@ -104,7 +110,7 @@ def p5_batches(s: SparkSession, d: str) -> DataFrame:
     return changes.ledger_state(events.where(~odd), base).select("entity_id", "field_name", "sequence")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_variants, p2_found, p2_counts, p3_found, p3_activity, p4_found, p4_descendants, p4_subtrees, p5_found, p5_state, p5_batches)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_variants, p1_signatures, p2_found, p2_counts, p3_found, p3_activity, p4_found, p4_descendants, p4_subtrees, p5_found, p5_state, p5_batches)}
 QUERIES |= {f"p1_{k}": partial(p1_typed, kind=k) for k in nested.LIST_FIELDS}
 
 _ID = "nullif(lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')), '')"
@@ -166,6 +172,7 @@ w AS (SELECT ref, {_OPEN.format('j')} AS v, '' AS path, '' AS parent, NULL::VARC
   WHERE json_type(child) IN ('OBJECT', 'ARRAY')),
 found AS (SELECT ref AS record_ref, kind AS node_kind, parent AS parent_path, regexp_extract(parent, '([a-z]+)\\[[0-9]+\\]$', 1) AS parent_kind, path AS node_path, v FROM w WHERE kind IS NOT NULL AND json_type(v) = 'OBJECT')
 """
+_AT = "json_extract(v, '$.\"' || k || '\"')"
 _CASES = {"boolean": "WHEN 'BOOLEAN' THEN CAST({0} AS BOOLEAN)", "bigint": "WHEN 'BIGINT' THEN CAST({0} AS BIGINT) WHEN 'UBIGINT' THEN CAST({0} AS BIGINT)", "double": "WHEN 'DOUBLE' THEN CAST({0} AS DOUBLE)", "string": "WHEN 'VARCHAR' THEN {0} ->> '$' WHEN 'ARRAY' THEN CAST({0} AS VARCHAR) WHEN 'OBJECT' THEN CAST({0} AS VARCHAR)"}
 
 
@@ -178,6 +185,9 @@ def _typed_sql(kind: str) -> str:
 
 ORACLE = {
     **{f"p1_{k}": _typed_sql(k) for k in nested.LIST_FIELDS},
+    "p1_signatures": _P1
+    + f"""SELECT node_kind, signature, count(*) AS n_nodes FROM (SELECT node_kind, array_to_string(list_sort(list_filter(list_transform(json_keys(v), lambda k: CASE WHEN k IN {_FIELDS} AND json_type({_OPEN.format(_AT)}) IN ('ARRAY', 'OBJECT') THEN NULL
+  ELSE k || ':' || CASE json_type({_OPEN.format(_AT)}) WHEN 'NULL' THEN 'n' WHEN 'BOOLEAN' THEN 'b' WHEN 'BIGINT' THEN 'i' WHEN 'UBIGINT' THEN 'i' WHEN 'DOUBLE' THEN 'f' WHEN 'VARCHAR' THEN 't' ELSE 'j' END END), lambda x: x IS NOT NULL)), ',') AS signature FROM found) GROUP BY 1, 2""",
     "p1_found": _P1 + "SELECT record_ref, node_kind, parent_path, node_path FROM found",
     "p5_state": _P5.replace("found AS (", "unused AS (") + "SELECT entity_id, field_name, max(sequence) AS sequence, arg_max(struct_pack(v := json_extract_string(payload_json, '$.\"' || field_name || '\"')), sequence).v AS value FROM (SELECT f.*, e.payload_json FROM fields f JOIN ev e USING (entity_id, sequence)) JOIN since USING (entity_id) WHERE sequence >= s GROUP BY 1, 2",
     "p2_found": _P2 + "SELECT * FROM found WHERE reason IS NOT NULL",

@@ -103,18 +103,9 @@ def j9(s, d):
 
 @query(
     "ref_J11_runs_at_observation",
-    f"WITH r AS (SELECT DISTINCT {I('run_id')} AS run_id, started_at, ended_at FROM audit_runs WHERE ended_at > started_at) SELECT o.observation_id, r.run_id FROM {_OB} o JOIN r ON o.observed_at >= r.started_at AND o.observed_at < r.ended_at WHERE o.access = 'BODY_SERVED'",
-)
-def j11(s, d):
-    r = table(s, d, "audit_runs").where("ended_at > started_at").select(norm_id("run_id").alias("run_id"), "started_at", "ended_at").distinct()
-    return J.interval_join(observations(s, d).where("access = 'BODY_SERVED'"), "observed_at", r, "started_at", "ended_at").select("observation_id", "run_id")
-
-
-@query(
-    "ref_J11_runs_at_observation_all",
     f"WITH r AS (SELECT DISTINCT {I('run_id')} AS run_id, started_at, ended_at FROM audit_runs WHERE ended_at > started_at) SELECT o.observation_id, r.run_id FROM {_OB} o JOIN r ON o.observed_at >= r.started_at AND o.observed_at < r.ended_at",
 )
-def j11_all(s, d):
+def j11(s, d):
     """All observations, whatever their access."""
     r = table(s, d, "audit_runs").where("ended_at > started_at").select(norm_id("run_id").alias("run_id"), "started_at", "ended_at").distinct()
     return J.interval_join(observations(s, d), "observed_at", r, "started_at", "ended_at").select("observation_id", "run_id")
@@ -164,9 +155,9 @@ def a4(s, d):
 
 @query("ref_A9_snapshot_id", "SELECT scope_id, sha256(string_agg(h, '' ORDER BY h)) AS snapshot_id, count(*) AS n FROM (SELECT lower(trim(scope_id)) AS scope_id, sha256(concat(lower(trim(asset_id)), '|', coalesce(provider, ''))) AS h FROM assets) GROUP BY 1")
 def a9(s, d):
-    """Digest of a scope's rows that doesn't depend on their order; only digests are gathered."""
+    """Digest of a scope's rows that doesn't depend on their order; rows go past in order."""
     rows = table(s, d, "assets").select(F.lower(F.trim("scope_id")).alias("scope_id"), F.sha2(F.concat(F.lower(F.trim("asset_id")), F.lit("|"), F.coalesce("provider", F.lit(""))), 256).alias("h"))
-    return rows.groupBy("scope_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("snapshot_id"), F.count("*").alias("n"))
+    return Q.ordered_digest(rows, "scope_id", "h").withColumnRenamed("digest", "snapshot_id")
 
 
 _EV = "SELECT doc_id, source, lang, CASE WHEN doc_id % 5 IN (0, 1) THEN 'relevant' WHEN doc_id % 5 = 2 THEN 'known_false_positive' ELSE 'unlabeled_unknown' END AS label FROM documents"

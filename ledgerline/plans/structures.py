@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.functions import patterns as P, text as X
+from ledgerline.functions.ids import norm_id
 from ledgerline.operators import changes, generators as N, graph as G, parsers as R
 from ledgerline.plans import problems
 from ledgerline.plans.common import sql
+from ledgerline.plans.relational import I
 from ledgerline.sources import files
 from ledgerline.sources.shared import materialize, new_path, table
 from ledgerline.streaming import ledger
@@ -82,7 +84,9 @@ def k3(s, d):
 
 # Parsers
 
-_PAGES = "SELECT doc_id AS id, text AS body FROM documents WHERE doc_kind = 'page-capture' UNION ALL SELECT -1 - p_partkey AS id, concat('<html><body><p>Part ', p_name, '</p><div hidden><p>', p_brand, '</p></div><a href=\"/p/', CAST(p_partkey AS STRING), '\">x</a><input type=\"password\" value=\"v\"><script>var rows = [{\"a\": ', CAST(p_size AS STRING), '}]; fetch(\"/api\")</script><table><tr><th>commission rate</th></tr><tr><td>', CAST(p_size AS STRING), '%</td></tr></table></body></html>') AS body FROM part"
+#: Pages made from parts, whose signals are known, and all pages, with the documents' captures.
+_MADE_PAGES = "SELECT -1 - p_partkey AS id, concat('<html><body><p>Part ', p_name, '</p><div hidden><p>', p_brand, '</p></div><a href=\"/p/', CAST(p_partkey AS STRING), '\">x</a><input type=\"password\" value=\"v\"><script>var rows = [{\"a\": ', CAST(p_size AS STRING), '}]; fetch(\"/api\")</script><table><tr><th>commission rate</th></tr><tr><td>', CAST(p_size AS STRING), '%</td></tr></table></body></html>') AS body FROM part"
+_PAGES = f"SELECT doc_id AS id, text AS body FROM documents WHERE doc_kind = 'page-capture' UNION ALL {_MADE_PAGES}"
 
 
 @query("ref_U1_html_counters", "SELECT -1 - p_partkey AS id, 1 AS hidden_elements, 1 AS password_inputs, 1 AS script_elements, 1 AS n_links, p_brand AS hidden FROM part UNION ALL SELECT doc_id, 0, 0, 0, 0, '' FROM documents WHERE doc_kind = 'page-capture' AND text IS NOT NULL")
@@ -100,7 +104,7 @@ def c21(s, d):
 def c33(s, d):
     """Tables of pages whose head row speaks of commission, with the number of cells that hold an amount."""
     t = R.html_regions(sql(s, d, _PAGES)).select("id", F.explode("tables").alias("t")).where(F.array_join(F.flatten(F.slice("t", 1, 2)), " ").rlike(P.java("수수료|커미션|commission|incentive", True)))
-    cells = F.flatten(F.slice("t", 2, 1000))
+    cells = F.flatten(F.slice("t", F.lit(2), F.size("t")))
     return t.select("id", F.size("t").alias("n_rows"), F.size(F.filter(cells, lambda c: c.rlike(P.java(P.AMOUNT, True)))).alias("filled"))
 
 
@@ -201,7 +205,7 @@ conf AS (SELECT scope_id, source_id, source_record_id, count(*) FILTER (c <> c0)
 nodes AS (SELECT scope_id, locator_ref, CASE WHEN bool_or(conflicts > 0) THEN 'disputed' WHEN bool_or(source_kind = 'owner_inventory' AND ownership_evidence IS NOT NULL) THEN 'evidence_linked' ELSE 'ownership_pending' END AS ownership_state,
  CASE WHEN bool_or(existence_state = 'observed') THEN 'observed' ELSE 'candidate' END AS existence_state, CASE WHEN bool_or(business_relevance = 'related') THEN 'related' WHEN bool_or(business_relevance = 'low') THEN 'low' ELSE 'unknown' END AS business_relevance,
  CASE WHEN bool_or(source_kind = 'owner_inventory' AND ownership_evidence IS NOT NULL AND publication_approval = 'approved') THEN 'approved' ELSE 'unknown' END AS publication_approval,
- array_to_string(list(DISTINCT asset_id ORDER BY asset_id), ',') AS asset_ids, count(*) AS source_record_count, bool_or(source_kind = 'public_discovery') AS discovered, bool_or(source_kind = 'owner_inventory' AND ownership_evidence IS NOT NULL) AS owned FROM kept GROUP BY 1, 2) """
+ count(DISTINCT asset_id) AS n_assets, count(*) AS source_record_count, bool_or(source_kind = 'public_discovery') AS discovered, bool_or(source_kind = 'owner_inventory' AND ownership_evidence IS NOT NULL) AS owned FROM kept GROUP BY 1, 2) """
 
 
 def _kept(s, d):
@@ -210,7 +214,12 @@ def _kept(s, d):
 
 @query("ref_G1_A6_graph_nodes", _KEPT + "SELECT * EXCLUDE (discovered, owned) FROM nodes")
 def g1(s, d):
-    return G.nodes(_kept(s, d)).drop("discovered", "owned").withColumn("asset_ids", F.array_join("asset_ids", ","))
+    return G.nodes(_kept(s, d)).drop("discovered", "owned")
+
+
+@query("ref_G1_node_assets", _KEPT + "SELECT DISTINCT scope_id, locator_ref, asset_id FROM kept WHERE asset_id IS NOT NULL")
+def g1_assets(s, d):
+    return G.node_assets(_kept(s, d))
 
 
 @query("ref_G1_links", _KEPT + "SELECT k.scope_id, source_id, source_record_id, k.locator_ref, CASE WHEN conflicts > 0 THEN 'disputed' WHEN source_kind = 'owner_inventory' AND ownership_evidence IS NOT NULL THEN ownership_state ELSE 'candidate_signal' END AS link_state FROM kept k JOIN nodes n ON k.scope_id = n.scope_id AND k.locator_ref = n.locator_ref")
@@ -238,6 +247,22 @@ def g3(s, d):
     return G.reach(sql(s, d, _EDGES), s.createDataFrame([(1,)], "node bigint"), 4)
 
 
+_REDIRECTS = f"SELECT source, target, source % 3 = 0 AS redirect FROM ({_EDGES})"
+_REACHED = f"WITH RECURSIVE e AS ({_REDIRECTS}), r AS (SELECT 1::BIGINT AS node, 0::BIGINT AS distance UNION SELECT e.target, r.distance + CASE WHEN e.redirect THEN 0 ELSE 1 END FROM r JOIN e ON r.node = e.source WHERE r.distance + CASE WHEN e.redirect THEN 0 ELSE 1 END <= 4), d AS (SELECT node, min(distance) AS distance FROM r WHERE node IS NOT NULL GROUP BY 1) "
+
+
+@query("ref_G4_redirects", _REACHED + "SELECT node, distance FROM d")
+def g4(s, d):
+    """Links of every third node are redirects, which keep the distance."""
+    return G.reach(sql(s, d, _REDIRECTS), s.createDataFrame([(1,)], "node bigint"), 4)
+
+
+@query("ref_G3_request_budget", _REACHED + "SELECT node, distance FROM d ORDER BY distance, node LIMIT 12")
+def g3_budget(s, d):
+    """The first 12 nodes that a traversal passes: the budget is the feature."""
+    return G.reach(sql(s, d, _REDIRECTS), s.createDataFrame([(1,)], "node bigint"), 4, 12)
+
+
 # Generators
 
 _NAMES = "SELECT DISTINCT concat(lower(n_name), ' ', lower(c_mktsegment), ' trading group') AS name FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT * FROM (VALUES ('별빛렌터카 주식회사'), ('㈜한울 테크놀로지'), ('코리아별빛'), ('그룹'), ('유한회사 새봄 에너지 코리아'), ('푸른 harbor co ltd')) AS v(name)"
@@ -307,14 +332,15 @@ def st1(s, d):
     return changes.current_fields(ledger.newest_state(s, f"{folder}/state")).select("entity_id", "field_name", "sequence")
 
 
-@query("ref_ST10_custody_heads", "SELECT user_id, count(*) AS links, list_reduce(list_prepend(repeat('0', 64), list(sha256(CAST(event_id AS STRING)) ORDER BY event_id)), lambda acc, x: sha256(acc || x)) AS head FROM events WHERE event_type = 'error' GROUP BY 1")
+@query("ref_ST10_custody_heads", f"SELECT entity_id, count(*) AS links, list_reduce(list_prepend(repeat('0', 64), list(sha256(coalesce(payload_json, '')) ORDER BY sequence, event_id, payload_json NULLS FIRST)), lambda acc, x: sha256(acc || x)) AS head FROM (SELECT DISTINCT {I('entity_id')} AS entity_id, sequence, event_id, payload_json FROM ledger_events) WHERE entity_id IS NOT NULL GROUP BY 1")
 def st10(s, d):
     from ledgerline.operators.sequences import hash_chain
 
-    return hash_chain(table(s, d, "events").where("event_type = 'error'"), "user_id", ["event_id"], F.col("event_id").cast("string"))
+    e = table(s, d, "ledger_events").select(norm_id("entity_id").alias("entity_id"), "sequence", "event_id", "payload_json").where("entity_id is not null").distinct()
+    return hash_chain(e, "entity_id", ["sequence", "event_id", "payload_json"], F.col("payload_json"))
 
 
-@query("ref_C4_events_by_hour", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query("ref_stream_events_by_hour", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def by_hour(s, d):
     """The batch form of the windowed stream count."""
     return table(s, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "event_type", "n")

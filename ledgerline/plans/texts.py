@@ -211,7 +211,7 @@ _CODES += [("CLIENT_PASSWORD_CANDIDATE", f"{_JS} AND ({_m(P.PASSWORD_ASSIGNMENT,
 _LIST = "list_filter([" + ", ".join(f"CASE WHEN {rule} THEN '{c}' END" for c, rule in _CODES) + "], lambda x: x IS NOT NULL)"
 
 
-@query("ref_C1_C25_verdicts", f"""SELECT id, array_to_string(codes || CASE WHEN {_m(P.CHALLENGE, True)} THEN ['CHALLENGE_PAGE_INDICATOR'] ELSE [] END, ' ') AS codes,
+@query("ref_C2_C25_verdicts", f"""SELECT id, array_to_string(codes || CASE WHEN {_m(P.CHALLENGE, True)} THEN ['CHALLENGE_PAGE_INDICATOR'] ELSE [] END, ' ') AS codes,
   CASE WHEN list_contains(codes, 'SYNTHETIC_CANARY_PRESENT') THEN 'SYNTHETIC_CONTENT_CONFIRMED' WHEN len(list_filter(codes, lambda c: ends_with(c, '_CANDIDATE') AND c <> 'RUNTIME_ENDPOINT_CANDIDATE')) > 0 THEN 'SENSITIVE_CANDIDATE' ELSE 'NOT_INSPECTED' END AS content,
   CASE WHEN {_m(P.IMAGE_PENDING, True)} THEN 'image_or_base64_review' ELSE '' END AS pending FROM (SELECT id, body, {_LIST} AS codes FROM ({PLAIN}))""")
 def verdicts(s, d):
