@@ -7,10 +7,12 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache, reduce
 from json.decoder import scanstring
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ledgerline.functions.bitmap import maybe_in
@@ -393,15 +395,23 @@ class SubtypeTables:
                     own.setdefault((field, type_), f"c{len(own)}")
 
     def write(self, nodes: DataFrame) -> None:
-        """Route every row to its variant's folder; partitions of a frequent variant are split, small ones put together."""
+        """Route every row to its variant's folder; partitions of a frequent variant are split, small ones put together.
+
+        The kinds' tables are written side by side: each reads its own folder of nodes, and small ones don't fill a cluster.
+        """
         keys = ["record_ref", "parent_kind", "parent_path", "node_path"]
         typed = F.broadcast(self.spark.createDataFrame(list(self.shapes), "node_kind string, variant string")) if self.shapes else None
-        for kind, fields in self.fields.items():
+
+        def one(kind: str) -> None:
+            fields = self.fields[kind]
             rows = nodes.where(F.col("node_kind") == kind)
             if self.rest:
                 rows = rows.join(typed, ["node_kind", "variant"], "left_semi")
             out = rows.select(*keys, *[_coded(F.col("own")[F.lit(f)], t).alias(c) for (f, t), c in fields.items()], "variant")
             out.hint("rebalance", "variant").write.partitionBy("variant").parquet(f"{self.folder}/typed/node_kind={kind}")
+
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            list(pool.map(inheritable_thread_target(self.spark)(one), self.fields))
         if self.rest:
             others = nodes.join(typed, ["node_kind", "variant"], "left_anti") if self.shapes else nodes
             others.select(*keys, "variant", "own", "node_kind").hint("rebalance", "node_kind", "variant").write.partitionBy("node_kind").parquet(f"{self.folder}/rest")
