@@ -7,12 +7,10 @@ import json
 import math
 import re
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
-from functools import lru_cache, reduce
+from functools import lru_cache
 from json.decoder import scanstring
 
 import pyarrow as pa
-from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ledgerline.functions.bitmap import maybe_in
@@ -26,7 +24,6 @@ FLUSH = 8 << 20  #: characters of rows that are held before they go on
 
 NODES = T.StructType([T.StructField(n, T.StringType()) for n in ("record_ref", "node_kind", "parent_kind", "parent_path", "node_path", "variant", "shape")] + [T.StructField("own", T.MapType(T.StringType(), T.StringType()))])
 _ARROW = pa.schema([(n, pa.string()) for n in NODES.names[:-1]] + [("own", pa.map_(pa.string(), pa.string()))])
-KEYS = ["record_ref", "node_kind", "variant", "parent_kind", "parent_path", "node_path"]
 #: First character of a value in `own`, by its automaton state, and the type of its column. Nested values stay JSON text.
 CODES = {"bool": ("b", "boolean"), "int": ("i", "bigint"), "float": ("f", "double"), "number": ("x", "string"), "text": ("t", "string")}
 
@@ -377,54 +374,52 @@ def column_type(state: str) -> str | None:
     return None if state == "null" else CODES.get(state, ("j", "string"))[1]
 
 
+#: First letter of the columns of each type in the files.
+LETTERS = {"string": "s", "bigint": "i", "double": "f", "boolean": "b"}
+
+
 class SubtypeTables:
     """Typed tables of all variants: a folder for each kind, in it one for each variant, with keys and parent link.
 
     Each (field, type) that occurs among a kind's variants has a column of its own, so no value is cast to a type that
-    isn't its own; in a variant's folder only the columns of its state hold values. What is not among the typed
-    variants lies in folders of its own by kind, with its fields as a map.
+    isn't its own; in a variant's folder only the columns of its state hold values. In the files the columns are numbered
+    by type, so all kinds are written by one job; `fields` tells what they are. What is not among the typed variants lies
+    in a folder `rest` of its kind, with its fields as a map.
     """
 
     def __init__(self, spark: SparkSession, folder: str, shapes: dict[tuple[str, str], str], rest: bool):
         self.spark, self.folder, self.shapes, self.rest = spark, folder, shapes, rest
         self.fields: dict[str, dict[tuple[str, str], str]] = {}  # by kind: (field, type) and its column in the files
+        self.width = dict.fromkeys(LETTERS, 0)
         for (kind, _), shape in sorted(shapes.items()):
             own = self.fields.setdefault(kind, {})
             for field, state in shape_columns(shape).items():
-                if type_ := column_type(state):
-                    own.setdefault((field, type_), f"c{len(own)}")
+                if (type_ := column_type(state)) and (field, type_) not in own:
+                    n = sum(t == type_ for _, t in own)
+                    own[field, type_] = f"{LETTERS[type_]}{n}"
+                    self.width[type_] = max(self.width[type_], n + 1)
 
     def write(self, nodes: DataFrame) -> None:
-        """Route every row to its variant's folder; partitions of a frequent variant are split, small ones put together.
-
-        The kinds' tables are written side by side: each reads its own folder of nodes, and small ones don't fill a cluster.
-        """
-        keys = ["record_ref", "parent_kind", "parent_path", "node_path"]
-        typed = F.broadcast(self.spark.createDataFrame(list(self.shapes), "node_kind string, variant string")) if self.shapes else None
-
-        def one(kind: str) -> None:
-            fields = self.fields[kind]
-            rows = nodes.where(F.col("node_kind") == kind)
-            if self.rest:
-                rows = rows.join(typed, ["node_kind", "variant"], "left_semi")
-            out = rows.select(*keys, *[_coded(F.col("own")[F.lit(f)], t).alias(c) for (f, t), c in fields.items()], "variant")
-            out.hint("rebalance", "variant").write.partitionBy("variant").parquet(f"{self.folder}/typed/node_kind={kind}")
-
-        with ThreadPoolExecutor(max_workers=4) as pool:
-            list(pool.map(inheritable_thread_target(self.spark)(one), self.fields))
+        """Route every row to its variant's folder; partitions of a frequent variant are split, small ones put together."""
+        named = [(kind, *[[f for f, t in own if t == type_] for type_ in LETTERS]) for kind, own in self.fields.items()]
+        names = self.spark.createDataFrame(named, "t_kind string, " + ", ".join(f"n_{x} array<string>" for x in LETTERS.values()))
+        rows = nodes.join(F.broadcast(names), F.col("node_kind") == F.col("t_kind"), "left")
+        known = F.lit(True)
         if self.rest:
-            others = nodes.join(typed, ["node_kind", "variant"], "left_anti") if self.shapes else nodes
-            others.select(*keys, "variant", "own", "node_kind").hint("rebalance", "node_kind", "variant").write.partitionBy("node_kind").parquet(f"{self.folder}/rest")
+            typed = self.spark.createDataFrame(list(self.shapes), "v_kind string, v_variant string")
+            rows = rows.join(F.broadcast(typed), (F.col("node_kind") == F.col("v_kind")) & (F.col("variant") == F.col("v_variant")), "left")
+            known = F.col("v_variant").isNotNull()
+        values = [F.when(known, _coded(F.col("own")[F.get(f"n_{x}", F.lit(n))], t)).alias(f"{x}{n}") for t, x in LETTERS.items() for n in range(self.width[t])]
+        out = rows.select("record_ref", F.col("variant").alias("variant_id"), "parent_kind", "parent_path", "node_path", *values, F.when(~known, F.col("own")).alias("own"), "node_kind", F.when(known, F.col("variant")).otherwise("rest").alias("variant"))
+        out.hint("rebalance", "node_kind", "variant").write.partitionBy("node_kind", "variant").parquet(self.folder)
 
-    def _read(self, path: str, columns: str, keys: str = "record_ref string, parent_kind string, parent_path string, node_path string") -> DataFrame:
-        return self.spark.read.schema(f"{keys}, {columns}").option("basePath", f"{self.folder}/{path.split('/')[0]}").parquet(f"{self.folder}/{path}")
+    def read(self) -> DataFrame:
+        values = [f"{x}{n} {t}" for t, x in LETTERS.items() for n in range(self.width[t])]
+        return self.spark.read.schema(", ".join(["record_ref string, variant_id string, parent_kind string, parent_path string, node_path string", *values, "own map<string,string>, node_kind string, variant string"])).parquet(self.folder)
 
     def supertype(self) -> DataFrame:
         """The keys and parent links of all elements, from all subtype tables."""
-        parts = ([self._read("typed", "node_kind string, variant string")] if self.shapes else []) + ([self._read("rest", "node_kind string, variant string")] if self.rest else [])
-        if not parts:
-            return self.spark.createDataFrame([], ", ".join(f"{k} string" for k in KEYS))
-        return reduce(DataFrame.unionByName, parts).select(*KEYS)
+        return self.read().select("record_ref", "node_kind", F.col("variant_id").alias("variant"), "parent_kind", "parent_path", "node_path")
 
     def columns(self, node_kind: str) -> dict[str, tuple[str, str]]:
         """Output columns of a kind: name to (field, type). A field with several types has one column for each."""
@@ -435,30 +430,24 @@ class SubtypeTables:
                     kinds.setdefault(field, set()).update({t} if (t := column_type(state)) else set())
         return named_columns({f: sorted(t) for f, t in sorted(kinds.items())})
 
-    def _typed(self, node_kind: str, wanted: dict[str, tuple[str, str]]) -> DataFrame:
-        fields = self.fields[node_kind]
-        rows = self._read(f"typed/node_kind={node_kind}", ", ".join([f"{c} {t}" for (_, t), c in fields.items()] + ["node_kind string", "variant string"]))
-        return rows.select(*_OUT, *[(F.col(fields[w]) if w in fields else F.lit(None).cast(w[1])).alias(n) for n, w in wanted.items()])
+    def _select(self, rows: DataFrame, node_kind: str, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+        fields = self.fields.get(node_kind, {})
+
+        def column(field: str, kind: str) -> Column:
+            typed = F.col(fields[field, kind]) if (field, kind) in fields else F.lit(None).cast(kind)
+            return F.coalesce(typed, _coded(F.col("own")[F.lit(field)], kind)) if self.rest else typed
+
+        keys = ["record_ref", "node_path", "parent_kind", "parent_path", F.col("variant_id").alias("variant")]
+        return rows.where(F.col("node_kind") == node_kind).select(*keys, *[column(*w).alias(n) for n, w in wanted.items()])
 
     def kind(self, node_kind: str, columns: dict[str, tuple[str, str]] | None = None) -> DataFrame:
         """All elements of a kind with typed columns: those that occur among typed variants, or the given ones."""
-        wanted, parts = self.columns(node_kind) if columns is None else columns, []
-        if node_kind in self.fields:
-            parts.append(self._typed(node_kind, wanted))
-        if self.rest:
-            rows = self._read("rest", "variant string, own map<string,string>, node_kind string").where(F.col("node_kind") == node_kind)
-            parts.append(rows.select(*_OUT, *[_coded(F.col("own")[F.lit(f)], t).alias(n) for n, (f, t) in wanted.items()]))
-        if not parts:
-            return self.spark.createDataFrame([], ", ".join([f"{k} string" for k in _OUT] + [f"`{n}` {t}" for n, (_, t) in wanted.items()]))
-        return reduce(DataFrame.unionByName, parts)
+        return self._select(self.read(), node_kind, self.columns(node_kind) if columns is None else columns)
 
     def variant(self, node_kind: str, variant: str) -> DataFrame:
         """The table of one typed variant, with exactly the fields of its state."""
         fields = {f: [t] for f, s in sorted(shape_columns(self.shapes[node_kind, variant]).items()) if (t := column_type(s))}
-        return self._typed(node_kind, named_columns(fields)).where(F.col("variant") == variant)
-
-
-_OUT = ["record_ref", "node_path", "parent_kind", "parent_path", "variant"]
+        return self._select(self.read().where(F.col("variant") == variant), node_kind, named_columns(fields))
 
 
 def _coded(value: Column, kind: str) -> Column:
