@@ -164,6 +164,21 @@ def follow_pages(pages: DataFrame, most: int | None = None) -> tuple[DataFrame,
     return found, coverage.withColumn("complete", (F.col("end_condition") == "page_exhausted") & (F.col("rejected") == 0))
 
 
+def page_overlap(pages: DataFrame) -> DataFrame:
+    """How pages of a channel repeat each other: query, pages, records, repeated (records whose id an earlier page had), stale_pages.
+
+    pages: as in follow_pages(); all of them count, in whatever order they came. A stale page has only records that
+    earlier ones had. Records without an id are new.
+    """
+    p = pages.groupBy("query", "page").agg(F.max("body").alias("body")).select("query", "page", F.from_json("body", PAGE)["results"].alias("results"))
+    rows = p.select("query", "page", F.posexplode_outer("results").alias("at", "r")).select("query", "page", "at", F.col("r.id").alias("id"))
+    first = rows.where("id is not null").groupBy("query", "id").agg(F.min("page").alias("first_page"))
+    seen = rows.join(first, ["query", "id"], "left").withColumn("again", F.coalesce(F.col("page") > F.col("first_page"), F.lit(False)))
+    by_page = seen.groupBy("query", "page").agg(F.count("at").alias("n"), F.count_if("again").alias("repeats"))
+    stale = (F.col("n") > 0) & (F.col("n") == F.col("repeats"))
+    return by_page.groupBy("query").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("records"), F.sum("repeats").alias("repeated"), F.count_if(stale).alias("stale_pages"))
+
+
 def observation_checks(observations: DataFrame, assets: DataFrame) -> DataFrame:
     """Why an observation can't be taken into the ledger, or null: observation_id, reason.
 

@@ -9,7 +9,8 @@ from ledgerline.operators import discovery as D, joins as J, revisions as R
 from ledgerline.plans import problems
 from ledgerline.plans.common import CREDENTIAL_SQL, URLS, sql
 from ledgerline.plans.relational import I, jobs, observations
-from ledgerline.sources.shared import table
+from ledgerline.sources import files
+from ledgerline.sources.shared import new_path, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -374,3 +375,40 @@ def inventory_change(s, d):
         return a.select(norm_id("asset_id").alias("asset_id"), "provider").distinct()
 
     return J.snapshot_diff(alive("2025-07-01"), alive("2026-01-01"), ["asset_id"], ["provider"])
+
+
+@query("ref_S16_page_overlap", f"WITH p AS (SELECT query, page, json_extract(body, '$.results') AS results FROM ({_PAGES_SQL})), rw AS (SELECT query, page, i, json_extract_string(results, '$[' || i || '].id') AS id FROM (SELECT query, page, results, unnest(range(CAST(json_array_length(results) AS BIGINT))) AS i FROM p WHERE results IS NOT NULL)), f AS (SELECT query, id, min(page) AS first_page FROM rw GROUP BY 1, 2), b AS (SELECT p.query, p.page, count(rw.i) AS n, count(*) FILTER (rw.page > f.first_page) AS repeats FROM p LEFT JOIN rw ON p.query = rw.query AND p.page = rw.page LEFT JOIN f ON rw.query = f.query AND rw.id = f.id GROUP BY 1, 2) SELECT query, count(*) AS pages, CAST(sum(n) AS BIGINT) AS records, CAST(sum(repeats) AS BIGINT) AS repeated, count(*) FILTER (n > 0 AND n = repeats) AS stale_pages FROM b GROUP BY 1")
+def overlap(s, d):
+    return D.page_overlap(sql(s, d, _PAGES_SQL))
+
+
+@query("ref_S3_bounded_lines", "SELECT 'row' AS kind, access, count(*) AS n FROM observations WHERE alias_id IS NOT NULL GROUP BY 2 UNION ALL SELECT 'rejected', NULL, (SELECT count(*) FROM observations WHERE alias_id IS NULL) + (SELECT count(*) FROM ledger_events WHERE payload_json IS NOT NULL)")
+def bounded_lines(s, d):
+    """JSON lines of two kinds, written and scanned with an exact schema: rows by access, and the number of other lines."""
+    path = new_path(s)
+    lines = table(s, d, "observations").select(F.to_json(F.struct("observation_id", "access", "alias_id")).alias("value"))
+    lines.unionByName(table(s, d, "ledger_events").where("payload_json is not null").select(F.col("payload_json").alias("value"))).write.text(path)
+    good, bad = files.json_lines(s, path, "observation_id string, access string, alias_id string")
+    rows = good.groupBy("access").agg(F.count(F.lit(1)).alias("n")).select(F.lit("row").alias("kind"), "access", "n")
+    return rows.unionByName(bad.agg(F.count(F.lit(1)).alias("n")).select(F.lit("rejected").alias("kind"), F.lit(None).cast("string").alias("access"), "n"))
+
+
+_SEEDS = ["config", "secret", "price", "customer"]
+
+
+@query("ref_N7_repository_seeds", f"SELECT DISTINCT lower(repository) AS repository, seed FROM {nodes('repositories')}, (SELECT unnest({_SEEDS!r}) AS seed) WHERE repository IS NOT NULL")
+def repository_seeds(s, d):
+    """Searches of every repository, once whatever the case of its name, for every seed."""
+    r = problems.p1_typed(s, d, "repositories").where("repository is not null").select(F.lower("repository").alias("repository")).distinct()
+    return r.select("repository", F.explode(F.array(*map(F.lit, _SEEDS))).alias("seed"))
+
+
+@query("ref_C28_asset_profiles", f"WITH a AS (SELECT {I('asset_id')} AS asset_id, any_value(provider) AS provider, any_value(CAST(cardinality(alias_bindings) AS BIGINT)) AS bound_aliases FROM assets GROUP BY 1), o AS (SELECT asset_id, max(content) AS content FROM (SELECT {I('asset_id')} AS asset_id, content, rank() OVER (PARTITION BY {I('asset_id')} ORDER BY observed_at DESC) AS r FROM observations) WHERE r = 1 GROUP BY 1), f AS (SELECT asset_id, count(*) AS open_findings FROM (SELECT DISTINCT {I('finding_id')} AS finding_id, {I('asset_id')} AS asset_id, status FROM findings WHERE status <> 'CLOSED') GROUP BY 1) SELECT a.asset_id, provider, bound_aliases, coalesce(content, 'NOT_INSPECTED') AS content, coalesce(open_findings, 0) AS open_findings FROM a LEFT JOIN o ON a.asset_id = o.asset_id LEFT JOIN f ON a.asset_id = f.asset_id WHERE a.asset_id IS NOT NULL")
+def asset_profiles(s, d):
+    """Every asset with its bound aliases, the content last seen (NOT_INSPECTED where none was) and its open findings."""
+    a = table(s, d, "assets").select(norm_id("asset_id").alias("asset_id"), "provider", F.size("alias_bindings").cast("bigint").alias("bound_aliases")).where("asset_id is not null")
+    a = a.groupBy("asset_id").agg(F.max("provider").alias("provider"), F.max("bound_aliases").alias("bound_aliases"))
+    o = observations(s, d).where("asset_id is not null").groupBy("asset_id").agg(F.max(F.struct("observed_at", "content"))["content"].alias("content"))
+    f = table(s, d, "findings").where("status <> 'CLOSED'").select(norm_id("finding_id").alias("finding_id"), norm_id("asset_id").alias("asset_id"), "status").distinct().groupBy("asset_id").agg(F.count(F.lit(1)).alias("open_findings"))
+    out = a.join(o, "asset_id", "left").join(f, "asset_id", "left")
+    return out.select("asset_id", "provider", "bound_aliases", F.coalesce("content", F.lit("NOT_INSPECTED")).alias("content"), F.coalesce("open_findings", F.lit(0)).alias("open_findings"))

@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark.sql import Window as W, functions as F
 
 from ledgerline.functions.ids import norm_id
-from ledgerline.functions import namespaces as N, patterns as P, text as X, urls as U
+from ledgerline.functions import namespaces as N, patterns as P, text as X
 from ledgerline.operators import closure, content as C, parsers as R
 from ledgerline.plans import problems, structures
-from ledgerline.plans.common import CAPTURES, FIELDS, PLAIN, URLS, sql
-from ledgerline.plans.relational import I, _AS, assets, observations
-from ledgerline.sources.shared import materialize, table
+from ledgerline.plans.common import CAPTURES, FIELDS, PLAIN, sql
+from ledgerline.plans.relational import I
+from ledgerline.sources.shared import table
 
 QUERIES, ORACLE = {}, {}
 
@@ -83,13 +83,6 @@ def c26(s, d):
     return table(s, d, "documents").where("text is not null").groupBy("doc_kind").agg(F.count_if(F.octet_length("text") > 4096).alias("partial"), F.count("*").alias("bodies"))
 
 
-@query("ref_C28_asset_profiles", f"SELECT provider, CASE WHEN o.asset_id IS NULL THEN 'NOT_INSPECTED' ELSE 'OBSERVED' END AS state, count(*) AS n FROM {_AS} a LEFT JOIN (SELECT DISTINCT {I('asset_id')} AS asset_id FROM observations) o ON a.asset_id = o.asset_id GROUP BY 1, 2")
-def c28(s, d):
-    o = observations(s, d).select(F.col("asset_id").alias("o_id")).distinct()
-    rows = assets(s, d).join(o, F.col("asset_id") == F.col("o_id"), "left")
-    return rows.groupBy("provider", F.when(F.col("o_id").isNull(), "NOT_INSPECTED").otherwise("OBSERVED").alias("state")).agg(F.count("*").alias("n"))
-
-
 @query("ref_A19_signal_sums", f"SELECT code, CAST(sum(occurrences_bigint) AS BIGINT) AS occurrences, count(*) AS n FROM ({problems.ORACLE['p1_signals']}) GROUP BY 1")
 def a19(s, d):
     """Occurrences by signal code over all nested reports, through the typed table of signals."""
@@ -108,13 +101,6 @@ def s13(s, d):
     return table(s, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", r.alias("r")).where("r <= 3").drop("r").orderBy("l_orderkey", "l_linenumber").limit(50)
 
 
-@query("ref_S16_page_overlap", "SELECT l_suppkey, CAST(sum(n - 1) AS BIGINT) AS repeated, count(*) AS items FROM (SELECT l_suppkey, l_partkey, count(DISTINCT l_orderkey % 10) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1")
-def s16(s, d):
-    """Items of a query that stand on more than one of its pages."""
-    one = table(s, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.countDistinct(F.col("l_orderkey") % 10).alias("n"))
-    return one.groupBy("l_suppkey").agg(F.sum(F.col("n") - 1).cast("bigint").alias("repeated"), F.count("*").alias("items"))
-
-
 @query("ref_S17_commit_lists", "SELECT l_orderkey AS id, count(DISTINCT l_partkey) FILTER (l_linenumber % 4 <> 0) AS commits, count(*) FILTER (l_linenumber % 4 = 0) AS rejected FROM lineitem GROUP BY 1")
 def s17(s, d):
     """Commit ids of a history page as JSON: 40 hex digits, each once; others are counted as rejected."""

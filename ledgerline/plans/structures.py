@@ -38,11 +38,6 @@ def s2(s, d):
     return sql(s, d, _BODIES).select("ref", v.isNotNull().alias("valid"), F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False)).alias("is_object"))
 
 
-@query("ref_S3_bounded_lines", "SELECT event_type, count(*) AS lines, count(*) FILTER (octet_length(encode(payload_json)) <= 100) AS within FROM ledger_events GROUP BY 1")
-def s3(s, d):
-    return table(s, d, "ledger_events").groupBy("event_type").agg(F.count("*").alias("lines"), F.count_if(F.octet_length("payload_json") <= 100).alias("within"))
-
-
 _LINES = "SELECT CASE CAST(p_partkey % 5 AS INT) WHEN 0 THEN '' WHEN 1 THEN concat('# ', p_name) ELSE concat('https://x.test/', CAST(p_partkey AS STRING), chr(9), p_type, chr(9), 'more') END AS value FROM part"
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerline.functions import ids, patterns as P, text as X, urls as U
+from ledgerline.functions import patterns as P, text as X, urls as U
 from ledgerline.operators import signals as S
-from ledgerline.plans.common import CREDENTIAL_SQL, CAPTURES, FIELDS, PLAIN, URLS, sql
+from ledgerline.plans.common import CAPTURES, CREDENTIAL_SQL, FIELDS, PLAIN, URLS, sql
 
 QUERIES, ORACLE = {}, {}
 

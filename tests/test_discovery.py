@@ -53,6 +53,13 @@ def test_pages_end_in_every_way(spark):
     assert {r.query: r.end_condition for r in capped.collect()}["done"] == "candidate_limit_reached"
 
 
+def test_pages_that_repeat_each_other(spark):
+    page = lambda *ids: '{"results": [' + ",".join('{"url": "u"}' if i is None else f'{{"id": "{i}"}}' for i in ids) + "]}"
+    rows = [("q", 1, page("a", "b", "b")), ("q", 2, page("b", "c", None)), ("q", 3, page("a", "c")), ("q", 4, page()), ("r", 1, "no"), ("q", 3, page("a", "c"))]
+    got = {r.query: (r.pages, r.records, r.repeated, r.stale_pages) for r in D.page_overlap(spark.createDataFrame(rows, "query string, page int, body string")).collect()}
+    assert got == {"q": (4, 8, 3, 1), "r": (1, 0, 0, 0)}
+
+
 def test_folds_in_order(spark):
     import hashlib
 
